@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .licenses import Templates
+
 CHAT = r"""
 WITH rows AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -22,7 +24,76 @@ SELECT conv_id, count(*) AS n_turns,
 FROM turns GROUP BY conv_id
 """
 
-ORACLES: dict[str, str] = {"op7_chat": CHAT}
+URLS = r"""
+WITH captures AS (
+  SELECT page_id, url, (TIMESTAMP '2024-01-01' + ((page_id * 7919) % 525600) * INTERVAL 1 MINUTE) AS fetched,
+    lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#@]*@)?([^/:?#]*)', 2)) AS host,
+    regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*(/[^/?#]*)', 1) AS step
+  FROM pages
+), codes AS (
+  SELECT host AS pattern, ('0x' || substr(md5(host), 1, 7))::BIGINT AS code FROM (SELECT DISTINCT host FROM captures WHERE host <> '')
+), entries AS (
+  SELECT pattern, TIMESTAMP '2024-01-01' + (code % 200) * INTERVAL 1 DAY AS made, true AS listed FROM codes WHERE code % 4 = 0
+  UNION ALL SELECT pattern, TIMESTAMP '2024-01-01' + (code % 200 + 60) * INTERVAL 1 DAY, false FROM codes WHERE code % 4 = 0
+  UNION ALL SELECT pattern, TIMESTAMP '2024-01-01' + (code % 200 + 60 + code % 90) * INTERVAL 1 DAY, true FROM codes WHERE code % 4 = 0
+  UNION ALL SELECT 'example.org', TIMESTAMP '2024-05-01', true
+  UNION ALL SELECT 'example.org', TIMESTAMP '2024-06-01', false
+  UNION ALL SELECT 'example.net/de', TIMESTAMP '2024-02-29' + INTERVAL 1 DAY, true
+), dated AS (
+  SELECT pattern, made, bool_or(listed) AS listed FROM entries GROUP BY pattern, made
+), spans AS (
+  SELECT * FROM (SELECT pattern, made AS since, lead(made) OVER (PARTITION BY pattern ORDER BY made) AS until, listed FROM dated) WHERE listed
+), matched AS (
+  SELECT c.page_id, c.url, s.pattern, s.since, row_number() OVER (PARTITION BY c.page_id, c.url ORDER BY length(s.pattern) DESC, s.pattern, s.since) AS k
+  FROM captures c JOIN spans s
+    ON s.since <= c.fetched AND (s.until IS NULL OR c.fetched < s.until) AND c.host <> ''
+   AND (c.host = s.pattern OR ends_with(c.host, '.' || s.pattern) OR c.host || c.step = s.pattern OR ends_with(c.host || c.step, '.' || s.pattern))
+)
+SELECT c.page_id, c.fetched, m.page_id IS NOT NULL AS blocked, m.pattern, m.since
+FROM captures c LEFT JOIN matched m ON m.k = 1 AND m.page_id = c.page_id AND m.url = c.url
+"""
+
+
+def licenses_sql(threshold: float = 0.85) -> str:
+    """The licence scan with every unit against every template of like size."""
+    known = ", ".join(f"({k}, '{name}', [{', '.join(repr(g) for g in sorted(grams))}])" for k, (name, grams) in enumerate(Templates(threshold).known))
+    return rf"""
+WITH templates(k, license, known) AS (VALUES {known}), texts AS (
+  SELECT doc_id, regexp_replace(lower(coalesce(text, '')), '[^a-z0-9.
+]+', ' ', 'g') AS t FROM documents
+), units AS (
+  SELECT doc_id, 'line' AS unit, unnest(range(1, len(string_split(t, chr(10))) + 1)) AS number, unnest(string_split(t, chr(10))) AS body FROM texts
+  UNION ALL
+  SELECT doc_id, unit, number, body FROM (
+    SELECT doc_id, 'paragraph' AS unit, unnest(range(1, len(string_split_regex(t, '
+[ 
+]*
+')) + 1)) AS number, unnest(string_split_regex(t, '
+[ 
+]*
+')) AS body FROM texts
+  ) WHERE contains(trim(body, ' ' || chr(10)), chr(10))
+  UNION ALL
+  SELECT doc_id, 'text', 1, t FROM texts WHERE len(string_split_regex(t, '
+[ 
+]*
+')) > 1
+), words AS (
+  SELECT doc_id, unit, number, list_filter(list_transform(string_split_regex(body, '[ 
+]+'), lambda w: trim(w, '.')), lambda w: w <> '') AS w FROM units
+), grams AS (
+  SELECT doc_id, unit, number, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM words WHERE len(w) > 1
+), scored AS (
+  SELECT doc_id, unit, number, k, license, 2.0::DOUBLE * len(list_intersect(g, known)) / (len(g) + len(known)) AS dice
+  FROM grams JOIN templates ON len(g) >= len(known) * {threshold} / (2 - {threshold}) - 1e-9 AND len(g) <= len(known) * (2 - {threshold}) / {threshold} + 1e-9
+), best AS (
+  SELECT *, row_number() OVER (PARTITION BY doc_id, unit, number ORDER BY dice DESC, k) AS place FROM scored WHERE dice >= {threshold}
+)
+SELECT doc_id, unit, number::INT AS number, license, round(dice, 6) AS dice FROM best WHERE place = 1
+"""
+
+
+ORACLES: dict[str, str] = {"op1_licenses": licenses_sql(), "op7_chat": CHAT, "op8_url_filter": URLS}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, mixing, quality, sharding, simhash
+from . import chat, cws, decontam, licenses, mixing, quality, secrets_scan, sharding, simhash, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -59,6 +59,74 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licenses named by lines, paragraphs or whole texts of all documents."""
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and their edited texts."""
+    out = cws.fingerprints(table(spark, sf_dir, "documents"))
+    own, edited, following = F.col("signature"), F.col("edited_signature"), F.col("next_signature")
+    return out.select(
+        "doc_id",
+        "n_chars",
+        "edited_sha256",
+        cws.hexadecimal(own).alias("fingerprint"),
+        cws.hexadecimal(edited).alias("edited_fingerprint"),
+        cws.likeness(own, edited).alias("near_edited"),
+        cws.likeness(own, following).alias("near_next"),
+    )
+
+
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in all documents."""
+    out = secrets_scan.scan(table(spark, sf_dir, "documents"))
+    kinds = F.array(*[F.lit(k) for k in (*secrets_scan.KINDS, *[f"like_{k}" for k in secrets_scan.KINDS])])
+    n = len(secrets_scan.KINDS)
+    name = lambda s: F.concat_ws(":", F.get(kinds, s["kind"]), s["start"], s["end"])
+    count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == secrets_scan.KINDS.index(k))).cast("long").alias(f"n_{k}")
+    later = F.transform("added", lambda s: F.struct((s["kind"] + n).alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
+    order = lambda spans: F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"))))
+    return out.select(
+        "doc_id",
+        *[count(k) for k in secrets_scan.KINDS],
+        F.sha2(F.array_join(F.transform(order(F.col("base")), name), ",").cast("binary"), 256).alias("base_sha256"),
+        F.array_join(F.transform(order(F.concat(F.col("base"), later)), name), ",").alias("spans"),
+    )
+
+
+def captures(pages: DataFrame) -> DataFrame:
+    """Pages as captures; the table has no time, so the page's number gives one within 2024."""
+    minute = F.pmod(F.col("page_id") * 7919, F.lit(525_600))
+    return pages.select("page_id", "url", F.timestamp_seconds(F.lit(1_704_067_200) + minute * 60).alias("fetched"))
+
+
+def dated_list(pages: DataFrame) -> DataFrame:
+    """A dated list for the pages: two fixed domains, and by the MD5 of its name every fourth host, added, removed and added again."""
+    day = lambda d: F.timestamp_seconds(F.lit(1_704_067_200) + d * 86_400)
+    hosts = pages.select(url_filter.host(F.col("url")).alias("pattern")).where("pattern <> ''").distinct()
+    code = F.conv(F.substring(F.md5(F.col("pattern").cast("binary")), 1, 7), 16, 10).cast("long")
+    chosen = hosts.withColumn("code", code).where("code % 4 = 0")
+    first = F.col("code") % 200
+    stages = F.array(
+        F.struct(day(first).alias("at"), F.lit(True).alias("listed")),
+        F.struct(day(first + 60).alias("at"), F.lit(False).alias("listed")),
+        F.struct(day(first + 60 + F.col("code") % 90).alias("at"), F.lit(True).alias("listed")),
+    )
+    fixed = pages.sparkSession.sql(
+        "SELECT * FROM VALUES ('example.org', timestamp_seconds(1714521600), true), ('example.org', timestamp_seconds(1717200000), false),"
+        " ('example.net/de', timestamp_seconds(1709251200), true) AS t(pattern, at, listed)"
+    )
+    return chosen.select("pattern", F.inline(stages)).unionByName(fixed)
+
+
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages, evaluated against the list entries active when they were fetched."""
+    pages = table(spark, sf_dir, "pages")
+    return url_filter.evaluate(captures(pages), dated_list(pages)).select("page_id", "fetched", "blocked", "pattern", "since")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of the corpus pipeline."""
     import corpus_pipeline
@@ -67,7 +135,20 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op2_simhash, op4_quality, op5_mixing, op7_chat, op9_sharding, op10_decontamination, pipeline)
+    f.__name__: f
+    for f in (
+        op1_licenses,
+        op2_simhash,
+        op3_fingerprints,
+        op4_quality,
+        op5_mixing,
+        op6_secrets,
+        op7_chat,
+        op8_url_filter,
+        op9_sharding,
+        op10_decontamination,
+        pipeline,
+    )
 }
 
 
