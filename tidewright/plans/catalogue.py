@@ -1,27 +1,20 @@
-"""The registered queries over the driver tables, with the DuckDB SQL that each must match."""
+"""All registered queries of the library, each with its DuckDB SQL where SQL can express it."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-from pyspark.sql import Window
-
-Query = Callable[[SparkSession, str], DataFrame]
 
+from tidewright.plans import credit, episodes
 
-def group_advantages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    reward = F.when(F.col("o_orderstatus") == "F", 1.0).when(F.col("o_orderstatus") == "O", 0.5).otherwise(0.0)
-    w = Window.partitionBy("o_custkey")
-    rows = orders.select("o_custkey", "o_orderkey", reward.alias("reward")).withColumn("n", F.count("*").over(w))
-    return rows.where("n >= 2").select("o_custkey", "o_orderkey", ((F.col("reward") - F.avg("reward").over(w)) / (F.stddev_pop("reward").over(w) + 1e-8)).alias("advantage"))
+Query = Callable[[SparkSession, str], DataFrame]
+_ALL: dict[str, tuple[Query, str | None]] = {**credit.QUERIES, **episodes.QUERIES}
 
 
 def queries() -> dict[str, Query]:
-    return {"group_advantages": group_advantages}
+    return {name: query for name, (query, _) in _ALL.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for name, (_, sql) in _ALL.items() if sql}
