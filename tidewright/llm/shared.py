@@ -2,37 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewright.sources.shared import shared_folder, written
+
+__all__ = ["SPACE", "WORD", "shared_folder", "text_of", "word_count", "written"]
+
 #: A word is a run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new one where it is unset (tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="shared-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
-def written(df: DataFrame) -> DataFrame:
-    """df as a table in the shared folder: cuts the lineage and survives lost executors.
-
-    Only narrow tables (identifiers, hashes, counts) are written, never texts.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/tables/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def text_of(df: DataFrame, name: str = "text") -> Column:
     """The text column as a string; null counts as empty."""
     return F.coalesce(df[name].cast("string"), F.lit(""))
