@@ -185,18 +185,29 @@ def fabricated(text: Column) -> Column:
     return F.translate(text, "0123456789", "3456789012")
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with the value computed once however often the body, or a lambda inside it, uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def character_grams(text: Column, n: int = 3) -> Column:
     """Distinct character n-grams without white space; the text itself where it is shorter."""
-    t = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)\s+", "")
-    many = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(t) - (n - 1)), lambda i: F.substring(t, i, F.lit(n))))
-    return F.when(F.length(t) >= n, many).otherwise(F.array(t))
+
+    def grams(t: Column) -> Column:
+        many = F.transform(F.sequence(F.lit(1), F.length(t) - (n - 1)), lambda i: F.substring(t, i, F.lit(n)))
+        return F.when(F.length(t) >= n, F.array_distinct(many)).otherwise(F.array(t))
+
+    return let(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)\s+", ""), grams)
 
 
 def word_grams(text: Column, n: int = 8, pattern: str = r"(?U)\w+") -> Column:
     """Distinct lower-cased word n-grams; none for fewer words."""
-    words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(pattern), 0)
-    many = F.transform(F.sequence(F.lit(1), F.size(words) - (n - 1)), lambda i: F.array_join(F.slice(words, i, n), " "))
-    return F.when(F.size(words) >= n, F.array_distinct(many)).otherwise(F.expr("cast(array() as array<string>)"))
+
+    def grams(words: Column) -> Column:
+        many = F.transform(F.sequence(F.lit(1), F.size(words) - (n - 1)), lambda i: F.array_join(F.slice(words, i, F.lit(n)), " "))
+        return F.when(F.size(words) >= n, F.array_distinct(many)).otherwise(F.expr("cast(array() as array<string>)"))
+
+    return let(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(pattern), F.lit(0)), grams)
 
 
 def mix_of(text: Column) -> Column:

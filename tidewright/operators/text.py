@@ -21,7 +21,7 @@ def similar_pairs(rows: DataFrame, id: str, grams: str, threshold: float) -> Dat
     frequency = each.groupBy("gram").agg(F.count("*").alias("df"))
     ordered = each.join(frequency, "gram").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "gram"))).alias("o"))
     keep = F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9) + 1
-    prefix = ordered.select("id", "n", F.explode(F.slice("o", F.lit(1), keep.cast("int")))["gram"].alias("gram"))
+    prefix = ordered.select("id", "n", F.explode(F.transform(F.slice("o", F.lit(1), keep.cast("int")), lambda x: x["gram"])).alias("gram"))
     a, b = prefix.withColumnsRenamed({"id": "left", "n": "ln"}), prefix.withColumnsRenamed({"id": "right", "n": "rn"})
     fits = (F.col("left") < F.col("right")) & (F.least("ln", "rn") >= F.lit(threshold) * F.greatest("ln", "rn") - 1e-9)
     pairs = a.join(b, "gram").where(fits).select("left", "right").distinct()
@@ -68,9 +68,7 @@ def stock_phrases(rows: DataFrame, text: str, *, n: int = 4, share: float = 0.3,
     """
     t = F.col(text)
     if characters:
-        flat = F.regexp_replace(F.coalesce(t, F.lit("")), r"(?U)\s+", "")
-        many = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(flat) - (n - 1)), lambda i: F.substring(flat, i, F.lit(n))))
-        grams = F.when(F.length(flat) >= n, many)
+        grams = F.filter(S.character_grams(t, n), lambda g: F.length(g) == n)
     else:
         grams = S.word_grams(t, n, "[a-z']+")
     total = rows.count()
