@@ -24,11 +24,11 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     while not pairs.isEmpty():
         least = pairs.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("to"))
         step = written(least)
-        hop = step.withColumnsRenamed({"id": "to", "to": "next"})
+        hop = step.select(F.col("id").alias("to"), F.col("to").alias("next"))
         jump = step.join(hop, "to", "left").select("id", F.coalesce("next", "to").alias("to"))
         move = written(jump)
-        labels = written(labels.join(move.withColumnsRenamed({"id": "root", "to": "new"}), "root", "left").select("id", F.coalesce("new", "root").alias("root")))
-        to = lambda side: move.withColumnsRenamed({"id": side, "to": f"{side}2"})
+        labels = written(labels.join(move.select(F.col("id").alias("root"), F.col("to").alias("new")), "root", "left").select("id", F.coalesce("new", "root").alias("root")))
+        to = lambda side: move.select(F.col("id").alias(side), F.col("to").alias(f"{side}2"))  # noqa: E731, B023
         moved = pairs.join(to("a"), "a", "left").join(to("b"), "b", "left").select(F.coalesce("a2", "a").alias("x"), F.coalesce("b2", "b").alias("y"))
         pairs = written(moved.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
     return labels
