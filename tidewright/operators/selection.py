@@ -90,9 +90,9 @@ def epoch_schedule(tasks: DataFrame, key: str, *, epochs: int, batch: int, seed:
 
 
 def prefetch_limit(schedule: DataFrame, next_batch: int) -> DataFrame:
-    """The greatest dataset index of the batch after ``next_batch``, or of the last batch."""
+    """The first dataset index past the batch after ``next_batch``, or past the last batch."""
     last = schedule.agg(F.max("batch").alias("last"))
-    return schedule.join(F.broadcast(last)).where(F.col("batch") == F.least(F.lit(next_batch + 1), F.col("last"))).agg(F.max("dataset_index").alias("limit"))
+    return schedule.join(F.broadcast(last)).where(F.col("batch") == F.least(F.lit(next_batch + 1), F.col("last"))).agg((F.max("dataset_index") + 1).alias("limit"))
 
 
 def eligible_replay(entries: DataFrame, current_version: int, *, max_uses: int, max_age: int) -> DataFrame:
