@@ -136,12 +136,8 @@ def mix_documents(
 
 def mixed_copies(documents: DataFrame, text: str = "text", id: str = "doc_id", **parameters) -> DataFrame:
     """The documents of the mix, each as often as the mix takes it: taken over size, rounded half up (once cut in a block)."""
-    counts = mix_documents(documents, text=text, id=id, **parameters)
-    counts = counts.where("taken > 0").groupBy(F.col(id).alias("__id"), F.col("h").alias("__h")).agg(
-        F.sum(F.floor(F.col("taken") / F.col("size") + 0.5)).cast("int").alias("__times")
-    )
-    keyed = documents.withColumns({"__k": F.xxhash64(documents[id], text_of(documents, text))})
-    one = keyed.dropDuplicates([id, "__k"])
-    out = one.join(counts, one[id].eqNullSafe(counts["__id"]) & (one["__k"] == counts["__h"]))
-    out = out.where("__times > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), "__times")))
-    return out.select(*[out[c] for c in documents.columns])
+    counts = mix_documents(documents, text=text, id=id, **parameters).select(F.col(id).alias("of"), "h", "size", "taken").where("taken > 0")
+    counts = counts.groupBy("of", "h").agg(F.sum(F.floor(F.col("taken") / F.col("size") + 0.5)).cast("int").alias("times"))
+    keyed = documents.select(documents[id].alias("id"), F.xxhash64(documents[id], text_of(documents, text)).alias("k"), F.struct("*").alias("document"))
+    out = keyed.dropDuplicates(["id", "k"]).join(counts, F.col("id").eqNullSafe(F.col("of")) & (F.col("k") == F.col("h")))
+    return out.where("times > 0").select("document", F.explode(F.sequence(F.lit(1), "times"))).select("document.*")

@@ -121,9 +121,9 @@ def train(documents: DataFrame, labels: DataFrame, sample_rows: int = 8000, text
     """
     chosen = (
         labels.where(labels["quality"].isNotNull() & ~held_out(labels[id]))
-        .groupBy(labels[id].alias("__id"))
-        .agg((F.avg("quality") >= 0.5).cast("double").alias("__y"))
-        .orderBy(F.xxhash64("__id"), "__id")
+        .groupBy(labels[id].alias("id"))
+        .agg((F.avg("quality") >= 0.5).cast("double").alias("y"))
+        .orderBy(F.xxhash64("id"), "id")
         .limit(sample_rows)
     )
 
@@ -135,9 +135,9 @@ def train(documents: DataFrame, labels: DataFrame, sample_rows: int = 8000, text
         pairs = zip(texts.cast(pa.binary()).to_pylist(), lengths.to_pylist(), strict=True)
         return pa.array([b"".join(a.tobytes() for a in features(t, n, seen)) for t, n in pairs], pa.binary())
 
-    sample = documents.join(F.broadcast(chosen), documents[id] == chosen["__id"])
-    sample = sample.select("__id", "__y", packed(documents[text].cast("string"), documents[chars].cast("long")).alias("__f"))
-    rows = sorted((r["__id"], bytes(r["__f"]), r["__y"]) for r in sample.toLocalIterator())
+    texts = documents.select(documents[id].alias("id"), documents[text].cast("string").alias("text"), documents[chars].cast("long").alias("chars"))
+    sample = texts.join(F.broadcast(chosen), "id").select("id", "y", packed(F.col("text"), F.col("chars")).alias("features"))
+    rows = sorted((r["id"], bytes(r["features"]), r["y"]) for r in sample.toLocalIterator())
     half = lambda b: len(b) // 2
     return fit([(np.frombuffer(b[: half(b)], np.int32), np.frombuffer(b[half(b) :], np.float32), y) for _, b, y in rows])
 

@@ -39,16 +39,16 @@ def evaluate(captures: DataFrame, entries: DataFrame, salts: int = 16) -> DataFr
     all captures is not in one task.
     """
     held = [c for c in captures.columns if c not in ("blocked", "pattern", "since")]
-    rows = captures.select(*held, F.coalesce(host(F.col("url")), F.lit("")).alias("__host"), F.coalesce(first_step(F.col("url")), F.lit("")).alias("__step"))
-    sites = rows.select("__host", "__step", "fetched").where("__host <> '' and fetched is not null").distinct()
-    labels = F.split("__host", r"\.")
+    place = [F.coalesce(host(captures["url"]), F.lit("")).alias("host"), F.coalesce(first_step(captures["url"]), F.lit("")).alias("step"), captures["fetched"].alias("at")]
+    rows = captures.select(F.struct(*held).alias("capture"), *place)
+    sites = captures.select(*place).where("host <> '' and at is not null").distinct()
+    labels = F.split("host", r"\.")
     domains = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    keys = F.array_distinct(F.concat(domains, F.transform(domains, lambda d: F.concat(d, F.col("__step")))))
-    asked = sites.withColumn("pattern", F.explode(keys)).withColumn("salt", F.pmod(F.xxhash64("__host", "__step", "fetched"), F.lit(salts)).cast("int"))
+    keys = F.array_distinct(F.concat(domains, F.transform(domains, lambda d: F.concat(d, F.col("step")))))
+    asked = sites.withColumn("pattern", F.explode(keys)).withColumn("salt", F.pmod(F.xxhash64("host", "step", "at"), F.lit(salts)).cast("int"))
     spans = validity(entries).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    active = asked.join(spans, ["pattern", "salt"]).where("since <= fetched and (until is null or fetched < until)")
+    active = asked.join(spans, ["pattern", "salt"]).where("since <= at and (until is null or at < until)")
     rank = F.struct((-F.length("pattern")).alias("l"), F.col("pattern").alias("pattern"), F.col("since").alias("since"))
-    verdict = active.groupBy("__host", "__step", "fetched").agg(F.min(rank).alias("__m"))
-    verdict = verdict.select(F.col("__host").alias("__h"), F.col("__step").alias("__s"), F.col("fetched").alias("__f"), "__m")
-    out = rows.join(verdict, (rows["__host"] == verdict["__h"]) & (rows["__step"] == verdict["__s"]) & (rows["fetched"] == verdict["__f"]), "left")
-    return out.select(*[rows[c] for c in held], F.col("__m").isNotNull().alias("blocked"), F.col("__m.pattern").alias("pattern"), F.col("__m.since").alias("since"))
+    verdict = active.groupBy("host", "step", "at").agg(F.min(rank).alias("m"))
+    out = rows.join(verdict, ["host", "step", "at"], "left")
+    return out.select("capture.*", F.col("m").isNotNull().alias("blocked"), F.col("m.pattern").alias("pattern"), F.col("m.since").alias("since"))
