@@ -14,17 +14,30 @@ def similar_pairs(rows: DataFrame, id: str, grams: str, threshold: float) -> Dat
 
     ``grams`` is an array of distinct grams. Prefix filter: grams are ordered from rare to frequent, and only the first
     n - ceil(threshold * n) + 1 of each row are joined, so frequent grams meet only where all rarer ones are few; sizes
-    must be within the threshold of each other. Candidates are verified on the whole sets.
+    must be within the threshold of each other, and 256-bit sketches may differ in no more bits than the sets may differ in
+    grams. None of these filters loses a pair. Candidates are verified on the whole sets.
     """
-    sets = rows.select(F.col(id).alias("id"), F.col(grams).alias("g")).withColumn("n", F.size("g"))
+    # Written once: it is read four times, and filters that Spark infers for the arrays would make the grams anew each time.
+    sets = written(rows.select(F.col(id).alias("id"), F.col(grams).alias("g"))).withColumn("n", F.size("g"))
     each = sets.select("id", "n", F.explode("g").alias("gram"))
     frequency = each.groupBy("gram").agg(F.count("*").alias("df"))
-    ordered = each.join(frequency, "gram").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "gram"))).alias("o"))
+    bit = F.pmod(F.xxhash64("gram"), F.lit(256))
+    word = lambda k: F.bit_or(F.when(F.floor(bit / 64) == k, F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 64).cast("int"))).otherwise(F.lit(0).cast("long"))).alias(f"b{k}")
+    ordered = each.join(frequency, "gram").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "gram"))).alias("o"), *[word(k) for k in range(4)])
     keep = F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9) + 1
-    prefix = ordered.select("id", "n", F.explode(F.transform(F.slice("o", F.lit(1), keep.cast("int")), lambda x: x["gram"])).alias("gram"))
-    a, b = prefix.withColumnsRenamed({"id": "left", "n": "ln"}), prefix.withColumnsRenamed({"id": "right", "n": "rn"})
-    fits = (F.col("left") < F.col("right")) & (F.least("ln", "rn") >= F.lit(threshold) * F.greatest("ln", "rn") - 1e-9)
-    pairs = a.join(b, "gram").where(fits).select("left", "right").distinct()
+    bits = [f"b{k}" for k in range(4)]
+    prefix = ordered.select("id", "n", *bits, F.explode(F.transform(F.slice("o", F.lit(1), keep.cast("int")), lambda x: F.xxhash64(x["gram"]))).alias("gram"))
+    side = lambda p: prefix.select("gram", *[F.col(c).alias(p + c) for c in ("id", "n", *bits)])
+    both_n = F.col("ln") + F.col("rn")
+    apart = sum((F.bit_count(F.col(f"l{c}").bitwiseXOR(F.col(f"r{c}"))) for c in bits), F.lit(0))
+    fits = (
+        (F.col("lid") < F.col("rid"))
+        & (F.least("ln", "rn") >= F.lit(threshold) * F.greatest("ln", "rn") - 1e-9)
+        & (apart <= F.lit((1 - threshold) / (1 + threshold)) * both_n + 1e-9)
+    )
+    # A join that makes far more rows than it reads: by the size of its input alone it would be left to a few tasks.
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pairs = side("l").repartition(tasks, "lid").join(side("r"), "gram").where(fits).select(F.col("lid").alias("left"), F.col("rid").alias("right")).distinct()
     whole = sets.select("id", "g")
     both = pairs.join(whole.withColumnsRenamed({"id": "left", "g": "lg"}), "left").join(whole.withColumnsRenamed({"id": "right", "g": "rg"}), "right")
     shared = F.size(F.array_intersect("lg", "rg"))
