@@ -73,6 +73,25 @@ def test_op2_awkward_rows(spark, awkward, nothing):
     assert simhash.near_duplicates(nothing).count() == 0
 
 
+def test_one_of_each_finds_edited_copies(spark):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 9)))
+    grams = lambda t: {tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)}
+    texts, group = [], []
+    for g in range(60):
+        base = [word() for _ in range(rng.randint(80, 400))]
+        for k in range(4):
+            copy = list(base)
+            for _ in range(k * len(base) // 200):
+                copy[rng.randrange(len(copy))] = word()
+            texts.append(" ".join(copy))
+            group.append(g)
+    kept = [r["doc_id"] for r in simhash.one_of_each(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()]
+    assert {group[i] for i in kept} == set(range(60))
+    alike = [i for i in range(len(texts)) if i % 4 and len(grams(texts[i]) & grams(texts[i - i % 4])) / len(grams(texts[i]) | grams(texts[i - i % 4])) >= 0.8]
+    assert len(set(alike) & set(kept)) <= 0.1 * len(alike)
+
+
 def test_one_of_each_keeps_columns_and_classes(spark, awkward, nothing):
     out = simhash.one_of_each(awkward)
     assert out.columns == awkward.columns
