@@ -273,7 +273,7 @@ def test_idle_closure(spark):
 
 
 def test_validators(spark):
-    rows = spark.createDataFrame([("a", "complex", "t", "r", ["x"], "en", None), ("", "odd", "t", None, [], "en", "soon")], "id string, category string, title string, user_request string, rules array<string>, language string, clock string")
+    rows = spark.createDataFrame([("a", "simple_agentic", "t", "r", ["x"], "en", None), ("", "odd", "t", None, [], "en", "soon")], "id string, category string, title string, user_request string, rules array<string>, language string, clock string")
     out = [r["problems"] for r in validators.requests(rows).orderBy(F.desc("id")).collect()]
     assert out[0] == [] and set(out[1]) == {"id is missing", "user request is missing", "unknown category", "no rules", "bad clock"}
     act = lambda r, p, a: one(spark, validators.rejection_action(F.lit(r), F.lit(p), F.lit(a), 3))

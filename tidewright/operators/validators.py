@@ -17,7 +17,7 @@ def valid(rows: DataFrame) -> DataFrame:
     return rows.where(F.size("problems") == 0).drop("problems")
 
 
-def requests(rows: DataFrame, categories: tuple[str, ...] = ("direct_response", "single_write", "simple", "ordinary", "complex")) -> DataFrame:
+def requests(rows: DataFrame, categories: tuple[str, ...] = ("direct_response", "simple_agentic", "multi_step_agentic")) -> DataFrame:
     """Requests: id, category, title, user_request, rules (array), language, clock (null, a number or a calendar text)."""
     blank = lambda c: F.coalesce(F.trim(F.col(c)) == "", F.lit(True))
     clock = F.col("clock").isNotNull() & F.col("clock").try_cast("long").isNull() & ~S.is_calendar(F.col("clock"))

@@ -135,7 +135,7 @@ def chat_turns(rows: DataFrame, text: str, markers: tuple[str, ...] = ("USER:",
     parts = F.filter(F.split(F.trim(text), pattern), lambda p: F.trim(p) != "")
     body = "|".join(markers)
     turn = lambda p: F.struct(
-        F.lower(F.regexp_extract(p, f"^({body})", 1)).alias("role"), F.trim(F.regexp_replace(p, f"^({body})", "")).alias("content")
+        F.rtrim(F.lower(F.regexp_extract(p, f"^({body})", 1)), F.lit(":")).alias("role"), F.regexp_replace(p, rf"^({body})\s*|\s+$", "").alias("content")
     )
     return rows.withColumn("turns", F.transform(parts, turn))
 
