@@ -14,18 +14,18 @@ def similar_pairs(rows: DataFrame, id: str, grams: str, threshold: float) -> Dat
 
     ``grams`` is an array of distinct grams. Prefix filter: grams are ordered from rare to frequent, and only the first
     n - ceil(threshold * n) + 1 of each row are joined, so frequent grams meet only where all rarer ones are few; sizes
-    must be within the threshold of each other, and 256-bit sketches may differ in no more bits than the sets may differ in
+    must be within the threshold of each other, and 512-bit sketches may differ in no more bits than the sets may differ in
     grams. None of these filters loses a pair. Candidates are verified on the whole sets.
     """
     # Written once: it is read four times, and filters that Spark infers for the arrays would make the grams anew each time.
     sets = written(rows.select(F.col(id).alias("id"), F.col(grams).alias("g"))).withColumn("n", F.size("g"))
     each = sets.select("id", "n", F.explode("g").alias("gram"))
     frequency = each.groupBy("gram").agg(F.count("*").alias("df"))
-    bit = F.pmod(F.xxhash64("gram"), F.lit(256))
+    bit = F.pmod(F.xxhash64("gram"), F.lit(512))
     word = lambda k: F.bit_or(F.when(F.floor(bit / 64) == k, F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 64).cast("int"))).otherwise(F.lit(0).cast("long"))).alias(f"b{k}")
-    ordered = each.join(frequency, "gram").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "gram"))).alias("o"), *[word(k) for k in range(4)])
+    ordered = each.join(frequency, "gram").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "gram"))).alias("o"), *[word(k) for k in range(8)])
     keep = F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9) + 1
-    bits = [f"b{k}" for k in range(4)]
+    bits = [f"b{k}" for k in range(8)]
     prefix = ordered.select("id", "n", *bits, F.explode(F.transform(F.slice("o", F.lit(1), keep.cast("int")), lambda x: F.xxhash64(x["gram"]))).alias("gram"))
     side = lambda p: prefix.select("gram", *[F.col(c).alias(p + c) for c in ("id", "n", *bits)])
     both_n = F.col("ln") + F.col("rn")
