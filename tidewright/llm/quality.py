@@ -30,7 +30,7 @@ def features(value: bytes | None, n_chars: int | None, seen: dict[bytes, int]) -
     for w in words:
         k = seen.get(w)
         if k is None:
-            if len(seen) > 200_000:
+            if len(seen) >= 50_000:
                 seen.clear()
             k = seen[w] = crc32(w.lower()) % WORDS
         numbers.append(k)
@@ -132,8 +132,8 @@ def train(documents: DataFrame, labels: DataFrame, sample_rows: int = 8000, text
         import pyarrow as pa
 
         seen: dict[bytes, int] = {}
-        pairs = zip(texts.cast(pa.binary()).to_pylist(), lengths.to_pylist(), strict=True)
-        return pa.array([b"".join(a.tobytes() for a in features(t, n, seen)) for t, n in pairs], pa.binary())
+        pairs = zip(texts.cast(pa.binary()), lengths, strict=True)
+        return pa.array([b"".join(a.tobytes() for a in features(t.as_py(), n.as_py(), seen)) for t, n in pairs], pa.binary())
 
     texts = documents.select(documents[id].alias("id"), documents[text].cast("string").alias("text"), documents[chars].cast("long").alias("chars"))
     sample = texts.join(F.broadcast(chosen), "id").select("id", "y", packed(F.col("text"), F.col("chars")).alias("features"))
@@ -151,8 +151,8 @@ def score(text: Column, n_chars: Column, model: FactorisationMachine) -> Column:
         import pyarrow as pa
 
         seen: dict[bytes, int] = {}
-        pairs = zip(texts.cast(pa.binary()).to_pylist(), lengths.to_pylist(), strict=True)
-        return pa.array([small.score(*features(t, n, seen)) for t, n in pairs], pa.float64())
+        pairs = zip(texts.cast(pa.binary()), lengths, strict=True)
+        return pa.array([small.score(*features(t.as_py(), n.as_py(), seen)) for t, n in pairs], pa.float64())
 
     return of(text.cast("string"), n_chars.cast("long"))
 
