@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewright.plans import credit, episodes, grading, selection, text
+from tidewright.plans import certify, credit, episodes, grading, selection, text
 
 Query = Callable[[SparkSession, str], DataFrame]
-_ALL: dict[str, tuple[Query, str | None]] = {**credit.QUERIES, **episodes.QUERIES, **text.QUERIES, **selection.QUERIES, **grading.QUERIES}
+_ALL: dict[str, tuple[Query, str | None]] = {**credit.QUERIES, **episodes.QUERIES, **text.QUERIES, **selection.QUERIES, **grading.QUERIES, **certify.QUERIES}
 
 
 def queries() -> dict[str, Query]:
