@@ -161,3 +161,59 @@ def test_op3_awkward_rows(spark, awkward, nothing):
     assert cws.fingerprints(nothing).count() == 0
     alone = cws.fingerprints(spark.createDataFrame([(1, "alone at last")], "doc_id long, text string")).first()
     assert alone["next_signature"] == alone["signature"]
+
+
+def shingle_sets(texts: list[str]) -> list[set]:
+    return [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (t.split() for t in texts)]
+
+
+def likeness(a: set, b: set) -> float:
+    return len(a & b) / len(a | b)
+
+
+def edited_copies() -> list[tuple[str, str]]:
+    """(kind, text): texts, each followed by its copy with a passage appended, cut or replaced, or with words edited."""
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 9)))
+    out = []
+    for k in range(240):
+        base = [word() for _ in range(rng.randint(120, 600))]
+        n, kind = rng.randint(1, max(1, len(base) // 6)), ("appended", "truncated", "replaced", "words")[k % 4]
+        copy = {"appended": base + [word() for _ in range(n)], "truncated": base[:-n], "replaced": base[:-n] + [word() for _ in range(n)]}.get(kind, list(base))
+        for _ in range(n // 5 if kind == "words" else 0):
+            copy[rng.randrange(len(copy))] = word()
+        out += [(kind, " ".join(base)), (kind, " ".join(copy))]
+    return out
+
+
+def test_one_of_each_finds_all_kinds_of_copies(spark):
+    """Appended, truncated, block-replaced and word-edited copies of similarity 0.8 or more, against brute force."""
+    cases = edited_copies()
+    sets = shingle_sets([t for _, t in cases])
+    kept = {r["doc_id"] for r in simhash.one_of_each(spark.createDataFrame([(i, t) for i, (_, t) in enumerate(cases)], "doc_id long, text string")).collect()}
+    for kind in ("appended", "truncated", "replaced", "words"):
+        alike = [i for i in range(1, len(cases), 2) if cases[i][0] == kind and likeness(sets[i - 1], sets[i]) >= 0.8]
+        found = [i for i in alike if i not in kept]
+        print(kind, len(found), len(alike))
+        assert len(alike) >= 20 and found == alike
+
+
+def test_one_of_each_equals_all_pairs(spark):
+    """Chains of edits and a line that all share: the rows that stay are those of all pairs."""
+    rng = random.Random(22)
+    word = lambda: rng.choice("abcdefghij") + rng.choice("klmnopqrst") * rng.randint(1, 3)
+    line, texts = " ".join(word() for _ in range(30)), ["", " \n", "one", "One"]
+    for _ in range(12):
+        copy = [word() for _ in range(rng.randint(30, 90))]
+        for _ in range(12):
+            copy = [word() if rng.random() < 0.012 else w for w in copy]
+            texts.append(" ".join(copy) + " " + line)
+    sets = shingle_sets([t.lower() for t in texts])
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if root[i] != root[j] and likeness(sets[i], sets[j]) >= 0.8:
+                least, other = sorted((root[i], root[j]))
+                root = [least if r == other else r for r in root]
+    kept = [r["doc_id"] for r in simhash.one_of_each(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()]
+    assert sorted(kept) == sorted(set(root))
