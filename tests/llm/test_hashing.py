@@ -217,3 +217,21 @@ def test_one_of_each_equals_all_pairs(spark):
                 root = [least if r == other else r for r in root]
     kept = [r["doc_id"] for r in simhash.one_of_each(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()]
     assert sorted(kept) == sorted(set(root))
+
+
+def test_one_of_each_keeps_what_is_less_alike(spark):
+    """Pairs of similarity below 0.8, and texts that share no more than a much repeated line, all stay."""
+    rng = random.Random(23)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 9)))
+    texts = []
+    for k in range(80):
+        base = [word() for _ in range(rng.randint(150, 400))]
+        copy = list(base)
+        while likeness(*shingle_sets([" ".join(base), " ".join(copy)])) >= 0.8 - 0.001 * (k % 80):
+            copy[rng.randrange(len(copy))] = word()
+        texts += [" ".join(base), " ".join(copy)]
+    line = " ".join(word() for _ in range(8))
+    texts += [" ".join([line] * 60 + [word() for _ in range(30)]) for _ in range(20)]
+    kept = simhash.one_of_each(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).count()
+    print("kept", kept, "of", len(texts))
+    assert kept == len(texts)
