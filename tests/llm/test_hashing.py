@@ -64,6 +64,32 @@ def test_links_connect_all_within_two_bits(spark):
     assert len(set(zip(want, got, strict=True))) == len(set(want)) == len(set(got))
 
 
+@pytest.mark.parametrize("crowd", [1, 4, 64])
+def test_crowded_values_lose_no_link(spark, crowd):
+    """Many fingerprints around one centre, all pairs compared; a table value fetches no more than the crowd."""
+    rng = random.Random(5)
+    centre = rng.getrandbits(64)
+    fps = {centre ^ sum({1 << rng.randrange(64) for _ in range(rng.randint(0, 5))}) for _ in range(300)}
+    fps |= {(centre & ~0xFFFFFFFF) | rng.getrandbits(32) for _ in range(150)} | {rng.getrandbits(64) for _ in range(50)}
+    signed = [f - (1 << 64) if f >> 63 else f for f in fps]
+    frame = spark.createDataFrame([(f,) for f in signed], "fp long")
+    roots = {r["node"]: r["root"] for r in components(simhash.links(frame, crowd)).collect()}
+    want, got = classes([f & ((1 << 64) - 1) for f in signed]), [roots.get(f, f) for f in signed]
+    assert len(set(zip(want, got, strict=True))) == len(set(want)) == len(set(got))
+
+
+def test_probes_meet_within_one_bit_of_a_segment(spark):
+    """The tables hold two rows a fingerprint; a probe and a table row meet for all pairs with a segment within one bit."""
+    rng = random.Random(6)
+    a = rng.getrandbits(63)
+    cases = {a: 0, a ^ 1: 1, a ^ (1 << 40): 1, a ^ 3: 2, a ^ (1 << 40) ^ 1: 2, a ^ 7: 3, a ^ (7 << 33): 3, a ^ 3 ^ (3 << 40): 4}
+    frame = spark.createDataFrame([(f,) for f in cases], "fp long")
+    assert simhash.table(frame).count() == 2 * len(cases)
+    met = simhash.probes(frame).alias("p").join(simhash.table(frame).alias("t"), ["segment", "value"]).select(F.least("p.fp", "t.fp").alias("x"), F.greatest("p.fp", "t.fp").alias("y")).distinct().collect()
+    near = lambda x, y: any(((x >> s & 0xFFFFFFFF) ^ (y >> s & 0xFFFFFFFF)).bit_count() <= 1 for s in (0, 32))
+    assert {(r["x"], r["y"]) for r in met} == {(min(x, y), max(x, y)) for x in cases for y in cases if near(x, y)}
+
+
 def test_op2_awkward_rows(spark, awkward, nothing):
     out = simhash.near_duplicates(awkward).collect()
     assert len(out) == awkward.count()
