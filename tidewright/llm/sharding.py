@@ -1,10 +1,12 @@
 """Sharding into contiguous runs of atomic groups under the smallest feasible capacity.
 
-Documents with equal texts form a group that no cut may split. Groups are ordered by the XXH64 of the text, and groups
-that share the leading ``cell_bits`` bits are laid together, so that the ordered sizes are a list of at most
-``2 ** cell_bits`` numbers however large the corpus is. A binary search finds the smallest capacity under which a greedy
-walk over this list needs no more than the wanted shards; the cuts are then placed under that capacity, each shard aiming
-at an even share of what is left. Everything is a DataFrame or SQL expression.
+Documents with equal texts form a group that no cut may split; groups are ordered by the XXH64 of the text. A binary
+search finds the smallest capacity under which a greedy walk over the ordered sizes needs no more than the wanted shards.
+So that the walk never needs all groups, it starts from a list of sums over the leading bits of the hash. Taken as atomic
+these sums give a capacity that is surely enough, taken as divisible one that is surely needed. While the two differ, the
+sums that a cut may fall into are split by further bits, at most ``REFINED`` of them at a time, down to single groups if
+need be. When the two agree the capacity is that of the groups, and the cuts are placed under it, each shard aiming at an
+even share of what is left. Everything is a DataFrame or SQL expression.
 """
 
 from __future__ import annotations
@@ -12,42 +14,109 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import text_of, written
+from .shared import offsets_before, text_of, written
 
 
-def capacity(sizes: Column, shards: int) -> Column:
-    """Smallest capacity for which a greedy walk over the array of longs needs at most ``shards`` runs; 0 if empty."""
+#: Leading bits of the hash of the first sums, the bits by which a sum is split further, and the sums split at a time.
+FIRST_BITS, MORE_BITS, REFINED = 14, 8, 64
 
-    def runs(limit: Column) -> Column:
-        return F.aggregate(
-            sizes,
-            F.struct(F.lit(1).alias("n"), F.lit(0).cast("long").alias("filled")),
-            lambda s, g: F.when(
-                s["filled"] + g <= limit, F.struct(s["n"].alias("n"), (s["filled"] + g).alias("filled"))
-            ).otherwise(F.struct((s["n"] + 1).alias("n"), g.alias("filled"))),
-            lambda s: s["n"],
-        )
 
-    total = F.aggregate(sizes, F.lit(0).cast("long"), lambda s, g: s + g)
-    low = F.greatest(F.coalesce(F.array_max(sizes), F.lit(0).cast("long")), F.ceil(total / shards))
+def walked(items: Column, limit: Column, divisible: bool) -> Column:
+    """The greedy walk over items (size, groups) under a capacity: n (shards), filled (of the last), at, and cuts (offsets).
+
+    With ``divisible`` an item of several groups may be cut anywhere.
+    """
+    at = lambda s: s["at"]
+    state = lambda n, filled, at, cuts: F.struct(n.alias("n"), filled.alias("filled"), at.alias("at"), cuts.alias("cuts"))
+
+    def step(s: Column, g: Column) -> Column:
+        size = g["size"]
+        fits = state(s["n"], s["filled"] + size, at(s) + size, s["cuts"])
+        new = state(s["n"] + 1, size, at(s) + size, F.array_append(s["cuts"], at(s)))
+        if divisible:
+            over = F.greatest(F.ceil((s["filled"] + size) / limit).cast("long") - 1, F.lit(1).cast("long"))
+            inner = F.transform(F.sequence(F.lit(1).cast("long"), over), lambda k: at(s) - s["filled"] + k * limit)
+            parted = state((s["n"] + over).cast("int"), s["filled"] + size - over * limit, at(s) + size, F.concat(s["cuts"], inner))
+            new = F.when(g["groups"] > 1, parted).otherwise(new)
+        return F.when(s["filled"] + size <= limit, fits).otherwise(new)
+
+    zero = F.lit(0).cast("long")
+    return F.aggregate(items, state(F.lit(1), zero, zero, F.expr("cast(array() as array<bigint>)")), step)
+
+
+def total(items: Column) -> Column:
+    return F.aggregate(items, F.lit(0).cast("long"), lambda s, g: s + g["size"])
+
+
+def capacity(items: Column, shards: int, divisible: bool = False) -> Column:
+    """Smallest capacity for which the greedy walk over items (size, groups, most) needs at most ``shards`` runs; 0 if empty.
+
+    ``most`` is the size of an item's largest group, which no capacity may be below.
+    """
+    largest = F.transform(items, lambda g: g["most"] if divisible else g["size"])
+    low = F.greatest(F.coalesce(F.array_max(largest), F.lit(0).cast("long")), F.ceil(total(items) / shards))
 
     def halve(s: Column, _: Column) -> Column:
         middle = s["low"] + F.expr("0L") + F.floor((s["high"] - s["low"]) / 2)
-        fits = runs(middle) <= shards
+        fits = walked(s["items"], middle, divisible)["n"] <= shards
         return F.when(s["low"] >= s["high"], s).otherwise(
-            F.struct(
-                F.when(fits, s["low"]).otherwise(middle + 1).alias("low"),
-                F.when(fits, middle).otherwise(s["high"]).alias("high"),
-            )
+            F.struct(F.when(fits, s["low"]).otherwise(middle + 1).alias("low"), F.when(fits, middle).otherwise(s["high"]).alias("high"), s["items"].alias("items"))
         )
 
-    # Each step halves the open interval; it is closed after the number of bits of the total.
-    return F.aggregate(
-        F.sequence(F.lit(1), F.lit(63)),
-        F.struct(low.alias("low"), F.greatest(total, low).alias("high")),
-        halve,
-        lambda s: s["high"],
-    )
+    # A greedy walk leaves less than the largest item free in each shard, so the answer is below low plus that item. Each
+    # step halves the interval; it is closed after the number of bits of the total.
+    high = F.least(F.greatest(total(items), low), low + F.coalesce(F.array_max(F.transform(items, lambda g: g["size"])), F.lit(0).cast("long")))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(63)), F.struct(low.alias("low"), high.alias("high"), items.alias("items")), halve, lambda s: s["high"])
+
+
+def doubtful(items: Column, enough: Column, needed: Column, shards: int) -> Column:
+    """The largest items (start, size, bits), at most REFINED, of several groups that a cut may fall into.
+
+    Cut j lies between the j-th cut of the divisible walk under the capacity needed and that under the one that is enough.
+    """
+    low, high = walked(items, needed, True)["cuts"], walked(items, enough, True)["cuts"]
+    spans = F.transform(low, lambda x, j: F.struct(x.alias("low"), F.greatest(x, F.coalesce(F.get(high, j), total(items))).alias("high")))
+    none = F.expr("cast(array() as array<struct<size:bigint,start:bigint,bits:int>>)")
+
+    def step(s: Column, g: Column) -> Column:
+        end = s["at"] + g["size"]
+        met = (g["groups"] > 1) & F.exists(s["spans"], lambda p: (p["low"] < end) & (p["high"] > s["at"]))
+        own = F.struct(g["size"].alias("size"), g["start"].alias("start"), g["bits"].alias("bits"))
+        return F.struct(end.alias("at"), F.when(met, F.array_append(s["found"], own)).otherwise(s["found"]).alias("found"), s["spans"].alias("spans"))
+
+    start = F.struct(F.lit(0).cast("long").alias("at"), none.alias("found"), spans.alias("spans"))
+    found = F.aggregate(items, start, step, lambda s: s["found"])
+    return F.slice(F.sort_array(found, asc=False), 1, REFINED)
+
+
+def summed(groups: DataFrame, bits: int) -> DataFrame:
+    """Items of groups (h, bytes) by the leading bits of h: start (least h), size, groups, most and bits."""
+    cell = F.shiftright("h", 64 - bits)
+    of = groups.groupBy(cell.alias("cell")).agg(F.min("h").alias("start"), F.sum("bytes").alias("size"), F.count("*").alias("groups"), F.max("bytes").alias("most"))
+    return of.select("start", "size", "groups", "most", F.lit(bits).alias("bits"))
+
+
+def group_cuts(groups: DataFrame, shards: int, first_bits: int = FIRST_BITS) -> tuple[int, list[int]]:
+    """The smallest capacity for groups (h, bytes) in order of h, and the h at which new shards start, at most shards - 1.
+
+    Only these numbers, and the places of at most REFINED items a round, reach the driver. The list of items has at most
+    2 ** first_bits + REFINED * 2 ** MORE_BITS numbers more a round; a round splits each chosen item by MORE_BITS bits.
+    """
+    items = written(summed(groups, first_bits))
+    while True:
+        listed = items.agg(F.array_sort(F.collect_list(F.struct("start", "size", "groups", "most", "bits"))).alias("items"))
+        listed = listed.withColumn("enough", capacity(F.col("items"), shards)).withColumn("needed", capacity(F.col("items"), shards, True))
+        split = F.when(F.col("enough") > F.col("needed"), doubtful(F.col("items"), F.col("enough"), F.col("needed"), shards))
+        starts = F.transform(cuts(F.transform("items", lambda g: g["size"]), F.col("enough"), shards), lambda i: F.get(F.col("items"), i)["start"])
+        found = listed.select("enough", split.alias("split"), F.when(F.col("enough") == F.col("needed"), starts).alias("starts")).first()
+        if found["split"] is None:
+            return found["enough"], found["starts"]
+        parts = items.where(~F.col("start").isin([i["start"] for i in found["split"]]))
+        for bits in sorted({i["bits"] for i in found["split"]}):
+            cells = [i["start"] >> (64 - bits) for i in found["split"] if i["bits"] == bits]
+            inside = groups.where(F.shiftright("h", 64 - bits).isin(cells))
+            parts = parts.unionByName(summed(inside, min(64, bits + MORE_BITS)))
+        items = written(parts)
 
 
 def cuts(sizes: Column, limit: Column, shards: int) -> Column:
@@ -101,7 +170,7 @@ def cuts(sizes: Column, limit: Column, shards: int) -> Column:
 
 
 def shard_documents(
-    documents: DataFrame, shards: int = 8, cell_bits: int = 14, rank_cells: int = 4096, text: str = "text", id: str = "doc_id"
+    documents: DataFrame, shards: int = 8, first_bits: int = FIRST_BITS, rank_cells: int = 4096, text: str = "text", id: str = "doc_id"
 ) -> DataFrame:
     """Every document's shard under the law ``bytes``: sizes near equal, equal texts together, one row per input row.
 
@@ -122,24 +191,13 @@ def shard_documents(
             F.xxhash64(body).alias("h"),
         )
     )
-    cell = F.expr(f"shiftrightunsigned(h, {64 - cell_bits})")
-    cells = base.groupBy(cell.alias("cell")).agg(F.sum("size").alias("bytes"))
-    listed = cells.agg(F.array_sort(F.collect_list(F.struct("cell", "bytes"))).alias("cells"))
-    listed = listed.select(F.col("cells.cell").alias("names"), F.col("cells.bytes").alias("sizes"))
-    listed = listed.withColumn("capacity", capacity(F.col("sizes"), shards))
-    found = listed.withColumn("cuts", cuts(F.col("sizes"), F.col("capacity"), shards))
-    starts = found.select(F.transform("cuts", lambda i: F.get(F.col("names"), i)).alias("s")).first()["s"]  # at most shards - 1 numbers
+    _, starts = group_cuts(written(base.groupBy("h").agg(F.sum("size").alias("bytes"))), shards, first_bits)
 
     shard = F.lit(0)
     for first in starts:
-        shard = shard + F.when(cell >= first, 1).otherwise(0)
-    placed = base.select("*", shard.cast("int").alias("shard"), F.pmod(F.xxhash64("id", "h"), F.lit(rank_cells)).alias("rank_cell"))
-    before = Window.partitionBy("shard").orderBy("rank_cell").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        placed.groupBy("shard", "rank_cell")
-        .count()
-        .select("shard", "rank_cell", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("offset"))
-    )
+        shard = shard + F.when(F.col("h") >= first, 1).otherwise(0)
+    placed = base.select("*", shard.cast("int").alias("shard"), F.pmod(F.xxhash64("id", "h"), F.lit(rank_cells)).cast("int").alias("rank_cell"))
+    offsets = offsets_before(placed.groupBy("shard", "rank_cell").count(), ["shard"], "rank_cell", "count")
     within = Window.partitionBy("shard", "rank_cell").orderBy("h", "id", "size", "crc")
     return placed.join(offsets, ["shard", "rank_cell"]).select(
         F.col("id").alias(id),
