@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,16 +10,21 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a new local folder where it is unset (tests)."""
+    """spark.checkpoint.dir; where it is unset, a new temporary folder in local mode, and an error on a cluster."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="shared-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
 def written(df: DataFrame) -> DataFrame:
-    """df as a table in the shared folder: cuts the lineage and survives lost executors."""
+    """df as a table in the shared folder: cuts the lineage and survives lost executors.
+
+    Tables stay until the folder is cleaned, as checkpoints do: a query is lazy, so what it reads must outlive the call.
+    """
     path = f"{shared_folder(df.sparkSession)}/tables/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
