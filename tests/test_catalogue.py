@@ -15,7 +15,7 @@ def test_greedy_keep_matches_a_loop(spark, sf_dir):
     pairs = [(r["left"], r["right"]) for r in catalogue.queries()["near_duplicates"](spark, sf_dir).collect()]
     from tidewright.plans import text
 
-    ids = sorted(r["doc_id"] for r in text._lines(spark, sf_dir).groupBy("line").agg({"doc_id": "min"}).toDF("line", "doc_id").collect())
+    ids = sorted(r["page_id"] for r in text._addresses(spark, sf_dir).collect())
     near = {}
     for a, b in pairs:
         near.setdefault(b, set()).add(a)
@@ -23,7 +23,7 @@ def test_greedy_keep_matches_a_loop(spark, sf_dir):
     for i in ids:
         if not near.get(i, set()) & kept:
             kept.add(i)
-    assert {r["doc_id"] for r in catalogue.queries()["greedy_keep"](spark, sf_dir).collect()} == kept
+    assert {r["page_id"] for r in catalogue.queries()["greedy_keep"](spark, sf_dir).collect()} == kept
 
 
 def test_split_balance_keeps_components_whole(spark, sf_dir):

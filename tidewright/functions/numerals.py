@@ -25,15 +25,20 @@ _YUAN = re.compile(r"(\d+|[零一二两三四五六七八九十百千万]+)块(\
 
 
 def chinese_value(text: str) -> int | None:
-    """The value of a Chinese numeral below 10**8, a trailing sign taking the unit below the last; null if it is none."""
+    """The value of a Chinese numeral below 10**8, a trailing sign taking the unit below the last; null if it is none.
+
+    A unit counts the sign before it: 百, 千 and 万 are no numbers by themselves, 十 only at the beginning is.
+    """
     total, part, sign, last = 0, 0, None, 1
-    for c in text:
+    for at, c in enumerate(text):
         if c in SIGNS:
             if sign is not None and sign != 0:
                 return None
             sign = SIGNS[c]
             if sign == 0:
                 last = 10
+        elif not sign and (UNITS[c] < 10_000 or not part) and not (c == "十" and at == 0):
+            return None
         elif UNITS[c] == 10_000:
             total, part, sign, last = (part + (sign or 0)) * 10_000, 0, None, 10_000
         else:

@@ -30,13 +30,13 @@ _DIAN = re.compile(rf"({'|'.join(LATE + EARLY)})?\s*(?<!\d)(\d{{1,2}})\s*点\s*(
 
 
 def dates_in(text: str) -> list[str]:
-    """Days said, as YYYY-MM-DD, with the year 0000 where none was said. "may" is a month only when capitalised."""
+    """Days said, as YYYY-MM-DD, with the year 0000 where none was said. Only "May" is that month, "may" and "MAY" are not."""
     out = set()
     for pattern, order in _DATES:
         for m in pattern.finditer(text):
             part = dict(zip(order, m.groups(), strict=True))
             name = part.get("M")
-            if name in ("may",):
+            if name and name.lower() == "may" and name != "May":
                 continue
             month = NUMBER[name.lower()] if name else int(part["m"])
             year = int(part["y"] or 0)
@@ -50,7 +50,7 @@ def dates_in(text: str) -> list[str]:
 
 
 def times_in(text: str) -> list[str]:
-    """Clock times said, as HH:MM; a bare hour before 点 is the morning's."""
+    """Clock times said, as HH:MM; a bare hour before 点 is the morning's, an early twelve is midnight as well as noon."""
     out = set()
     for m in _TWELVE.finditer(text):
         if 1 <= int(m[1]) <= 12 and int(m[2] or 0) < 60:
@@ -60,6 +60,8 @@ def times_in(text: str) -> list[str]:
         hour = int(m[2])
         hour = hour % 12 + 12 if m[1] in LATE and hour <= 12 else hour
         minute = 30 if m[3] else int(m[4] or 0)
+        if m[1] in EARLY and hour == 12 and minute < 60:
+            out.add(f"00:{minute:02d}")
         if hour < 24 and minute < 60:
             out.add(f"{hour:02d}:{minute:02d}")
     return sorted(out)

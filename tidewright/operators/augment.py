@@ -43,6 +43,7 @@ GREETINGS = {
     "en": ("Hi! How can I help you today?", "Hello, how can I help you?", "Hi there, what can I do for you today?"),
     "zh": ("您好，请问有什么可以帮您？", "你好，有什么需要帮忙的吗？"),
 }
+READ_WORDS = tuple(w for group in SYNONYMS[:4] for w in group) + ("view", "calculate", "compute", "quote", "estimate")
 POLICY_LABELS = ("\n\nPolicy:\n", "\n\n业务规则：\n")
 TURN_RULE = "In each turn either send one message to the user or make tool calls."
 ASK_AGAIN = "I couldn't find a {entity} with {wrong}. Could you double-check it for me?"
@@ -139,7 +140,7 @@ def relayout(episodes: DataFrame, seed: int = 0) -> DataFrame:
 def renamed(names: DataFrame, seed: int = 0) -> DataFrame:
     """episode_id, name and new: tools under other names, each word by a synonym with four chances in five.
 
-    A name that would stay, or that another tool of the episode has taken, gets a prefix or a number.
+    A name that would stay gets a prefix; one that another tool of the episode has, or had, a number.
     """
     words = F.split("name", "_")
     table = F.create_map(*[x for group in SYNONYMS for w in group for x in (F.lit(w), _strings([o for o in group if o != w]))])
@@ -152,21 +153,26 @@ def renamed(names: DataFrame, seed: int = 0) -> DataFrame:
 
     new = F.array_join(F.transform(words, swap), "_")
     prefix = hash_choice(seed, "prefix", _strings(PREFIXES), "episode_id", "name")
-    rows = names.select("episode_id", "name").distinct().withColumn("new", F.when(new == F.col("name"), F.concat_ws("_", prefix, "name")).otherwise(new))
+    rows = names.select("episode_id", "name").distinct()
+    rows = rows.join(rows.groupBy("episode_id").agg(F.collect_set("name").alias("__old")), "episode_id")
+    rows = rows.withColumn("new", F.when(new == F.col("name"), F.concat_ws("_", prefix, "name")).otherwise(new))
     place = F.row_number().over(Window.partitionBy("episode_id", "new").orderBy("name"))
-    return rows.withColumn("new", F.when(place > 1, F.concat_ws("_", "new", place.cast("string"))).otherwise(F.col("new")))
+    number = place + F.array_contains("__old", F.col("new")).cast("int")
+    return rows.withColumn("new", F.when(number > 1, F.concat_ws("_", "new", number.cast("string"))).otherwise(F.col("new"))).drop("__old")
 
 
 def rename_tools(episodes: DataFrame, seed: int = 0, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Tools renamed in calls, results and system prompts, the same way all through an episode; names in ``keep`` stay."""
+    """Tools renamed in calls, results and system prompts, the same way all through an episode; names in ``keep`` stay.
+
+    A prompt is rewritten word by word in one pass, so a new name is never renamed again.
+    """
     called = episodes.select("episode_id", F.explode(F.flatten(F.transform("messages", lambda m: F.coalesce(F.transform(m["tool_calls"], lambda c: c["name"]), F.expr("cast(array() as array<string>)"))))).alias("name"))
     mapping = renamed(called.where(~F.col("name").isin(list(keep) or [""])), seed).groupBy("episode_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", "new")))).alias("__m"))
     rows = episodes.join(mapping, "episode_id", "left").withColumn("__m", F.coalesce("__m", F.expr("cast(map() as map<string,string>)")))
     new = lambda n: F.coalesce(F.try_element_at("__m", n), n)
     kind = episodes.schema["messages"].dataType.elementType["tool_calls"].dataType.elementType
     call = lambda c: F.struct(*[(new(c[f.name]) if f.name == "name" else c[f.name]).alias(f.name) for f in kind.fields])
-    longest = F.array_sort(F.transform(F.map_keys("__m"), lambda k: F.struct((-F.length(k)).alias("n"), k.alias("k"))))
-    text = lambda t: F.aggregate(longest, t, lambda s, k: F.regexp_replace(s, F.concat(F.lit(r"\b"), k["k"], F.lit(r"\b")), F.element_at("__m", k["k"])))
+    text = lambda t: F.array_join(F.transform(F.regexp_extract_all(t, F.lit(r"(?U)\w+|\W+"), F.lit(0)), new), "")
 
     def change(m: Column) -> dict[str, Column]:
         return {
@@ -203,11 +209,17 @@ def example_values(episodes: DataFrame, seed: int = 0) -> DataFrame:
     return rows.join(used, "episode_id").where(~F.contains("t", "example")).select("episode_id", "tool", "parameter", "example")
 
 
+def is_lookup(name: Column) -> Column:
+    """Whether a word of a tool's name reads."""
+    return F.coalesce(F.arrays_overlap(F.split(F.lower(name), "_"), _strings(READ_WORDS)), F.lit(False))
+
+
 def inject_error(episodes: DataFrame, seed: int = 0) -> DataFrame:
     """Before one lookup with an identifier that the user gave: the same call with a wrong one, its error, the question and
     the corrected value. The wrong call and the user's words are context; the question is trained.
 
-    The lookup is drawn among those with a single call, no words, and a value said by the user before.
+    The lookup, a tool with a reading word in its name, is drawn among those with a single call, no words, and a value said
+    by the user before: a wrong identifier in a write would mean something else.
     """
     ids = id_values(episodes).groupBy("episode_id").agg(F.collect_list(F.struct("tool", "parameter", "value")).alias("__v"))
     rows = episodes.join(ids, "episode_id", "left")
@@ -220,7 +232,7 @@ def inject_error(episodes: DataFrame, seed: int = 0) -> DataFrame:
         m = F.element_at("messages", i)
         before = F.filter(F.slice("messages", F.lit(1), i - 1), lambda x: x["role"] == "user")
         hit = F.filter("__v", lambda v: (v["tool"] == F.get(m["tool_calls"], 0)["name"]) & F.contains(F.get(m["tool_calls"], 0)["arguments"], v["value"]) & F.exists(before, lambda x: F.contains(x["content"], v["value"])))
-        lone = (F.coalesce(F.size(m["tool_calls"]), F.lit(0)) == 1) & (F.trim(F.coalesce(m["content"], F.lit(""))) == "")
+        lone = is_lookup(F.get(m["tool_calls"], 0)["name"]) & (F.coalesce(F.size(m["tool_calls"]), F.lit(0)) == 1) & (F.trim(F.coalesce(m["content"], F.lit(""))) == "")
         return F.when(lone & (F.size(hit) > 0), F.struct(i.alias("at"), F.get(hit, 0).alias("v")))
 
     options = F.array_compact(F.transform(F.sequence(F.lit(1), F.size("messages")), fits))

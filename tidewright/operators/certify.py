@@ -137,13 +137,21 @@ def state_shape(rows: DataFrame) -> DataFrame:
     return rows.groupBy("table").agg(F.array_sort(F.collect_set(F.array_join(F.array_sort(F.map_keys("cells")), ","))).alias("shapes"))
 
 
-def masked_created(rows: DataFrame, initial: DataFrame, mask: str = "<new>") -> DataFrame:
-    """Rows with the ids of rows that the initial state lacks replaced by one mask, in their own and other cells."""
-    made = rows.join(initial.select("table", "row_id"), ["table", "row_id"], "left_anti").select("row_id").distinct()
+def masked_created(rows: DataFrame, initial: DataFrame, mask: str = "<new>", references: dict[str, str] | None = None) -> DataFrame:
+    """Rows with the ids of rows that the initial state lacks replaced by one mask, in their own and other cells.
+
+    An id is new in its own table only. Cells of the columns in ``references`` (column to foreign table), and the id cell,
+    are masked by that table's new ids; other cells by ids that are new somewhere and that no initial table has.
+    """
+    made = rows.join(initial.select("table", "row_id"), ["table", "row_id"], "left_anti").select("table", "row_id").distinct()
+    nowhere = made.select("row_id").distinct().join(initial.select("row_id"), "row_id", "left_anti").select(F.lit("").alias("of"), F.col("row_id").alias("value"))
+    known = made.select(F.col("table").alias("of"), F.col("row_id").alias("value")).unionByName(nowhere).withColumn("new", F.lit(True))
+    foreign = F.create_map(*[F.lit(x) for pair in (references or {"": ""}).items() for x in pair])
     cells = rows.select("table", "row_id", F.explode("cells").alias("column", "value"))
-    marked = cells.join(made.select(F.col("row_id").alias("value"), F.lit(True).alias("new")), "value", "left")
+    cells = cells.withColumn("of", F.when(F.col("column") == "id", F.col("table")).otherwise(F.coalesce(F.try_element_at(foreign, F.col("column")), F.lit(""))))
+    marked = cells.join(known, ["of", "value"], "left")
     back = marked.groupBy("table", "row_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("column", F.when(F.col("new"), F.lit(mask)).otherwise(F.col("value")).alias("value"))))).alias("cells"))
-    return back.join(made.withColumn("new", F.lit(True)), "row_id", "left").select("table", F.when(F.col("new"), F.lit(mask)).otherwise(F.col("row_id")).alias("row_id"), "cells")
+    return back.join(made.withColumn("new", F.lit(True)), ["table", "row_id"], "left").select("table", F.when(F.col("new"), F.lit(mask)).otherwise(F.col("row_id")).alias("row_id"), "cells")
 
 
 def unrepaired(original: DataFrame, repaired: DataFrame, skipped: DataFrame, refused: DataFrame) -> DataFrame:

@@ -78,10 +78,9 @@ def overlapping(left: DataFrame, right: DataFrame, keys: list[str], *, start: st
     """
     cells = lambda d: d.where((F.col(start) < F.col(end))).withColumn("__cell", F.explode(F.sequence(F.floor(F.col(start) / width), F.floor((F.col(end) - 1e-9) / width))))
     b = cells(right.select(*keys, start, end)).select(*keys, F.col(start).alias("__s"), F.col(end).alias("__e"), "__cell").distinct()
-    tagged = left.withColumn("__id", F.xxhash64(*left.columns))
-    a = cells(tagged).alias("a")
-    hit = a.join(b, [*keys, "__cell"]).where((F.col(start) < F.col("__e")) & (F.col("__s") < F.col(end))).select("__id").distinct()
-    return tagged.join(hit, "__id", "left_semi").drop("__id")
+    a = cells(left.select(*keys, start, end).distinct())
+    hit = a.join(b, [*keys, "__cell"]).where((F.col(start) < F.col("__e")) & (F.col("__s") < F.col(end))).select(*keys, start, end).distinct()
+    return left.join(hit, [*keys, start, end], "left_semi")
 
 
 def result_dependency(values: DataFrame, facts: DataFrame | None = None) -> DataFrame:

@@ -119,9 +119,15 @@ def weighted_replay(entries: DataFrame, weights: DataFrame, *, draws: int, seed:
 
 
 def minibatches(samples: DataFrame, group: str, size: int, *, seed: int = 0) -> DataFrame:
-    """Adds ``minibatch``: whole groups in hash order, ``size`` groups in each."""
-    groups = samples.select(group).distinct().withColumn("minibatch", F.floor((F.row_number().over(Window.orderBy(hash_order(seed, "minibatch", group), group)) - 1) / size))
-    return samples.join(groups, group)
+    """Adds ``minibatch``: whole groups in hash order, ``size`` groups in each.
+
+    Groups are counted by the first four hex digits of their hash, so that no task numbers all of them.
+    """
+    groups = samples.select(group).distinct().withColumn("__o", hash_order(seed, "minibatch", group)).withColumn("__cell", F.substring("__o", 1, 4))
+    before = F.sum("__c").over(Window.orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1))
+    cells = groups.groupBy("__cell").agg(F.count("*").alias("__c")).select("__cell", F.coalesce(before, F.lit(0)).alias("__b"))
+    place = F.row_number().over(Window.partitionBy("__cell").orderBy("__o", group)) + F.col("__b") - 1
+    return samples.join(groups.join(cells, "__cell").select(group, F.floor(place / size).alias("minibatch")), group)
 
 
 def contiguous_prefix(acks: DataFrame, worker: str, index: str) -> DataFrame:

@@ -59,11 +59,11 @@ def result_dependency(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def gold_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each user's first 20 events as wanted calls, matched to the events after them."""
+    """Each user's events of the first half of the month as wanted calls, matched to all events after them."""
     c = T.calls(spark, sf_dir).withColumn("k", F.row_number().over(Window.partitionBy("episode_id").orderBy("ts", "msg_idx")))
     args = F.from_json("arguments", "map<string,string>").alias("args")
-    gold = c.where("k <= 20").select("episode_id", F.col("k").alias("gold_idx"), "name", args)
-    made = c.where("k > 20").select("episode_id", F.col("k").alias("call_idx"), "name", args)
+    gold = c.where("ts < '2024-01-16'").select("episode_id", F.col("k").alias("gold_idx"), "name", args)
+    made = c.where("ts >= '2024-01-16'").select("episode_id", F.col("k").alias("call_idx"), "name", args)
     out = joins.gold_match(gold, made)
     return out.select("episode_id", "gold_idx", "name", "kind", F.coalesce("call_idx", F.lit(-1)).alias("call_idx"), F.size("differing").alias("differing"))
 
@@ -169,7 +169,7 @@ SELECT episode_id, coalesce(bool_or(name = 'purchase' AND EXISTS (SELECT 1 FROM
     "gold_match": (
         gold_match,
         f"""WITH {CALLS}, k AS (SELECT *, row_number() OVER (PARTITION BY episode_id ORDER BY ts, seq) AS k FROM calls),
-p AS (SELECT g.episode_id, g.k AS gold_idx, g.name, m.k AS call_idx, (m.arguments <> g.arguments)::INT AS d FROM (SELECT * FROM k WHERE k <= 20) g LEFT JOIN (SELECT * FROM k WHERE k > 20) m ON m.episode_id = g.episode_id AND m.name = g.name),
+p AS (SELECT g.episode_id, g.k AS gold_idx, g.name, m.k AS call_idx, (m.arguments <> g.arguments)::INT AS d FROM (SELECT * FROM k WHERE ts < '2024-01-16') g LEFT JOIN (SELECT * FROM k WHERE ts >= '2024-01-16') m ON m.episode_id = g.episode_id AND m.name = g.name),
 r AS (SELECT *, row_number() OVER (PARTITION BY episode_id, gold_idx ORDER BY d, call_idx) AS place FROM p)
 SELECT episode_id, gold_idx::INT AS gold_idx, name, CASE WHEN call_idx IS NULL THEN 'missing' WHEN d = 0 THEN 'exact' ELSE 'arguments' END AS kind, coalesce(call_idx, -1)::INT AS call_idx, coalesce(d, 0)::INT AS differing FROM r WHERE place = 1""",
     ),

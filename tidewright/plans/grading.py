@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewright.functions import scalars as S
@@ -91,14 +91,11 @@ def generators(spark: SparkSession, sf_dir: str) -> DataFrame:
     return worlds.generated_table(spark, 500, rules, seed=4)
 
 
-EDGES = "l_orderkey % 400 = 7"
-
-
 def _graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Parts and suppliers of every four hundredth order, as nodes p<k> and s<k>."""
-    lines = T.table(spark, sf_dir, "lineitem").where(EDGES)
-    edges = lines.select(F.concat(F.lit("p"), "l_partkey").alias("a"), F.concat(F.lit("s"), "l_suppkey").alias("b")).distinct()
-    nodes = edges.select(F.col("a").alias("id")).union(edges.select("b")).distinct()
+    """All orders o<k> and customers c<k>: an order is next to the customer's order before it, the first to the customer."""
+    o = T.table(spark, sf_dir, "orders").select(F.concat(F.lit("o"), "o_orderkey").alias("a"), F.concat(F.lit("c"), "o_custkey").alias("c"), "o_orderdate", "o_orderkey")
+    edges = o.select("a", F.coalesce(F.lag("a").over(Window.partitionBy("c").orderBy("o_orderdate", "o_orderkey")), "c").alias("b"))
+    nodes = edges.select(F.col("a").alias("id")).union(T.table(spark, sf_dir, "customer").select(F.concat(F.lit("c"), "c_custkey").alias("id"))).distinct()
     return nodes, edges
 
 
@@ -126,6 +123,10 @@ def aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.aliases(c.unionByName(s))
 
 
+GRAPH = """e AS (SELECT 'o' || o_orderkey AS a, coalesce('o' || lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey), 'c' || o_custkey) AS b FROM orders),
+ends AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT a AS id, a AS seen FROM ends UNION SELECT r.id, ends.b FROM r JOIN ends ON ends.a = r.seen),
+labels AS (SELECT id, min(seen) AS root FROM r GROUP BY id UNION ALL SELECT 'c' || c_custkey, 'c' || c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders))"""
+
 SCORES = """l AS (SELECT l_orderkey AS k, min(l_quantity) = max(l_quantity) AS q, min(l_linenumber) = max(l_linenumber) AS n, min(l_returnflag) = max(l_returnflag) AS f, count(*) AS calls FROM lineitem GROUP BY 1),
 s AS (SELECT o.*, calls, CASE WHEN q AND n AND f THEN 1.0::DOUBLE ELSE (q::INT + n::INT) / 2.0 * CASE WHEN f THEN 1 ELSE 0.5 END END AS score FROM orders o JOIN l ON k = o_orderkey)"""
 
@@ -157,10 +158,15 @@ SELECT o_orderkey, success, round(efficiency, 6) AS efficiency, round(CASE WHEN
     "generators": (generators, "SELECT 'R' || lpad((100 + range * 5)::VARCHAR, 6, '0') AS id, ['red', 'green', 'blue'][((range + 5) % 3 + 1)::INT] AS color, true AS active FROM range(500)"),
     "components": (
         components,
-        f"""WITH RECURSIVE e AS (SELECT DISTINCT 'p' || l_partkey AS a, 's' || l_suppkey AS b FROM lineitem WHERE {EDGES}), b AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
-r AS (SELECT a AS id, a AS seen FROM b UNION SELECT r.id, b.b FROM r JOIN b ON b.a = r.seen) SELECT id, min(seen) AS root FROM r GROUP BY id""",
+        f"WITH RECURSIVE {GRAPH} SELECT id, root FROM labels",
+    ),
+    "split_balance": (
+        split_balance,
+        f"""WITH RECURSIVE {GRAPH}, sizes AS (SELECT root, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, root) AS k FROM labels GROUP BY root),
+walk AS (SELECT 0::BIGINT AS k, 0::BIGINT AS pick, [0, 0, 0, 0, 0, 0]::BIGINT[] AS loads UNION ALL
+SELECT s.k, list_position(loads, list_min(loads)), list_transform(loads, lambda x, i: CASE WHEN i = list_position(loads, list_min(loads)) THEN x + s.n ELSE x END) FROM walk JOIN sizes s ON s.k = walk.k + 1)
+SELECT ['dev', 'holdout-1', 'holdout-2', 'holdout-3', 'holdout-4', 'holdout-5'][pick] AS split, sum(n)::BIGINT AS nodes, count(*) AS components FROM walk JOIN sizes USING (k) GROUP BY 1""",
     ),
-    "split_balance": (split_balance, None),
     "histogram": (
         histogram,
         """WITH f AS (SELECT min(value) AS lo, (max(value) - min(value)) / 20 AS w, sum(value) AS t, sum(value * value) AS q FROM events)

@@ -10,23 +10,22 @@ from tidewright.operators import text as X
 from tidewright.sources import tables as T
 
 
-def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first line of every document, as the short text that the reference compares."""
-    docs = T.table(spark, sf_dir, "documents")
-    return docs.select("doc_id", F.substring_index(F.coalesce("text", F.lit("")), "\n", 1).alias("line"))
+def _addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The distinct addresses of all pages, each by its least page: the short texts that are compared whole."""
+    pages = T.table(spark, sf_dir, "pages").groupBy(F.coalesce("url", F.lit("")).alias("url")).agg(F.min("page_id").alias("page_id"))
+    return pages.withColumn("g", S.character_grams(F.col("url")))
 
 
 def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of distinct opening lines of character 3-gram similarity 0.6 or more, each line by its least document."""
-    lines = _lines(spark, sf_dir).groupBy("line").agg(F.min("doc_id").alias("doc_id")).withColumn("g", S.character_grams(F.col("line")))
-    out = X.similar_pairs(lines, "doc_id", "g", 0.6)
+    """Pairs of distinct page addresses of character 3-gram similarity 0.6 or more."""
+    out = X.similar_pairs(_addresses(spark, sf_dir), "page_id", "g", 0.6)
     return out.select("left", "right", F.round("similarity", 6).alias("similarity"))
 
 
 def greedy_keep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The distinct opening lines that stay when each is dropped if it is like one already kept."""
-    lines = _lines(spark, sf_dir).groupBy("line").agg(F.min("doc_id").alias("doc_id")).withColumn("g", S.character_grams(F.col("line")))
-    return X.greedy_keep(lines.select("doc_id"), "doc_id", X.similar_pairs(lines, "doc_id", "g", 0.6))
+    """The distinct page addresses that stay when each is dropped if it is like one already kept."""
+    pages = _addresses(spark, sf_dir)
+    return X.greedy_keep(pages.select("page_id"), "page_id", X.similar_pairs(pages, "page_id", "g", 0.6))
 
 
 def contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,15 +63,21 @@ def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.groupBy("episode_id").agg(F.sum(S.is_report(F.col("content"), 400).cast("int")).alias("reports"), F.sum(S.leaks_internals(F.col("content")).cast("int")).alias("leaks"))
 
 
-LINES = "lines AS (SELECT string_split(coalesce(text, ''), chr(10))[1] AS line, min(doc_id) AS doc_id FROM documents GROUP BY 1)"
-GRAMS = r"""grams AS (SELECT doc_id, CASE WHEN length(t) >= 3 THEN list_distinct(list_transform(range(1, length(t) - 1), lambda i: substr(t, i, 3))) ELSE [t] END AS g
-FROM (SELECT doc_id, regexp_replace(line, '\s+', '', 'g') AS t FROM lines)),
-each AS (SELECT doc_id, len(g) AS n, unnest(g) AS gram FROM grams),
-pairs AS (SELECT a.doc_id AS "left", b.doc_id AS "right", count(*)::DOUBLE / (any_value(a.n) + any_value(b.n) - count(*)) AS similarity FROM each a JOIN each b ON a.gram = b.gram AND a.doc_id < b.doc_id GROUP BY 1, 2 HAVING similarity >= 0.6)"""
+PAGES = "lines AS (SELECT coalesce(url, '') AS line, min(page_id) AS page_id FROM pages GROUP BY 1)"
+GRAMS = r"""grams AS (SELECT page_id, CASE WHEN length(t) >= 3 THEN list_distinct(list_transform(range(1, length(t) - 1), lambda i: substr(t, i, 3))) ELSE [t] END AS g
+FROM (SELECT page_id, regexp_replace(line, '\s+', '', 'g') AS t FROM lines)),
+each AS (SELECT page_id, len(g) AS n, unnest(g) AS gram FROM grams),
+pairs AS (SELECT a.page_id AS "left", b.page_id AS "right", count(*)::DOUBLE / (any_value(a.n) + any_value(b.n) - count(*)) AS similarity FROM each a JOIN each b ON a.gram = b.gram AND a.page_id < b.page_id GROUP BY 1, 2 HAVING similarity >= 0.6)"""
 
 QUERIES = {
-    "near_duplicates": (near_duplicates, f'WITH {LINES}, {GRAMS} SELECT "left", "right", round(similarity, 6) AS similarity FROM pairs'),
-    "greedy_keep": (greedy_keep, None),
+    "near_duplicates": (near_duplicates, f'WITH {PAGES}, {GRAMS} SELECT "left", "right", round(similarity, 6) AS similarity FROM pairs'),
+    "greedy_keep": (
+        greedy_keep,
+        f"""WITH RECURSIVE {PAGES}, {GRAMS}, near AS (SELECT "right" AS id, list("left") AS l FROM pairs GROUP BY 1),
+o AS (SELECT page_id AS id, row_number() OVER (ORDER BY page_id) AS k, coalesce(l, []) AS l FROM lines LEFT JOIN near ON near.id = page_id),
+walk AS (SELECT 0::BIGINT AS k, []::BIGINT[] AS kept UNION ALL SELECT o.k, CASE WHEN list_has_any(kept, o.l) THEN kept ELSE list_append(kept, o.id) END FROM walk JOIN o ON o.k = walk.k + 1)
+SELECT unnest(kept) AS page_id FROM walk WHERE k = (SELECT max(k) FROM o)""",
+    ),
     "contamination": (
         contamination,
         r"""WITH b AS (SELECT regexp_extract_all(lower(text), '[\p{L}\p{N}\p{M}_]+') AS w FROM benchmark), d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}\p{M}_]+') AS w FROM documents),

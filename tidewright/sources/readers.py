@@ -62,10 +62,17 @@ def near_misses(spark: SparkSession, paths: list[str]) -> DataFrame:
 def metric_rows(spark: SparkSession, path: str) -> DataFrame:
     """number and record (VARIANT) of a journal of JSON lines; lines that do not parse, such as a cut last one, are left out.
 
-    Line numbers follow the files' order.
+    Lines are numbered from 0 by file and place in it, whatever pieces the files are read in: lines are counted by piece.
     """
-    lines = spark.read.text(path).select(F.monotonically_increasing_id().alias("number"), F.try_parse_json("value").alias("record"))
-    return lines.where("record is not null")
+    return numbered_lines(spark, path).select("number", F.try_parse_json("value").alias("record")).where("record is not null")
+
+
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """number and value of the lines of text files, by file and place."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("i"))
+    pieces = lines.groupBy("f", "b").agg(F.count("*").alias("n"), F.min("i").alias("first"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("f", "b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return lines.join(pieces.select("f", "b", "first", before.alias("before")), ["f", "b"]).select((F.col("before") + F.col("i") - F.col("first")).alias("number"), "value")
 
 
 def append_journal(records: DataFrame, path: str) -> None:
