@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
 from datetime import datetime, timedelta
@@ -90,6 +91,65 @@ def test_op6_adds_tokens_of_a_learned_format(spark):
     assert out[101] == [] and out[102] == [] and out[3] == []
 
 
+def planted(kind: str, n: int, seed: int) -> list[str]:
+    rng = random.Random(seed)
+    draw = {
+        "letters": lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(10)),
+        "prefixed": lambda: "ghp_" + "".join(rng.choice("ABCDEFGHJKLMNPQRSTUVWXYZ0123456789") for _ in range(rng.randint(20, 28))),
+        "digits": lambda: "".join(rng.choice("0123456789") for _ in range(12)) + "==",
+    }[kind]
+    return [draw() for _ in range(n)]
+
+
+@pytest.mark.parametrize("kind", ["letters", "prefixed", "digits"])
+def test_op6_finds_fresh_values_of_a_format(spark, kind):
+    """Fresh values of a labelled format are found wherever they stand; ordinary words and random tokens of other shapes are left alone."""
+    rng, prose = random.Random(7), spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").limit(60).collect()
+    known, fresh = planted(kind, 300, 1), planted(kind, 300, 2)
+    other = ["".join(rng.choice("ABCDEFxyz/+-_") for _ in range(len(v))) for v in fresh]
+    rows = [f"password={v} end" for v in known] + [f"see {v}. then" for v in fresh] + [f"see {v} then" for v in other] + [r["text"] for r in prose]
+    out = {r["doc_id"]: [(s["start"], s["end"]) for s in r["added"]] for r in secrets_scan.scan(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
+    hits = sum((4, 4 + len(v)) in out[300 + i] for i, v in enumerate(fresh))
+    wrong = sum(bool(out[600 + i]) for i in range(300))
+    words = sum(len(out[900 + i]) for i in range(60))
+    total = sum(len(r["text"].split()) for r in prose)
+    print(kind, hits, wrong, words, total)
+    assert hits >= 0.9 * 300 and wrong <= 0.02 * 300 and words <= 0.001 * total
+
+
+def test_op6_equals_plain_code(spark):
+    """Every candidate is scored: added spans are those of a plain loop over all runs and parts, with the same models."""
+    known = planted("prefixed", 80, 3)
+    rows = [f"secret: {v}" for v in known] + [f"key={v}" for v in planted("prefixed", 40, 4)] + [f"{v}=x.{v}.={v}" for v in planted("prefixed", 20, 5)] + ["plain words only here", "", "token=abcdefgh" + known[0]]
+    frame = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    formats, ordinary = secrets_scan.learn(frame), secrets_scan.ordinary_words(frame)
+    values = {0: [m[2] for t in rows for m in ASSIGN.finditer(t) if len(m[2]) >= 6]}
+    assert [f.kind for f in formats] == [0]
+    f = formats[0]
+    assert (f.least, f.most) == (min(map(len, values[0])), max(map(len, values[0])))
+    assert f.limit == pytest.approx(min(likelihood(f.table, v) for v in values[0]) - 0.35)
+    for r in secrets_scan.scan(frame).collect():
+        text, want = rows[r["doc_id"]], []
+        taken = [(a, e) for a, _, e in base(text)]
+        free = "".join(" " if any(a <= i < e for a, e in taken) else c for i, c in enumerate(text))
+        good = lambda v: f.least <= len(v) <= f.most and likelihood(f.table, v) >= f.limit and likelihood(f.table, v) >= ordinary.likelihood(v) + 0.5
+        for m in re.finditer(r"[A-Za-z0-9+/_.=-]+", free):
+            a, e = m.start() + len(m[0]) - len(m[0].lstrip(".")), m.start() + len(m[0].rstrip("."))
+            if good(free[a:e]):
+                want.append((a, e))
+            elif "=" in free[a:e].strip("="):
+                want += [(a + p.start(), a + p.end()) for p in re.finditer("[^=]+", free[a:e]) if good(p[0])]
+        assert [(s["start"], s["end"]) for s in r["added"]] == want
+
+
+def test_automaton_likelihood_is_the_product_over_moves():
+    words = ["ab12", "ab13", "ac99", "zz"]
+    table = Automaton(words).table()
+    assert likelihood(table, "ab12") == pytest.approx(math.log(3 / 5 * 2 / 4 * 2 / 3 * 1 / 3 * 1.5 / 2) / 5)
+    total = sum(math.exp(likelihood(table, w) * (len(w) + 1)) for w in words)
+    assert 0 < total < 1
+
+
 def test_automaton_generalises_and_refuses():
     words = [f"ab{i:04d}" for i in range(0, 2000, 7)]
     table = Automaton(words).merged().table()
