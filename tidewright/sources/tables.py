@@ -73,3 +73,30 @@ def tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels")
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars")
     return docs.join(labels, "doc_id")
+
+
+def event_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as messages of a user's episode: views are calls, clicks words, errors and purchases results, signups the user.
+
+    An error is told in one of two ways, every third word is a question; ``number`` is the event's property.
+    """
+    k = F.get_json_object("props", "$.k").cast("int")
+    kind = F.col("event_type")
+    text = (
+        F.when((kind == "error") & (k % 2 == 0), F.concat(F.lit("Error: "), k))
+        .when(kind == "error", F.concat(F.lit('{"ok": false, "error": "'), k, F.lit('"}')))
+        .when(kind == "purchase", F.concat(F.lit('{"ok": true, "result": "'), k, F.lit('"}')))
+        .when((kind == "click") & (k % 3 == 0), F.concat(F.lit("Is it "), k, F.lit("?")))
+        .when(kind == "click", F.concat(F.lit("It is "), k))
+        .when(kind == "view", "")
+        .otherwise(k.cast("string"))
+    )
+    return table(spark, sf_dir, "events").select(
+        F.col("user_id").alias("episode_id"),
+        F.col("event_id").alias("msg_idx"),
+        F.when(kind.isin("view", "click"), "assistant").when(kind == "signup", "user").otherwise("tool").alias("role"),
+        text.alias("content"),
+        F.when(kind == "view", 1).otherwise(0).alias("n_calls"),
+        F.when(~kind.isin("view", "click", "signup"), F.concat(F.lit("c"), k)).alias("call_id"),
+        k.alias("number"),
+    )
