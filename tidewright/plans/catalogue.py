@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewright.plans import certify, credit, episodes, grading, selection, states, text, turns
+from tidewright.plans import certify, checks, credit, episodes, grading, selection, states, text, turns
 
 Query = Callable[[SparkSession, str], DataFrame]
-_ALL: dict[str, tuple[Query, str | None]] = {**credit.QUERIES, **episodes.QUERIES, **text.QUERIES, **selection.QUERIES, **grading.QUERIES, **certify.QUERIES, **turns.QUERIES, **states.QUERIES}
+_ALL: dict[str, tuple[Query, str | None]] = {**credit.QUERIES, **episodes.QUERIES, **text.QUERIES, **selection.QUERIES, **grading.QUERIES, **certify.QUERIES, **turns.QUERIES, **states.QUERIES, **checks.QUERIES}
 
 
 def queries() -> dict[str, Query]:
