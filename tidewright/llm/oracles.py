@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .licenses import Templates
+from .licenses import NOTICES
 
 CHAT = r"""
 WITH rows AS (
@@ -55,41 +55,30 @@ FROM captures c LEFT JOIN matched m ON m.k = 1 AND m.page_id = c.page_id AND m.u
 
 
 def licenses_sql(threshold: float = 0.85) -> str:
-    """The licence scan with every unit against every template of like size."""
-    known = ", ".join(f"({k}, '{name}', [{', '.join(repr(g) for g in sorted(grams))}])" for k, (name, grams) in enumerate(Templates(threshold).known))
+    """The licence scan: each template against every run of as many words, by joins over word places."""
+    quote = lambda t: "'" + t.replace("'", "''") + "'"
+    known = ", ".join(f"({k}, {quote(name)}, {quote(text)})" for k, (name, text) in enumerate((n, t) for n, texts in NOTICES.items() for t in texts))
+    words = lambda text: f"list_filter(list_transform(regexp_split_to_array(regexp_replace(lower({text}), '[^a-z0-9.]+', ' ', 'g'), ' '), lambda x: trim(x, '.')), lambda x: x <> '')"
+    ratio = threshold / (2 - threshold)
     return rf"""
-WITH templates(k, license, known) AS (VALUES {known}), texts AS (
-  SELECT doc_id, regexp_replace(lower(coalesce(text, '')), '[^a-z0-9.
-]+', ' ', 'g') AS t FROM documents
-), units AS (
-  SELECT doc_id, 'line' AS unit, unnest(range(1, len(string_split(t, chr(10))) + 1)) AS number, unnest(string_split(t, chr(10))) AS body FROM texts
-  UNION ALL
-  SELECT doc_id, unit, number, body FROM (
-    SELECT doc_id, 'paragraph' AS unit, unnest(range(1, len(string_split_regex(t, '
-[ 
-]*
-')) + 1)) AS number, unnest(string_split_regex(t, '
-[ 
-]*
-')) AS body FROM texts
-  ) WHERE contains(trim(body, ' ' || chr(10)), chr(10))
-  UNION ALL
-  SELECT doc_id, 'text', 1, t FROM texts WHERE len(string_split_regex(t, '
-[ 
-]*
-')) > 1
-), words AS (
-  SELECT doc_id, unit, number, list_filter(list_transform(string_split_regex(body, '[ 
-]+'), lambda w: trim(w, '.')), lambda w: w <> '') AS w FROM units
-), grams AS (
-  SELECT doc_id, unit, number, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM words WHERE len(w) > 1
-), scored AS (
-  SELECT doc_id, unit, number, k, license, 2.0::DOUBLE * len(list_intersect(g, known)) / (len(g) + len(known)) AS dice
-  FROM grams JOIN templates ON len(g) >= len(known) * {threshold} / (2 - {threshold}) - 1e-9 AND len(g) <= len(known) * (2 - {threshold}) / {threshold} + 1e-9
-), best AS (
-  SELECT *, row_number() OVER (PARTITION BY doc_id, unit, number ORDER BY dice DESC, k) AS place FROM scored WHERE dice >= {threshold}
-)
-SELECT doc_id, unit, number::INT AS number, license, round(dice, 6) AS dice FROM best WHERE place = 1
+WITH known(k, license, text) AS (VALUES {known}), tw AS (SELECT k, license, {words("text")} AS w FROM known),
+tg AS (SELECT DISTINCT k, g FROM (SELECT k, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM tw)),
+t AS (SELECT k, license, len(w) AS l, (SELECT count(*) FROM tg WHERE tg.k = tw.k) AS m FROM tw),
+dw AS (SELECT row_number() OVER () AS d, doc_id, {words("coalesce(text, '')")} AS w FROM documents),
+places AS (SELECT d, doc_id, len(w) AS n, generate_subscripts(w, 1) - 1 AS p, w, unnest(w) AS word FROM dw),
+grams AS (SELECT d, doc_id, n, p, word || ' ' || w[p + 2] AS g FROM places WHERE p < n - 1),
+hits AS (SELECT d, k, p, g FROM grams JOIN tg USING (g)),
+likely AS (SELECT d, k FROM hits JOIN t USING (k) GROUP BY d, k, m HAVING count(DISTINCT g) >= ceil(m * {ratio!r} - 1e-9)),
+fresh AS (SELECT d, doc_id, n, p, g, coalesce(lag(p) OVER (PARTITION BY d, g ORDER BY p), -1) AS before FROM grams SEMI JOIN likely USING (d)),
+cases AS (SELECT d, k, license, m, least(l, n) AS l, n - least(l, n) AS last FROM likely JOIN t USING (k) JOIN (SELECT DISTINCT d, n FROM fresh) USING (d)),
+held AS (SELECT c.d, c.k, c.license, c.m, c.l, s.s, count(*) AS size, count(tg.g) AS shared FROM cases c, range(c.last + 1) s(s)
+  JOIN fresh f ON f.d = c.d AND f.p >= s.s AND f.p <= s.s + c.l - 2 AND f.before < s.s LEFT JOIN tg ON tg.k = c.k AND tg.g = f.g GROUP BY ALL),
+good AS (SELECT *, 2 * shared / (size + m) AS dice FROM held WHERE 2 * shared / (size + m) >= {threshold!r}),
+marked AS (SELECT *, CASE WHEN s - lag(s) OVER (PARTITION BY d, k ORDER BY s) < l THEN 0 ELSE 1 END AS first FROM good),
+islands AS (SELECT *, sum(first) OVER (PARTITION BY d, k ORDER BY s) AS island FROM marked),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY d, k, island ORDER BY dice DESC, s) AS place FROM islands) WHERE place = 1)
+SELECT (SELECT doc_id FROM dw WHERE dw.d = x.d) AS doc_id, license, s::INT AS start, l::INT AS words, round(dice, 6) AS dice FROM best x
+WHERE NOT EXISTS (SELECT 1 FROM best y WHERE y.d = x.d AND y.s < x.s + x.l AND x.s < y.s + y.l AND (y.m > x.m OR (y.m = x.m AND (y.dice > x.dice OR (y.dice = x.dice AND y.k < x.k)))))
 """
 
 

@@ -59,7 +59,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Licenses named by lines, paragraphs or whole texts of all documents."""
+    """Licences that all documents hold."""
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
