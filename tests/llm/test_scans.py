@@ -225,18 +225,19 @@ def test_op7_awkward_rows(spark):
 
 def test_op8_against_a_loop(spark):
     rng, start = random.Random(6), datetime(2024, 1, 1)
-    hosts = ["a.example.com", "b.a.example.com", "example.com", "other.org", "xexample.com"]
-    entries = [(p, start + timedelta(days=rng.randint(0, 40)), rng.random() < 0.6) for p in ("example.com", "a.example.com", "a.example.com/x", "org", "other.org/y", "other.org/x") for _ in range(6)] + [(None, start, True)]
-    caps = [(i, f"https://{rng.choice(hosts)}{rng.choice(['', '/', '/x', '/x/1', '/y?q'])}", start + timedelta(hours=rng.randint(0, 1000))) for i in range(300)] + [(900, None, start), (901, "not a url", start), (902, "http://org/x", None)]
+    hosts = ["a.example.com", "b.a.example.com", "example.com", "other.org", "xexample.com", "a.example.com:8080", "other.org:99", "[2001:db8::1]:99", "[2001:db8::1]", "10.0.0.7", "u:p@example.com"]
+    entries = [(p, start + timedelta(days=rng.randint(0, 40)), rng.random() < 0.6) for p in ("example.com", "a.example.com", "a.example.com/x", "org", "other.org/y", "other.org/x", "a.example.com/x/1", "example.com:8080", "org:99/x", "[2001:db8::1]", "[2001:db8::1]:99/x/1", "0.7", "10.0.0.7/y") for _ in range(6)] + [(None, start, True)]
+    caps = [(i, f"https://{rng.choice(hosts)}{rng.choice(['', '/', '/x', '/x/1', '/x/12', '/y?q', '/x/1/z#f'])}", start + timedelta(hours=rng.randint(0, 1000))) for i in range(700)] + [(900, None, start), (901, "not a url", start), (902, "http://org/x", None)]
     out = url_filter.evaluate(spark.createDataFrame(caps, "k long, url string, fetched timestamp"), spark.createDataFrame(entries, "pattern string, at timestamp, listed boolean"))
     for r in out.collect():
         url, at = r["url"] or "", r["fetched"]
-        m = re.match(r"https?://([^/?#]*)(/[^/?#]*)?", url)
+        m = re.match(r"https?://(?:[^/?#@]*@)?(\[[^\]]*\]|[^/:?#]*)(:[0-9]+)?(/[^?#]*)?", url)
         active = []
         for p in {e[0] for e in entries if e[0]}:
-            h, step = (m[1], m[2] or "") if m else ("", "")
-            domain, _, path = p.partition("/")
-            if not m or at is None or not (h == domain or h.endswith("." + domain)) or (path and step != "/" + path):
+            h, port, path = (m[1], m[2] or "", m[3] or "") if m else ("", "", "")
+            domain, _, steps = p.partition("/")
+            at_host = [h, h + port] if h[:1] == "[" or h.replace(".", "").isdigit() else [x for i in range(h.count(".") + 1) for x in (h.split(".", i)[-1], h.split(".", i)[-1] + port)]
+            if not m or at is None or domain not in at_host or (steps and not (path + "/").startswith(f"/{steps}/")):
                 continue
             past = [(e[1], e[2]) for e in entries if e[0] == p and e[1] <= at]
             if past and max(past)[1]:

@@ -27,9 +27,17 @@ FROM turns GROUP BY conv_id
 URLS = r"""
 WITH captures AS (
   SELECT page_id, url, (TIMESTAMP '2024-01-01' + ((page_id * 7919) % 525600) * INTERVAL 1 MINUTE) AS fetched,
-    lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#@]*@)?([^/:?#]*)', 2)) AS host,
-    regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*(/[^/?#]*)', 1) AS step
+    lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#@]*@)?(\[[^\]/?#]*\]|[^/:?#]*)', 2)) AS host,
+    regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#@]*@)?(\[[^\]/?#]*\]|[^/:?#]*):([0-9]+)', 3) AS port,
+    string_split(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*(/[^?#]*)', 1), '/') AS steps
   FROM pages
+), places AS (
+  SELECT page_id, url, fetched, unnest(list_transform(range(1, len(steps) + 1), lambda i: array_to_string(steps[1:i], '/'))) AS prefix, port,
+    CASE WHEN regexp_matches(host, '^(\[|[0-9.]+$)') THEN [host] ELSE list_transform(range(1, len(string_split(host, '.')) + 1), lambda i: array_to_string(string_split(host, '.')[i:], '.')) END AS domains
+  FROM captures WHERE host <> ''
+), asked AS (
+  SELECT DISTINCT page_id, url, fetched, d || CASE WHEN with_port THEN ':' || port ELSE '' END || prefix AS pattern
+  FROM (SELECT *, unnest(domains) AS d FROM places), (VALUES (false), (true)) v(with_port) WHERE NOT with_port OR port <> ''
 ), codes AS (
   SELECT host AS pattern, ('0x' || substr(md5(host), 1, 7))::BIGINT AS code FROM (SELECT DISTINCT host FROM captures WHERE host <> '')
 ), entries AS (
@@ -45,9 +53,7 @@ WITH captures AS (
   SELECT * FROM (SELECT pattern, made AS since, lead(made) OVER (PARTITION BY pattern ORDER BY made) AS until, listed FROM dated) WHERE listed
 ), matched AS (
   SELECT c.page_id, c.url, s.pattern, s.since, row_number() OVER (PARTITION BY c.page_id, c.url ORDER BY length(s.pattern) DESC, s.pattern, s.since) AS k
-  FROM captures c JOIN spans s
-    ON s.since <= c.fetched AND (s.until IS NULL OR c.fetched < s.until) AND c.host <> ''
-   AND (c.host = s.pattern OR ends_with(c.host, '.' || s.pattern) OR c.host || c.step = s.pattern OR ends_with(c.host || c.step, '.' || s.pattern))
+  FROM asked c JOIN spans s ON s.pattern = c.pattern AND s.since <= c.fetched AND (s.until IS NULL OR c.fetched < s.until)
 )
 SELECT c.page_id, c.fetched, m.page_id IS NOT NULL AS blocked, m.pattern, m.since
 FROM captures c LEFT JOIN matched m ON m.k = 1 AND m.page_id = c.page_id AND m.url = c.url
