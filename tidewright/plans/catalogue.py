@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewright.plans import certify, checks, credit, episodes, grading, runs, selection, states, text, turns, values
+from tidewright.plans import certify, checks, credit, episodes, grading, records, runs, selection, states, text, turns, values
 
 Query = Callable[[SparkSession, str], DataFrame]
-_ALL: dict[str, tuple[Query, str | None]] = {**credit.QUERIES, **episodes.QUERIES, **text.QUERIES, **selection.QUERIES, **grading.QUERIES, **certify.QUERIES, **turns.QUERIES, **states.QUERIES, **checks.QUERIES, **runs.QUERIES, **values.QUERIES}
+_ALL: dict[str, tuple[Query, str | None]] = {**credit.QUERIES, **episodes.QUERIES, **text.QUERIES, **selection.QUERIES, **grading.QUERIES, **certify.QUERIES, **turns.QUERIES, **states.QUERIES, **checks.QUERIES, **runs.QUERIES, **values.QUERIES, **records.QUERIES}
 
 
 def queries() -> dict[str, Query]:
