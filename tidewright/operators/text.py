@@ -9,6 +9,10 @@ from tidewright.functions import scalars as S
 from tidewright.sources.shared import written
 
 
+#: Grams of about 60 bytes that may be broadcast: some megabytes.
+BROADCAST_GRAMS = 100_000
+
+
 def similar_pairs(rows: DataFrame, id: str, grams: str, threshold: float) -> DataFrame:
     """left, right, similarity of all pairs (left < right) of Jaccard similarity at least ``threshold``.
 
@@ -65,8 +69,13 @@ def greedy_keep(ids: DataFrame, id: str, pairs: DataFrame) -> DataFrame:
 
 
 def contaminated(rows: DataFrame, id: str, text: str, banned: DataFrame, banned_text: str, n: int = 8) -> DataFrame:
-    """Distinct ids of rows that share a lower-cased word n-gram with any banned text."""
-    grams = banned.select(F.explode(S.word_grams(F.col(banned_text), n)).alias("gram")).distinct()
+    """Distinct ids of rows that share a lower-cased word n-gram with any banned text.
+
+    Up to BROADCAST_GRAMS distinct banned grams go to all tasks, so that no gram of the rows is moved; more are joined.
+    """
+    grams = written(banned.select(F.explode(S.word_grams(F.col(banned_text), n)).alias("gram")).distinct())
+    if grams.count() <= BROADCAST_GRAMS:
+        grams = F.broadcast(grams)
     return rows.select(F.col(id), F.explode(S.word_grams(F.col(text), n)).alias("gram")).join(grams, "gram", "left_semi").select(id).distinct()
 
 

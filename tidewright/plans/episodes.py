@@ -215,5 +215,11 @@ SELECT words, count(*) AS episodes, min(episode_id) AS first FROM k GROUP BY wor
         f"""WITH {MESSAGES}, n AS (SELECT episode_id, role, row_number() OVER w AS turn, sum(length(content)) OVER w AS characters FROM messages WINDOW w AS (PARTITION BY episode_id ORDER BY turn))
 SELECT episode_id, turn::INT AS turn, turn::INT AS messages, characters::BIGINT AS characters FROM n WHERE role = 'assistant'""",
     ),
-    "curriculum": (curriculum, None),
+    "curriculum": (
+        curriculum,
+        f"""WITH RECURSIVE {CALLS}, k AS (SELECT *, row_number() OVER (PARTITION BY episode_id ORDER BY ts, seq) - 1 AS k FROM calls), g AS (SELECT episode_id AS task_id, k // 10 AS a, avg((NOT failed)::INT) AS rate FROM k GROUP BY 1, 2),
+w AS (SELECT DISTINCT task_id, -1::BIGINT AS a, 0 AS level, NULL::DOUBLE AS last FROM g UNION ALL
+SELECT g.task_id, g.a, level + coalesce(last >= 0.75 AND rate >= 0.75 AND level < 4, false)::INT, CASE WHEN coalesce(last >= 0.75 AND rate >= 0.75 AND level < 4, false) THEN NULL ELSE rate END FROM w JOIN g ON g.task_id = w.task_id AND g.a = w.a + 1)
+SELECT task_id, max_by(level, a)::INT AS level FROM w GROUP BY 1""",
+    ),
 }
