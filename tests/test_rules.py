@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
 from tidewright.functions import numerals, speech
-from tidewright.operators import augment, certify, joins, records
+from tidewright.operators import augment, certify, grading, joins, records
 from tidewright.sources import readers, shared
 
 MESSAGE = "role string, content string, tool_calls array<struct<id:string,name:string,arguments:string>>, tool_call_id string, name string, context_only boolean"
@@ -98,3 +100,33 @@ def test_shared_folder_is_wanted_on_a_cluster():
 
     with pytest.raises(ValueError, match="checkpoint"):
         shared.shared_folder(Session)
+
+
+SCHEMA = {"fields": {"refund": {"type": "object", "properties": {"id": {"type": "string"}, "cents": {"type": "integer"}, "status": {"type": "string", "enum": ["done", "refused"]}}}, "ids": {"type": "array", "order": "any", "items": {"type": "string"}}, "days": {"type": "array", "items": {"type": "string"}}}}
+
+
+@pytest.mark.parametrize(
+    ("want", "got", "known", "names", "scores"),
+    [
+        ({"id": "r_1", "cents": 5, "status": "done"}, {"id": "r_1", "cents": 5, "status": "done"}, None, None, 1.0),
+        ({"id": "r_1", "cents": 5, "status": "done"}, {"id": "r_1", "cents": 6, "status": "done"}, None, None, 0.5),
+        ({"id": "r_1", "cents": 5, "status": "done"}, {"id": "r_1", "cents": 6, "status": "refused"}, None, None, 0.25),
+        ({"id": "r_1", "cents": 5, "status": "done"}, {"id": None, "cents": 5, "status": "done"}, ["nothing"], None, 1.0),
+        ({"id": "r_1", "cents": 5, "status": "done"}, {"id": None, "cents": 5, "status": "done"}, ["my r_1"], None, 0.5),
+        ({"id": "r_1", "cents": 5, "status": "done"}, {"id": "Basic  Saver", "cents": 5, "status": "done"}, None, {"basic saver": "r_1"}, 1.0),
+        ({"id": "r_1", "cents": 5, "status": "done"}, {"id": "Basic Saver", "cents": 5, "status": "done"}, None, {"basic saver": "r_2"}, 0.5),
+        ({"id": None, "cents": None, "status": "done"}, {"id": "x", "cents": None, "status": "done"}, None, None, 1 / 3),
+        ({"id": None, "cents": None, "status": "done"}, {"id": None, "cents": None, "status": "refused"}, None, None, 0.0),
+    ],
+)
+def test_partial_credit_of_an_object(spark, want, got, known, names, scores):
+    rows = spark.createDataFrame([(json.dumps({"refund": want}), json.dumps({"refund": got}), known, names)], "expected string, actual string, known array<string>, names map<string,string>")
+    out = grading.deep_scores(rows, SCHEMA, known="known", names="names").first()["scores"]
+    assert out["refund"] == pytest.approx(scores) and out["ids"] == 0.0
+
+
+def test_lists_by_order_and_as_bags(spark):
+    cases = [(["a", "b"], ["b", "a"], 1.0, 0.0), (["a", "b"], ["a", "c"], 0.0, 0.5), (["a"], ["a", "a"], 0.0, 0.0), ([], [], 1.0, 1.0), (["a_1", "b"], ["b", ""], 1.0, 0.0)]
+    rows = spark.createDataFrame([(json.dumps({"ids": w, "days": w}), json.dumps({"ids": g, "days": g}), ["b"]) for w, g, _, _ in cases], "expected string, actual string, known array<string>")
+    for r, (_, _, bag, row) in zip(grading.deep_scores(rows, SCHEMA, known="known").collect(), cases, strict=True):
+        assert (r["scores"]["ids"], r["scores"]["days"]) == (bag, row)

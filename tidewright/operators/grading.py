@@ -113,25 +113,29 @@ def grader_errors(probes: DataFrame) -> DataFrame:
     )
 
 
-def deep_scores(rows: DataFrame, schema: dict, *, expected: str = "expected", actual: str = "actual", known: str | None = None) -> DataFrame:
+def deep_scores(rows: DataFrame, schema: dict, *, expected: str = "expected", actual: str = "actual", known: str | None = None, names: str | None = None) -> DataFrame:
     """Adds scores (map of graded field to share) of nested JSON answers under an answer schema.
 
-    The schema is small and compiled once; values are compared over Arrow batches, because order-any lists inside objects
-    need a nested comparison that SQL cannot express. Flat answers are better served by object_scores.
+    ``known`` names a column of texts that the user knows (ids they never saw are then excused), ``names`` one of a map from
+    names to the records that they stand for. The schema is small and compiled once; values are compared over Arrow batches,
+    because order-any lists inside objects need a nested comparison that SQL cannot express. Flat answers are better served
+    by object_scores.
     """
     import json
 
     text = json.dumps(schema)
 
     @F.arrow_udf("map<string,double>")
-    def of(want, got, seen):
+    def of(want, got, seen, called):
         import pyarrow as pa
 
-        from tidewright.functions.answers import Scorer
+        from tidewright.functions.answers import Scorer, tagged
 
         scorer = Scorer(json.loads(text))
-        triples = zip(want.to_pylist(), got.to_pylist(), seen.to_pylist(), strict=True)
-        return pa.array([list(scorer.fields(w, g, k).items()) for w, g, k in triples], pa.map_(pa.string(), pa.float64()))
+        key = lambda n: tagged(None, n).partition(":")[2]
+        rows = zip(want.to_pylist(), got.to_pylist(), seen.to_pylist(), called.to_pylist(), strict=True)
+        return pa.array([list(scorer.scores(w, g, k, {key(a): r for a, r in n} if n else None).items()) for w, g, k, n in rows], pa.map_(pa.string(), pa.float64()))
 
     held = F.col(known) if known else F.lit(None).cast("array<string>")
-    return rows.withColumn("scores", of(F.col(expected), F.col(actual), held))
+    other = F.col(names) if names else F.lit(None).cast("map<string,string>")
+    return rows.withColumn("scores", of(F.col(expected), F.col(actual), held, other))
