@@ -156,6 +156,9 @@ def test_op3_on_real_documents(spark, sf_dir):
     assert list(out.n_chars) == [len(t) for t in texts]
     true = [jaccard(t, e) for t, e in zip(texts, edited, strict=True)]
     assert abs(sum(true) / len(true) - out.near.mean()) < 0.03
+    error = (sum((t - n) ** 2 for t, n in zip(true, out.near, strict=True)) / len(true)) ** 0.5
+    print("error of a document", error)
+    assert error < 1.2 * (0.25 / cws.SAMPLES) ** 0.5
     by_text = {}
     for t, s in zip(texts, out.signature, strict=True):
         assert by_text.setdefault(t, list(s)) == list(s)
