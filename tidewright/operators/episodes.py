@@ -83,25 +83,20 @@ def call_profile(messages: DataFrame, calls: DataFrame, described: DataFrame | N
     """
     said = F.concat_ws(" ", "content", F.col("calls_text"))
     made = calls.groupBy("episode_id", "msg_idx").agg(F.array_join(F.array_sort(F.collect_list(F.struct("call_idx", F.concat_ws(" ", "name", "arguments").alias("t"))))["t"], " ").alias("calls_text"))
-    lines = messages.join(made, ["episode_id", "msg_idx"], "left").select("episode_id", "msg_idx", "role", F.coalesce(said, F.lit("")).alias("line"))
-    order = Window.partitionBy("episode_id").orderBy("msg_idx")
-    other = F.when(F.col("role") != "assistant", F.col("line"))
-    own = F.when(F.col("role") == "assistant", F.col("line"))
-    context = lines.select(
-        "episode_id",
-        "msg_idx",
-        F.array_join(F.collect_list(other).over(order.rowsBetween(Window.unboundedPreceding, -1)), "\n").alias("seen"),
-        F.array_join(F.collect_list(own).over(order.rowsBetween(1, Window.unboundedFollowing)), "\n").alias("later"),
-    )
-    rows = calls.join(context, ["episode_id", "msg_idx"])
+    lines = messages.join(made, ["episode_id", "msg_idx"], "left").select("episode_id", F.struct("msg_idx", (F.col("role") == "assistant").alias("own"), F.coalesce(said, F.lit("")).alias("line")).alias("x"))
+    # An episode's lines are held once; each call looks through them.
+    held = lines.groupBy("episode_id").agg(F.collect_list("x").alias("lines"))
+    rows = calls.join(held, "episode_id")
     rows = rows.join(described, "episode_id", "left") if described is not None else rows.withColumn("tools", F.lit(""))
+    seen = lambda v: F.exists("lines", lambda x: ~x["own"] & (x["msg_idx"] < F.col("msg_idx")) & F.contains(x["line"], v))
+    later = lambda v: F.exists("lines", lambda x: x["own"] & (x["msg_idx"] > F.col("msg_idx")) & F.contains(x["line"], v))
     pairs = F.map_entries(F.coalesce(F.from_json("arguments", "map<string,string>"), F.expr("map()").cast("map<string,string>")))
-    guess = lambda e: F.regexp_like(e["key"], F.lit(S.ID_KEY)) & F.regexp_like(e["value"], F.lit("[0-9]")) & ~F.contains(F.col("seen"), e["value"]) & ~F.contains(F.coalesce("tools", F.lit("")), e["value"])
+    guess = lambda e: F.regexp_like(e["key"], F.lit(S.ID_KEY)) & F.regexp_like(e["value"], F.lit("[0-9]")) & ~seen(e["value"]) & ~F.contains(F.coalesce("tools", F.lit("")), e["value"])
     tokens = F.filter(
         F.array_distinct(F.regexp_extract_all("result", F.lit(S.TOKEN), 0)), lambda t: ~F.contains(F.col("arguments"), t) & ~F.regexp_like(t, F.lit("^[A-Za-z]+$"))
     )
     lookup = ~F.col("write") & ~F.col("failed")
-    unused = lookup & (F.size(tokens) > 0) & ~F.exists(tokens, lambda t: F.contains(F.col("later"), t))
+    unused = lookup & (F.size(tokens) > 0) & ~F.exists(tokens, later)
     return rows.groupBy("episode_id").agg(
         F.count(F.when(lookup, 1)).alias("lookups"), F.count(F.when(unused, 1)).alias("unused"), F.sum(F.size(F.filter(pairs, guess))).alias("invented")
     )
