@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewright.functions import scalars as S
-from tidewright.functions.ordering import hash_choice, hash_number, hash_order
+from tidewright.functions.ordering import hash_choice, hash_number, hash_order, hash_uniform
+from tidewright.sources.shared import written
 
 # How far calendar cells move, in minutes.
 CALENDAR_SHIFTS = (-4320, -1440, -120, -60, 60, 120, 1440, 4320)
@@ -106,3 +107,83 @@ def overlay(rows: DataFrame, patches: DataFrame) -> tuple[DataFrame, DataFrame]:
     change = patches.select("table", "row_id", F.col("set").alias("__s"))
     fixed = F.when(F.col("__s").isNull(), F.col("cells")).otherwise(F.transform_values("cells", lambda k, v: F.coalesce(F.try_element_at("__s", k), v)))
     return rows.join(change, ["table", "row_id"], "left").withColumn("cells", fixed).drop("__s"), bad
+
+
+def goal_alternatives(goals: DataFrame, rows: DataFrame, show: int = 3) -> DataFrame:
+    """task_id, parameter and other: plausible other values of goal parameters (task_id, parameter, kind, value).
+
+    A boolean is turned round; a number takes its successor and twice itself plus three (1 and 5 for 0); an id takes the
+    first ``show`` other ids of its table (``rows``: table, id, place).
+    """
+    number = F.col("value").try_cast("double")
+    plain = F.when(F.col("kind") == "boolean", F.array(F.when(F.col("value") == "true", "false").otherwise("true"))).when(
+        F.col("kind") == "number", F.when(number == 0, F.array(F.lit("1"), F.lit("5"))).otherwise(F.array((number + 1).cast("long").cast("string"), (number * 2 + 3).cast("long").cast("string")))
+    )
+    told = goals.where("kind <> 'string'").select("task_id", "parameter", F.explode(plain).alias("other"))
+    first = rows.select("table", "place", F.col("id").alias("other"))
+    place = F.row_number().over(Window.partitionBy("table").orderBy("place"))
+    first = first.withColumn("__k", place).where(F.col("__k") <= show + 1).drop("__k")
+    ids = goals.where("kind = 'string'").join(rows.select("table", F.col("id").alias("value")), "value").join(first, "table").where("other <> value")
+    near = F.row_number().over(Window.partitionBy("task_id", "parameter").orderBy("place"))
+    return told.unionByName(ids.withColumn("__k", near).where(F.col("__k") <= show).select("task_id", "parameter", "other"))
+
+
+def task_fields(goals: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """task_id, field and description of a task's answer: one field a goal (task_id, place, process), in their order.
+
+    ``outcomes``: process, description. A goal of a process without an outcome has no field.
+    """
+    named = goals.join(outcomes.select("process", F.coalesce("description", F.lit("")).alias("__d")), "process")
+    text = F.trim(F.concat(F.lit("Goal "), "place", F.lit(" ("), "process", F.lit("): "), "__d"))
+    return named.select("task_id", F.concat(F.lit("goal_"), "place").alias("field"), text.alias("description"))
+
+
+def nested_values(rows: DataFrame, id: str, value: str) -> DataFrame:
+    """id and value: the texts and whole numbers at any depth of a JSON text, as texts.
+
+    Depth is peeled level by level in Spark; the loop ends with the deepest level.
+    """
+    level = rows.select(F.col(id).alias("id"), F.try_parse_json(value).alias("v")).where("v is not null")
+    out = None
+    while not level.isEmpty():
+        kind = F.schema_of_variant("v")
+        flat = level.withColumn("k", kind)
+        leaf = flat.where("k = 'STRING' or k = 'BIGINT'").select("id", F.try_variant_get("v", "$", "string").alias("value"))
+        out = leaf if out is None else out.unionByName(leaf)
+        items = flat.where("k like 'ARRAY%'").select("id", F.explode(F.try_variant_get("v", "$", "array<variant>")).alias("v"))
+        fields = flat.where("k like 'OBJECT%'").select("id", F.explode(F.map_values(F.try_variant_get("v", "$", "map<string,variant>"))).alias("v"))
+        level = written(items.unionByName(fields))
+    return out if out is not None else rows.select(F.col(id).alias("id"), F.lit(None).cast("string").alias("value")).limit(0)
+
+
+def composed(worlds: DataFrame, tasks: DataFrame) -> DataFrame:
+    """Requests of tasks (task_id, world_id, title, facts, script) on worlds (world_id, title, rules): the task's title or the world's."""
+    of = worlds.select("world_id", F.col("title").alias("__t"), "rules")
+    return tasks.join(of, "world_id").select("task_id", "world_id", F.coalesce("title", "__t").alias("title"), "rules", "facts", "script")
+
+
+def script_elements(tasks: DataFrame, elements: dict[str, float], *, least: int = 1, most: int = 3, identity: float = 0.3, seed: int = 0) -> DataFrame:
+    """task_id and elements of the user's script: each by its own draw, at most ``most``; none for direct tasks.
+
+    If fewer than ``least`` are drawn, those of least hash fill up; identity comes with wrong_first and forgotten, or by a draw.
+    """
+    names = list(elements)
+    drawn = F.array_compact(F.array(*[F.when(hash_uniform(seed, f"script-{n}", "task_id") < p, F.lit(n)) for n, p in elements.items()]))
+    order = F.array_sort(F.array(*[F.struct(hash_order(seed, f"extra-{n}", "task_id").alias("o"), F.lit(n).alias("n")) for n in names]))["n"]
+    chosen = F.slice(drawn, 1, most)
+    filled = F.when(F.size(chosen) < least, F.slice(F.array_distinct(F.concat(chosen, order)), 1, least)).otherwise(chosen)
+    rows = tasks.withColumn("__e", F.when(F.col("shape") == "direct", F.expr("cast(array() as array<string>)")).otherwise(filled))
+    extra = F.arrays_overlap("__e", F.array(F.lit("wrong_first"), F.lit("forgotten"))) | (hash_uniform(seed, "identity", "task_id") < identity)
+    return rows.select("task_id", F.when((F.size("__e") > 0) & extra, F.array_append("__e", F.lit("identity"))).otherwise(F.col("__e")).alias("elements"))
+
+
+def step_counts(trace: DataFrame) -> DataFrame:
+    """episode_id, step and n of tool calls and confirmations (kind, tool, key)."""
+    step = F.when(F.col("kind") == "confirm", F.concat(F.lit("confirm "), "key")).when(F.col("kind") == "tool", F.col("tool"))
+    return trace.withColumn("step", step).where("step is not null").groupBy("episode_id", "step").agg(F.count("*").alias("n"))
+
+
+def natural_accepted(*, red_flags: Column, natural: Column, equivalent: Column, missing: Column, added: Column, restates: Column) -> Column:
+    """Whether a rewritten opening may stand: no flags, natural (4 or more), equivalent, nothing missing or added, no rule restated."""
+    empty = lambda a: F.coalesce(F.size(a), F.lit(0)) == 0
+    return empty(red_flags) & (F.coalesce(natural, F.lit(0)) >= 4) & F.coalesce(equivalent, F.lit(False)) & empty(missing) & empty(added) & ~F.coalesce(restates, F.lit(True))
