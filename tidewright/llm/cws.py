@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from .shared import SPACE, text_of
 
-SAMPLES = 32
+SAMPLES = 24
 #: ln a is kept in steps of 2**-24 above this floor, in the upper half of a long; the lower half names term and t.
 _FLOOR, _STEPS = 64.0, 1 << 24
 
