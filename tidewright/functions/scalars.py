@@ -244,11 +244,14 @@ def is_peak(moment: Column) -> Column:
 
 
 def seconds_to_switch(moment: Column) -> Column:
-    """Seconds to the next change between peak and off-peak: the least of the next minutes whose regime differs."""
-    base = F.date_trunc("minute", moment)
-    marks = F.transform(F.sequence(F.lit(1), F.lit(4 * 24 * 4)), lambda i: F.timestamp_add("MINUTE", F.lit(15) * i, F.date_trunc("hour", moment)))
-    later = F.filter(marks, lambda m: (m > base) & (is_peak(m) != is_peak(moment)))
-    return (F.array_min(later).cast("double") - moment.cast("double")).cast("long")
+    """Seconds to the next change between peak and off-peak: within the day, or at nine on the next weekday."""
+    there = F.from_utc_timestamp(moment, "Asia/Shanghai")
+    hour, day = F.hour(there), F.dayofweek(there)
+    weekday = day.between(2, 6)
+    days = F.when(day == 6, 3).when(day == 7, 2).otherwise(1)
+    at = F.when(weekday & (hour < 9), 9).when(weekday & (hour < 12), 12).when(weekday & (hour < 14), 14).when(weekday & (hour < 18), 18).otherwise(days * 24 + 9)
+    passed = there.cast("double") - F.date_trunc("day", there).cast("double")
+    return (at * 3600 - passed).cast("long")
 
 
 def cjk_share(text: Column) -> Column:

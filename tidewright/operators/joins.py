@@ -122,8 +122,8 @@ def failure_clusters(episodes: DataFrame, keys: list[str], order: str) -> DataFr
 
 
 def sibling_ids(rows: DataFrame, show: int = 3) -> DataFrame:
-    """id and the first ``show`` other ids of its table: each id meets only the next few and first few of the table's order."""
-    order = Window.partitionBy("table").orderBy("id")
-    ranked = rows.select("table", "id").distinct().withColumn("k", F.row_number().over(order))
-    first = ranked.where(F.col("k") <= show + 1).groupBy("table").agg(F.array_sort(F.collect_list("id")).alias("f"))
-    return ranked.join(first, "table").select("table", "id", F.slice(F.filter("f", lambda x: x != F.col("id")), 1, show).alias("others"))
+    """id and the first ``show`` other ids of its table; only the first of each table are ranked and collected."""
+    ids = rows.select("table", "id").distinct()
+    ranked = ids.withColumn("k", F.row_number().over(Window.partitionBy("table").orderBy("id"))).where(F.col("k") <= show + 1)
+    first = ranked.groupBy("table").agg(F.array_sort(F.collect_list("id")).alias("f"))
+    return ids.join(first, "table").select("table", "id", F.slice(F.filter("f", lambda x: x != F.col("id")), 1, show).alias("others"))

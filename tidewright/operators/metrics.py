@@ -143,7 +143,7 @@ def histogram(values: DataFrame, column: str, most: int = 20) -> DataFrame:
 
 
 def best_so_far(evaluations: DataFrame, step: str, value: str) -> DataFrame:
-    """Adds best (the greatest value up to the step) and improved (strictly above all before)."""
+    """Adds best (the greatest value up to the step) and improved (strictly above all before); a single window, one row an evaluation."""
     before = F.max(value).over(Window.orderBy(step).rowsBetween(Window.unboundedPreceding, -1))
     return evaluations.withColumn("improved", before.isNull() | (F.col(value) > before)).withColumn("best", F.greatest(F.coalesce(before, F.col(value)), F.col(value)))
 

@@ -20,17 +20,26 @@ def per_task_cap(episodes: DataFrame, task: str, world: str, preference: list[Co
     return first_per(episodes.withColumn("__w", again), [task], ["__w", *preference], cap).drop("__w")
 
 
-def top_by_order(rows: DataFrame, order: list[Column | str], room: DataFrame) -> DataFrame:
-    """The first rows of a total order, as many as the single value of ``room`` (column n) says.
+def numbered(rows: DataFrame, order: Column, more: list[Column | str] = (), name: str = "place") -> DataFrame:
+    """Adds the place, from 0, of each row in a hash order (hex text; ``more`` breaks ties).
 
-    The hash order is cut by its first four hex digits before rows are numbered, so that no task numbers all of them.
+    Rows are counted by the order's first four hex digits and numbered inside these cells, so that no task numbers all.
     """
-    tagged = rows.withColumn("__o", order[0] if isinstance(order[0], Column) else F.col(order[0])).withColumn("__cell", F.substring("__o", 1, 4))
+    tagged = rows.withColumn("__o", order).withColumn("__cell", F.substring("__o", 1, 4))
     before = F.sum("__c").over(Window.orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1))
     cells = tagged.groupBy("__cell").agg(F.count("*").alias("__c")).select("__cell", F.coalesce(before, F.lit(0)).alias("__b"))
-    place = F.row_number().over(Window.partitionBy("__cell").orderBy("__o", *order[1:])) + F.col("__b")
+    place = F.row_number().over(Window.partitionBy("__cell").orderBy("__o", *more)) + F.col("__b") - 1
+    return tagged.join(cells, "__cell").withColumn(name, place).drop("__o", "__cell", "__b")
+
+
+def top_by_order(rows: DataFrame, order: list[Column | str], room: DataFrame) -> DataFrame:
+    """The first rows of a total order, as many as the single value of ``room`` (column n) says.
+
+    The order is a hash, as ``numbered`` wants it.
+    """
+    first = order[0] if isinstance(order[0], Column) else F.col(order[0])
     limit = room.first()[0]
-    return tagged.join(cells, "__cell").withColumn("__p", place).where(F.col("__p") <= int(limit or 0)).drop("__o", "__cell", "__b", "__p")
+    return numbered(rows, first, order[1:], "__p").where(F.col("__p") < int(limit or 0)).drop("__p")
 
 
 def share_quota(rows: DataFrame, limited: Column, share: float, order: list[Column | str]) -> DataFrame:
@@ -55,7 +64,10 @@ def domain_cap(rows: DataFrame, domain: str, share: float, order: list[Column |
 
 
 def domain_holdout(rows: DataFrame, domain: str, share: float) -> DataFrame:
-    """domain, n and held: whole domains in hash order until the held rows reach ``share`` of all; one row per domain."""
+    """domain, n and held: whole domains in hash order until the held rows reach ``share`` of all; one row per domain.
+
+    Only these rows, one a domain, go through a single window.
+    """
     sizes = rows.groupBy(F.col(domain).alias("domain")).agg(F.count("*").alias("n"))
     order = Window.orderBy(F.sha2(F.col("domain").cast("string"), 256))
     before = F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -63,7 +75,10 @@ def domain_holdout(rows: DataFrame, domain: str, share: float) -> DataFrame:
 
 
 def assign_eval(rows: DataFrame, family: str, share: float) -> DataFrame:
-    """family, n and split: whole families by falling name go to eval until its size reaches ``share``; one stays in train."""
+    """family, n and split: whole families by falling name go to eval until its size reaches ``share``; one stays in train.
+
+    Only one row a family goes through a single window.
+    """
     sizes = rows.groupBy(F.col(family).alias("family")).agg(F.count("*").alias("n"))
     order = Window.orderBy(F.desc("family"))
     before = F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -104,7 +119,7 @@ def weighted_replay(entries: DataFrame, weights: DataFrame, *, draws: int, seed:
     """draw, task_id and entry_id: a task by weight, then one of its entries uniformly.
 
     ``weights`` (task_id, weight) is one row per task; a draw's point is matched to the cumulative weights of the tasks
-    that have entries.
+    that have entries, in a single window over one row a task.
     """
     per_task = entries.groupBy("task_id").agg(F.count("*").alias("__n"))
     order = Window.orderBy("task_id")
@@ -119,15 +134,9 @@ def weighted_replay(entries: DataFrame, weights: DataFrame, *, draws: int, seed:
 
 
 def minibatches(samples: DataFrame, group: str, size: int, *, seed: int = 0) -> DataFrame:
-    """Adds ``minibatch``: whole groups in hash order, ``size`` groups in each.
-
-    Groups are counted by the first four hex digits of their hash, so that no task numbers all of them.
-    """
-    groups = samples.select(group).distinct().withColumn("__o", hash_order(seed, "minibatch", group)).withColumn("__cell", F.substring("__o", 1, 4))
-    before = F.sum("__c").over(Window.orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1))
-    cells = groups.groupBy("__cell").agg(F.count("*").alias("__c")).select("__cell", F.coalesce(before, F.lit(0)).alias("__b"))
-    place = F.row_number().over(Window.partitionBy("__cell").orderBy("__o", group)) + F.col("__b") - 1
-    return samples.join(groups.join(cells, "__cell").select(group, F.floor(place / size).alias("minibatch")), group)
+    """Adds ``minibatch``: whole groups in hash order, ``size`` groups in each."""
+    groups = numbered(samples.select(group).distinct(), hash_order(seed, "minibatch", group), [group], "__p")
+    return samples.join(groups.select(group, F.floor(F.col("__p") / size).alias("minibatch")), group)
 
 
 def contiguous_prefix(acks: DataFrame, worker: str, index: str) -> DataFrame:
@@ -138,7 +147,7 @@ def contiguous_prefix(acks: DataFrame, worker: str, index: str) -> DataFrame:
 
 
 def prune_checkpoints(checkpoints: DataFrame, keep: int) -> DataFrame:
-    """Adds ``kept`` to (version, is_pointer): the pointer, and the newest up to ``keep`` in all."""
+    """Adds ``kept`` to (version, is_pointer): the pointer, and the newest up to ``keep`` in all (a single window over the checkpoints)."""
     order = Window.orderBy(F.desc(F.coalesce("is_pointer", F.lit(False))), F.desc("version"))
     return checkpoints.withColumn("kept", F.row_number().over(order) <= max(1, keep))
 

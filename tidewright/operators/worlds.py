@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewright.functions import scalars as S
 from tidewright.functions.ordering import hash_choice, hash_number, hash_order, hash_uniform
+from tidewright.operators.selection import numbered
 from tidewright.sources.shared import written
 
 # How far calendar cells move, in minutes.
@@ -65,24 +66,21 @@ def mutable_cells(cells: DataFrame) -> DataFrame:
 def perturbed(cells: DataFrame, seeds: DataFrame, most: int = 3, peers_shown: int = 64) -> DataFrame:
     """seed, table, row_id, column, old and new: one to ``most`` cells of the world changed for each seed.
 
-    The cells with the least hashes are taken. Booleans flip, calendar texts move by a fixed shift (whole days without a
+    The cells are numbered by hash, and a seed's draws are numbers, so cells and seeds meet in a join of equals. Booleans flip, calendar texts move by a fixed shift (whole days without a
     time), integers become a neighbour within 3, 0 or a value of the column (the ``peers_shown`` least), never themselves
     and never negative.
     """
     can = mutable_cells(cells)
     number = F.col("value").try_cast("long")
-    peers = can.where("kind = 'integer'").groupBy("table", "column").agg(F.collect_set(number).alias("p"))
-    peers = peers.select("table", "column", F.slice(F.array_sort("p"), 1, peers_shown).alias("peers"))
-    draws = []
-    for k in range(most):
-        order = F.struct(hash_order(0, f"cell{k}", "seed", "table", "row_id", "column"), F.struct("table", "row_id", "column", "kind", "value"))
-        draws.append(F.min(order)["col2"].alias(f"c{k}"))
-    # Every world changes cells of the same table: the seeds are a list of parameters, exploded beside the cells.
-    listed = [r["seed"] for r in seeds.select("seed").distinct().orderBy("seed").collect()]
-    picked = can.withColumn("seed", F.explode(F.array(*[F.lit(s) for s in listed]))).groupBy("seed").agg(*draws)
+    values = can.where("kind = 'integer'").select("table", "column", number.alias("p")).distinct()
+    few = values.withColumn("__k", F.row_number().over(Window.partitionBy("table", "column").orderBy("p"))).where(F.col("__k") <= peers_shown)
+    peers = few.groupBy("table", "column").agg(F.array_sort(F.collect_list("p")).alias("peers"))
+    places = written(numbered(can, hash_order(0, "cell", "table", "row_id", "column"), ["table", "row_id", "column"], "__p"))
+    n = F.lit(max(1, places.count()))
     wanted = F.pmod(hash_number(0, "cells", "seed"), F.lit(most)) + 1
-    rows = picked.select("seed", F.explode(F.array_distinct(F.slice(F.array(*[f"c{k}" for k in range(most)]), F.lit(1), wanted.cast("int")))).alias("c")).select("seed", "c.*")
-    rows = rows.join(peers, ["table", "column"], "left")
+    draws = F.array(*[F.pmod(hash_number(0, f"cell{k}", "seed"), n) for k in range(most)])
+    picked = seeds.select("seed").distinct().select("seed", F.explode(F.array_distinct(F.slice(draws, F.lit(1), wanted.cast("int")))).alias("__p"))
+    rows = picked.join(places, "__p").drop("__p").join(peers, ["table", "column"], "left")
     v = number
     near = F.array(*[F.greatest(F.lit(0).cast("long"), v + d) for d in (-3, -2, -1, 1, 2, 3)], F.lit(0).cast("long"))
     options = F.array_sort(F.filter(F.array_distinct(F.concat(near, F.coalesce("peers", F.expr("array()").cast("array<bigint>")))), lambda x: x != v))
@@ -95,8 +93,10 @@ def perturbed(cells: DataFrame, seeds: DataFrame, most: int = 3, peers_shown: in
 
 
 def value_pool(cells: DataFrame, show: int = 50) -> DataFrame:
-    """column and up to ``show`` of its least distinct values, with its kind."""
-    return cells.groupBy("column", "kind").agg(F.slice(F.array_sort(F.collect_set("value")), 1, show).alias("values"))
+    """column and up to ``show`` of its least distinct values, with its kind; only these are collected."""
+    place = F.row_number().over(Window.partitionBy("column", "kind").orderBy("value"))
+    few = cells.select("column", "kind", "value").where("value is not null").distinct().withColumn("__k", place).where(F.col("__k") <= show)
+    return few.groupBy("column", "kind").agg(F.array_sort(F.collect_list("value")).alias("values"))
 
 
 def overlay(rows: DataFrame, patches: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -157,8 +157,9 @@ SELECT o_orderkey, success, round(efficiency, 6) AS efficiency, round(CASE WHEN
     "perturb_worlds": (
         perturb_worlds,
         """WITH c AS (SELECT n_nationkey::VARCHAR AS r, unnest([{'c': 'size', 'k': 'integer', 'v': (n_regionkey * 10)::VARCHAR}, {'c': 'open', 'k': 'boolean', 'v': (n_nationkey % 2 = 0)::VARCHAR}, {'c': 'since', 'k': 'string', 'v': '2024-02-28T23:30'}], recursive := true) FROM nation),
-d AS (SELECT s AS seed, i, r, c, k, v, row_number() OVER (PARTITION BY s, i ORDER BY sha256('0:cell' || i || ':' || s || ':nation:' || r || ':' || c)) AS p FROM c, range(1, 21) a(s), range(3) b(i)),
-p AS (SELECT DISTINCT seed, r, c, k, v FROM d WHERE p = 1 AND i < ('0x' || substr(sha256('0:cells:' || seed), 1, 8))::BIGINT % 3 + 1),
+o AS (SELECT *, row_number() OVER (ORDER BY sha256('0:cell:nation:' || r || ':' || c)) - 1 AS p FROM c),
+d AS (SELECT DISTINCT s AS seed, ('0x' || substr(sha256('0:cell' || i || ':' || s), 1, 8))::BIGINT % (SELECT count(*) FROM c) AS p FROM range(1, 21) a(s), range(3) b(i) WHERE i < ('0x' || substr(sha256('0:cells:' || s), 1, 8))::BIGINT % 3 + 1),
+p AS (SELECT seed, r, c, k, v FROM d JOIN o USING (p)),
 n AS (SELECT *, seed || ':nation:' || r || ':' || c AS key, list_sort(list_distinct(list_filter(list_concat([greatest(0, coalesce(try_cast(v AS BIGINT), 0) + x) for x in [-3, -2, -1, 1, 2, 3]], [0], (SELECT list(DISTINCT n_regionkey * 10) FROM nation)), lambda x: x <> try_cast(v AS BIGINT)))) AS o FROM p)
 SELECT seed, 'nation' AS "table", r AS row_id, c AS "column", v AS old, CASE k WHEN 'boolean' THEN CASE v WHEN 'true' THEN 'false' ELSE 'true' END WHEN 'integer' THEN o[('0x' || substr(sha256('0:value:' || key), 1, 8))::BIGINT % len(o) + 1]::VARCHAR
 ELSE strftime(TIMESTAMP '2024-02-28 23:30' + INTERVAL 1 MINUTE * [-4320, -1440, -120, -60, 60, 120, 1440, 4320][('0x' || substr(sha256('0:shift:' || key), 1, 8))::BIGINT % 8 + 1], '%Y-%m-%dT%H:%M') END AS new FROM n""",
