@@ -51,6 +51,20 @@ def test_renames_never_chain(spark):
         assert len(set(called)) == 6 and not set(called) & set(names)
 
 
+def test_parameters_are_renamed_with_their_values(spark):
+    given = ['{"order_id": "W1", "item_ids": ["a", 2], "consent": true}', '{"order_id": "W2"}', "no json"]
+    out = augment.rename_parameters(episode(spark, [("get_order", a) for a in given])).collect()
+    kinds = set()
+    for r in out:
+        first, second, third = (m["tool_calls"][0]["arguments"] for m in r["messages"] if m["role"] == "assistant")
+        a, b = json.loads(first), json.loads(second)
+        names = list(a)
+        assert sorted(map(str, a.values())) == sorted(map(str, ["W1", ["a", 2], True])) and a["consent"] is True and third == "no json"
+        assert list(b.values()) == ["W2"] and set(b) <= set(names) and len(names) == 3
+        kinds.add(next(iter(b)))
+    assert len(kinds) > 1
+
+
 def test_new_ids_are_new_in_their_table_only(spark):
     kind = "table string, row_id string, cells map<string,string>"
     initial = spark.createDataFrame([("b", "1", {"id": "1"})], kind)

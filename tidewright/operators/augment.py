@@ -137,30 +137,51 @@ def relayout(episodes: DataFrame, seed: int = 0) -> DataFrame:
     return map_messages(drawn, lambda m: {"content": F.when(m["role"] == "system", laid_out(m["content"], F.col("__l"))).otherwise(m["content"])}).drop("__l")
 
 
-def renamed(names: DataFrame, seed: int = 0) -> DataFrame:
-    """episode_id, name and new: tools under other names, each word by a synonym with four chances in five.
+def renamed(names: DataFrame, seed: int = 0, by: tuple[str, ...] = ("episode_id",), must: bool = True) -> DataFrame:
+    """The keys ``by``, name and new: names under other names, each word by a synonym with four chances in five.
 
-    A name that would stay gets a prefix; one that another tool of the episode has, or had, a number.
+    A name that would stay gets a prefix if it ``must`` change; one that another name of the keys has, or had, a number.
     """
+    keys = list(by)
     words = F.split("name", "_")
     table = F.create_map(*[x for group in SYNONYMS for w in group for x in (F.lit(w), _strings([o for o in group if o != w]))])
 
     def swap(w: Column, i: Column) -> Column:
         others = F.try_element_at(table, w)
-        draw = hash_number(seed, "word", F.col("episode_id"), F.col("name"), i)
+        draw = hash_number(seed, "word", *keys, "name", i)
         chosen = F.get(others, F.pmod(F.shiftright(draw, 8), F.size(others)).cast("int"))
         return F.when(others.isNotNull() & (F.pmod(draw, F.lit(5)) < 4), chosen).otherwise(w)
 
     new = F.array_join(F.transform(words, swap), "_")
-    prefix = hash_choice(seed, "prefix", _strings(PREFIXES), "episode_id", "name")
-    rows = names.select("episode_id", "name").distinct()
-    rows = rows.join(rows.groupBy("episode_id").agg(F.collect_set("name").alias("__old")), "episode_id")
-    rows = rows.withColumn("new", F.when(new == F.col("name"), F.concat_ws("_", prefix, "name")).otherwise(new))
-    place = F.row_number().over(Window.partitionBy("episode_id", "new").orderBy("name"))
-    number = place + F.array_contains("__old", F.col("new")).cast("int")
+    prefix = hash_choice(seed, "prefix", _strings(PREFIXES), *keys, "name")
+    rows = names.select(*keys, "name").distinct()
+    rows = rows.join(rows.groupBy(*keys).agg(F.collect_set("name").alias("__old")), keys)
+    rows = rows.withColumn("new", F.when((new == F.col("name")) & F.lit(must), F.concat_ws("_", prefix, "name")).otherwise(new))
+    place = F.row_number().over(Window.partitionBy(*keys, "new").orderBy("name"))
+    number = place + (F.array_contains("__old", F.col("new")) & (F.col("new") != F.col("name"))).cast("int")
     return rows.withColumn("new", F.when(number > 1, F.concat_ws("_", "new", number.cast("string"))).otherwise(F.col("new"))).drop("__old")
 
 
+def rename_parameters(episodes: DataFrame, seed: int = 0, keep: tuple[str, ...] = ("consent",)) -> DataFrame:
+    """Parameters renamed in the arguments of calls, the same way for a tool all through an episode; names in ``keep`` stay.
+
+    Values are kept as JSON values; arguments that are no JSON object stay as they are.
+    """
+    calls = episodes.select("episode_id", F.explode("messages").alias("m")).select("episode_id", F.explode("m.tool_calls").alias("c"))
+    kind = "map<string,variant>"
+    used = calls.select("episode_id", F.col("c.name").alias("tool"), F.explode(F.map_keys(F.from_json("c.arguments", kind))).alias("name"))
+    mapping = renamed(used.where(~F.col("name").isin(list(keep) or [""])), seed, ("episode_id", "tool"), must=False)
+    held = mapping.groupBy("episode_id").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("\n", "tool", "name"), "new"))).alias("__m"))
+    rows = episodes.join(held, "episode_id", "left").withColumn("__m", F.coalesce("__m", F.expr("cast(map() as map<string,string>)")))
+    fields = episodes.schema["messages"].dataType.elementType["tool_calls"].dataType.elementType.fields
+
+    def call(c: Column) -> Column:
+        moved = F.transform_keys(F.from_json(c["arguments"], kind), lambda k, v: F.coalesce(F.try_element_at("__m", F.concat_ws("\n", c["name"], k)), k))
+        return F.struct(*[(F.coalesce(F.to_json(moved), c["arguments"]) if f.name == "arguments" else c[f.name]).alias(f.name) for f in fields])
+
+    return map_messages(rows, lambda m: {"tool_calls": F.transform(m["tool_calls"], call)}).drop("__m")
+
+
 def rename_tools(episodes: DataFrame, seed: int = 0, keep: tuple[str, ...] = ()) -> DataFrame:
     """Tools renamed in calls, results and system prompts, the same way all through an episode; names in ``keep`` stay.
 
