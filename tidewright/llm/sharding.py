@@ -104,16 +104,15 @@ def group_cuts(groups: DataFrame, shards: int, first_bits: int = FIRST_BITS) ->
     """
     items = written(summed(groups, first_bits))
     while True:
-        listed = items.agg(F.array_sort(F.collect_list(F.struct("start", "size", "groups", "most", "bits"))).alias("items"))
-        listed = listed.withColumn("enough", capacity(F.col("items"), shards)).withColumn("needed", capacity(F.col("items"), shards, True))
-        split = F.when(F.col("enough") > F.col("needed"), doubtful(F.col("items"), F.col("enough"), F.col("needed"), shards))
-        starts = F.transform(cuts(F.transform("items", lambda g: g["size"]), F.col("enough"), shards), lambda i: F.get(F.col("items"), i)["start"])
-        found = listed.select("enough", split.alias("split"), F.when(F.col("enough") == F.col("needed"), starts).alias("starts")).first()
-        if found["split"] is None:
-            return found["enough"], found["starts"]
-        parts = items.where(~F.col("start").isin([i["start"] for i in found["split"]]))
-        for bits in sorted({i["bits"] for i in found["split"]}):
-            cells = [i["start"] >> (64 - bits) for i in found["split"] if i["bits"] == bits]
+        listed = written(items.agg(F.array_sort(F.collect_list(F.struct("start", "size", "groups", "most", "bits"))).alias("items")))
+        enough, needed = listed.select(capacity(F.col("items"), shards), capacity(F.col("items"), shards, True)).first()
+        if enough == needed:
+            at = cuts(F.transform("items", lambda g: g["size"]), F.lit(enough), shards)
+            return enough, listed.select(F.transform(at, lambda i: F.get(F.col("items"), i)["start"])).first()[0]
+        split = listed.select(doubtful(F.col("items"), F.lit(enough), F.lit(needed), shards)).first()[0]
+        parts = items.where(~F.col("start").isin([i["start"] for i in split]))
+        for bits in sorted({i["bits"] for i in split}):
+            cells = [i["start"] >> (64 - bits) for i in split if i["bits"] == bits]
             inside = groups.where(F.shiftright("h", 64 - bits).isin(cells))
             parts = parts.unionByName(summed(inside, min(64, bits + MORE_BITS)))
         items = written(parts)
