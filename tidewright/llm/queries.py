@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, cws, decontam, licenses, mixing, quality, secrets_scan, sharding, simhash, url_filter
+from . import chat, cws, decontam, licenses, mixing, quality, runs, secrets_scan, sharding, simhash, token_counts, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -126,6 +126,44 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.evaluate(captures(pages), dated_list(pages)).select("page_id", "fetched", "blocked", "pattern", "since")
 
 
+def repeated_tails(documents: DataFrame) -> DataFrame:
+    """doc_id and words of all documents; of every tenth by the CRC-32 of its id, the words from a place on repeat with a period, both by rule."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    out = documents.select("doc_id", h.alias("h"), runs.words_of(runs.text_of(documents)).alias("words")).withColumn("n", F.size("words"))
+    g = F.floor(F.col("h") / 10)
+    out = out.withColumn("a", F.when((F.col("h") % 10 == 0) & (F.col("n") > 0), g % F.col("n")).cast("int"))
+    out = out.withColumn("p", (1 + F.floor((F.col("n") - F.col("a")) / (3 + g % 8))).cast("int"))
+    words, a, p = F.col("words"), F.col("a"), F.col("p")
+    tail = F.transform(words, lambda w, i: F.when(i < a, w).otherwise(F.get(words, a + (i - a) % p)))
+    return out.select("doc_id", F.when(a.isNull(), words).otherwise(tail).alias("words"))
+
+
+def op12_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of words of all documents, tails repeated as the contract says."""
+    docs = repeated_tails(table(spark, sf_dir, "documents"))
+    out = runs.collapse(docs, words=F.col("words"))
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    out = out.withColumn("best", best)
+    return out.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        (-F.col("best.start")).alias("start"),
+        F.col("best.length").alias("length"),
+        (-F.col("best.period")).alias("period"),
+        F.floor(F.col("best.length") * 1000 / -F.col("best.period")).cast("long").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, "").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes and tokens of all documents, by the sentencepiece vocabulary."""
+    import public_tokenizers
+
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of the corpus pipeline."""
     import corpus_pipeline
@@ -146,6 +184,8 @@ QUERIES: dict[str, Query] = {
         op8_url_filter,
         op9_sharding,
         op10_decontamination,
+        op12_runs,
+        op13_token_counts,
         pipeline,
     )
 }
