@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -12,7 +13,7 @@ import pytest
 import sentencepiece
 from pyspark.sql import functions as F
 
-from tidewright.llm import queries, runs, token_counts
+from tidewright.llm import alignment, queries, runs, token_counts
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
@@ -165,3 +166,86 @@ def test_op13_awkward(spark, awkward, nothing, pieces):
         (str(r["doc_id"]), len((r["text"] or "").encode()), n := len(pieces.encode(r["text"] or "")), n > 3) for r in awkward.collect()
     )
     assert token_counts.count_tokens(nothing, PIECES).count() == 0
+
+
+BYTES = public_tokenizers.path("byte_bpe_50k.json")
+BOTH = (lambda: alignment.byte_level(BYTES)), (lambda: alignment.sentence_pieces(PIECES))
+
+
+def libraries_tokens(texts: list[str], pieces) -> list[tuple[list, list]]:
+    """(id, bytes) of A and B by the tokenizers' own libraries, none where a text does not come back."""
+    from tokenizers import Tokenizer
+    from tokenizers.pre_tokenizers import ByteLevel
+
+    own = Tokenizer.from_file(BYTES)
+    own.encode_special_tokens = True
+    letters = {c: b for c, b in alignment.byte_alphabet().items()}
+    assert set(letters) == set(ByteLevel.alphabet())
+    out = []
+    for t in texts:
+        a = [(i, bytes(letters[c] for c in own.id_to_token(i))) for i in own.encode(" " + t, add_special_tokens=False).ids]
+        b = [(i, bytes([int(pieces.id_to_piece(i)[3:5], 16)]) if pieces.is_byte(i) else pieces.id_to_piece(i).replace("▁", " ").encode()) for i in pieces.encode(t)]
+        whole = (" " + t).encode()
+        out.append((a, b) if t and b"".join(x for _, x in a) == whole == b"".join(x for _, x in b) else ([], []))
+    return out
+
+
+def plain_alignment(texts: list[str], pieces) -> list[tuple]:
+    docs, counts, most = [], Counter(), Counter()
+    for a, b in libraries_tokens(texts, pieces):
+        spans = []
+        for side in (a, b):
+            at, out = 0, []
+            for i, x in side:
+                out.append((i, at, at + len(x)))
+                at += len(x)
+            spans.append(out)
+        links = [(i, j) for i, s, e in spans[0] for j, t, f in spans[1] if s < f and t < e]
+        ends = sorted({e for *_, e in spans[0]} & {e for *_, e in spans[1]})
+        groups = [[[i for i, s, _ in side if low <= s < high] for side in spans] for low, high in zip([0, *ends], ends, strict=False)]
+        docs.append((len(a), len(b), len(ends), links, ";".join("|".join(",".join(map(str, ids)) for ids in g) for g in groups)))
+        counts.update(links)
+    for (_, j), n in counts.items():
+        most[j] = max(most[j], n)
+    return [(na, nb, ng, len(ls), text, sum(counts[x] == most[x[1]] for x in ls), sum(counts[x] for x in ls)) for na, nb, ng, ls, text in docs]
+
+
+@pytest.mark.parametrize("batch", [40, 2_000_000])
+def test_op11_equals_plain_code(spark, pieces, batch):
+    """Documents and strange texts, in batches of any size; ties of best pairs and texts that do not come back included."""
+    docs = [r["text"][:400] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").orderBy("doc_id").limit(40).collect()]
+    texts = docs + strange_texts(pieces, 60)[:5] + strange_texts(pieces, 90)[10:] + docs[:3] + ["▁ x", "<|endoftext|> y", "\0"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    out = {r["doc_id"]: tuple(r)[1:] for r in alignment.align(frame, *BOTH, spelled=True, batch=batch).collect()}
+    want = plain_alignment(texts, pieces)
+    for k in range(len(texts)):
+        assert out[k] == want[k], texts[k]
+    assert want[len(texts) - 3][0] == 0 and want[len(texts) - 2][0] > 0
+
+
+def test_op11_encodes_as_the_library(spark):
+    from tokenizers import Tokenizer
+
+    own = Tokenizer.from_file(BYTES)
+    own.encode_special_tokens = True
+    texts = [" " + r["text"] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()] + [" " * 1_000_000, " <|endoftext|>"]
+    assert alignment.byte_level(BYTES).encode(texts) == [e.ids for e in own.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_op11_on_documents(spark, pieces):
+    """Digests of the query, whose documents are whole."""
+    out = {r["doc_id"]: tuple(r)[1:] for r in queries.op11_alignment(spark, "/root/testdata/sf0.001").select("doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "n_best", "count_sum").collect()}
+    rows = [r for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    lengths = [(len(a), len(b)) for a, b in libraries_tokens([r["text"] for r in rows], pieces)]
+    assert sorted(out) == sorted(r["doc_id"] for r in rows)
+    for r, n in zip(rows, lengths, strict=True):
+        got = out[r["doc_id"]]
+        assert got[:2] == n and (len(got[4]) == 64) == (n[0] > 0) and got[3] >= max(n) and got[2] <= min(n)
+
+
+def test_op11_awkward(spark, awkward, nothing, pieces):
+    got = sorted((str(r["doc_id"]), *tuple(r)[1:]) for r in alignment.align(awkward.where("doc_id is null or doc_id <> 5"), *BOTH, spelled=True).collect())
+    rows = [r for r in awkward.collect() if r["doc_id"] != 5]
+    assert got == sorted((str(r["doc_id"]), *x) for r, x in zip(rows, plain_alignment([r["text"] or "" for r in rows], pieces), strict=True))
+    assert alignment.align(awkward, *BOTH).count() == awkward.count()
+    assert alignment.align(nothing, *BOTH).count() == 0

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, cws, decontam, licenses, mixing, quality, runs, secrets_scan, sharding, simhash, token_counts, url_filter
+from . import alignment, chat, cws, decontam, licenses, mixing, quality, runs, secrets_scan, sharding, simhash, token_counts, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -126,6 +126,15 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.evaluate(captures(pages), dated_list(pages)).select("page_id", "fetched", "blocked", "pattern", "since")
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents by the byte-level vocabulary and the sentencepiece one, aligned."""
+    import public_tokenizers
+
+    a, b = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    out = alignment.align(table(spark, sf_dir, "documents"), lambda: alignment.byte_level(a), lambda: alignment.sentence_pieces(b))
+    return out.withColumnRenamed("groups", "groups_sha256")
+
+
 def repeated_tails(documents: DataFrame) -> DataFrame:
     """doc_id and words of all documents; of every tenth by the CRC-32 of its id, the words from a place on repeat with a period, both by rule."""
     h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
@@ -184,6 +193,7 @@ QUERIES: dict[str, Query] = {
         op8_url_filter,
         op9_sharding,
         op10_decontamination,
+        op11_alignment,
         op12_runs,
         op13_token_counts,
         pipeline,
