@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewright.operators.statistics import bootstrap_means, interval
+from tidewright.operators.statistics import interval, resampled
 
 # How far a model may fall behind its base.
 MARGINS = {"success": -0.05, "repeat_failures": 0.05, "unknown_tools": 0.03, "step_limit": 0.05}
@@ -66,13 +66,19 @@ def run_verdict(model: DataFrame, base: DataFrame) -> DataFrame:
     return rows.where(most.isNotNull()).select("metric", "model", "base", failed.alias("failed"))
 
 
-def paired_interval(tasks: DataFrame, key: str, a: str, b: str, *, draws: int = 2000, seed: int = 0) -> DataFrame:
-    """low, high and p of the mean of b - a over resampled tasks; p is twice the lesser share of draws on one side of zero."""
-    means = bootstrap_means(tasks.withColumn("__d", F.col(b) - F.col(a)), key, "__d", draws=draws, seed=seed)
+def paired_interval(base: DataFrame, model: DataFrame, key: str, value: str, *, draws: int = 2000, seed: int = 0) -> DataFrame:
+    """low, high and p of the model's mean less the base's over resamples of the tasks that both played.
+
+    Each mean is over the episodes of the drawn tasks, as many as each arm has of them. p is twice the lesser share of draws on
+    one side of zero.
+    """
+    arm = lambda rows, side: rows.where(F.col(value).isNotNull()).groupBy(key).agg(F.sum(F.col(value).cast("double")).alias(f"{side}_s"), F.count("*").alias(f"{side}_n"))
+    tasks = arm(base, "a").join(arm(model, "b"), key)
+    means = resampled(tasks, [key], {"a": ("a_s", "a_n"), "b": ("b_s", "b_n")}, draws=draws, seed=seed).select("draw", (F.col("b") - F.col("a")).alias("mean"))
     below, above = F.avg((F.col("mean") <= 0).cast("int")), F.avg((F.col("mean") >= 0).cast("int"))
     p = means.agg(F.least(F.lit(1.0), 2 * F.least(below, above)).alias("p"))
     # Both sides have one row.
-    return interval(means, draws).withColumn("__one", F.lit(1)).join(p.withColumn("__one", F.lit(1)), "__one").drop("__one")
+    return interval(means).withColumn("__one", F.lit(1)).join(p.withColumn("__one", F.lit(1)), "__one").drop("__one")
 
 
 def update_kl(tokens: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewright.operators.ordered import running
+
 
 def zero_variance_kind(reward: str, success: Column) -> Column:
     """all_success, all_failure or equal_reward for a group whose rewards do not differ, else null; an aggregate."""
@@ -143,9 +145,10 @@ def histogram(values: DataFrame, column: str, most: int = 20) -> DataFrame:
 
 
 def best_so_far(evaluations: DataFrame, step: str, value: str) -> DataFrame:
-    """Adds best (the greatest value up to the step) and improved (strictly above all before); a single window, one row an evaluation."""
-    before = F.max(value).over(Window.orderBy(step).rowsBetween(Window.unboundedPreceding, -1))
-    return evaluations.withColumn("improved", before.isNull() | (F.col(value) > before)).withColumn("best", F.greatest(F.coalesce(before, F.col(value)), F.col(value)))
+    """Adds best (the greatest value up to the step) and improved (strictly above all before), for one evaluation a step."""
+    before = F.col("__before")
+    out = running(evaluations, [step], {"__before": ("max", F.col(value))})
+    return out.withColumn("improved", before.isNull() | (F.col(value) > before)).withColumn("best", F.greatest(F.coalesce(before, F.col(value)), F.col(value))).drop("__before")
 
 
 def constant_leaves(answers: DataFrame, least: int = 3) -> DataFrame:

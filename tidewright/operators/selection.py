@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewright.functions.ordering import hash_order, hash_uniform
+from tidewright.operators.ordered import places, running
+from tidewright.sources.shared import written
 
 
 def first_per(rows: DataFrame, keys: list[str], order: list[Column | str], n: int = 1) -> DataFrame:
@@ -64,27 +66,21 @@ def domain_cap(rows: DataFrame, domain: str, share: float, order: list[Column |
 
 
 def domain_holdout(rows: DataFrame, domain: str, share: float) -> DataFrame:
-    """domain, n and held: whole domains in hash order until the held rows reach ``share`` of all; one row per domain.
-
-    Only these rows, one a domain, go through a single window.
-    """
+    """domain, n and held: whole domains in hash order until the held rows reach ``share`` of all; one row per domain."""
     sizes = rows.groupBy(F.col(domain).alias("domain")).agg(F.count("*").alias("n"))
-    order = Window.orderBy(F.sha2(F.col("domain").cast("string"), 256))
-    before = F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return sizes.select("domain", "n", (before < F.sum("n").over(Window.partitionBy()) * F.lit(share)).alias("held"))
+    placed = running(sizes.withColumn("__o", F.sha2(F.col("domain").cast("string"), 256)), ["__o", "domain"], {"__before": ("sum", F.col("n"))})
+    all_rows = rows.agg(F.count("*").alias("__all"))  # one row
+    return placed.join(F.broadcast(all_rows)).select("domain", "n", (F.coalesce("__before", F.lit(0)) < F.col("__all") * F.lit(share)).alias("held"))
 
 
 def assign_eval(rows: DataFrame, family: str, share: float) -> DataFrame:
-    """family, n and split: whole families by falling name go to eval until its size reaches ``share``; one stays in train.
-
-    Only one row a family goes through a single window.
-    """
+    """family, n and split: whole families by falling name go to eval until its size reaches ``share``; one stays in train."""
     sizes = rows.groupBy(F.col(family).alias("family")).agg(F.count("*").alias("n"))
-    order = Window.orderBy(F.desc("family"))
-    before = F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    whole = Window.partitionBy()
-    held = (before < F.sum("n").over(whole) * F.lit(share)) & (F.row_number().over(order) < F.count("*").over(whole))
-    return sizes.select("family", "n", F.when(held, "eval").otherwise("train").alias("split"))
+    placed = running(sizes, [F.desc("family")], {"__before": ("sum", F.col("n")), "__place": ("sum", F.lit(1))})
+    whole = sizes.agg(F.sum("n").alias("__all"), F.count("*").alias("__families"))  # one row
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    held = (zero("__before") < F.col("__all") * F.lit(share)) & (zero("__place") + 1 < F.col("__families"))
+    return placed.join(F.broadcast(whole)).select("family", "n", F.when(held, "eval").otherwise("train").alias("split"))
 
 
 def epoch_schedule(tasks: DataFrame, key: str, *, epochs: int, batch: int, seed: int = 0) -> DataFrame:
@@ -157,22 +153,54 @@ def prune_snapshots(snapshots: DataFrame, current: int, keep: int, protected: li
     return snapshots.where((F.col("version") < current - keep + 1) & (F.col("version") != 0) & ~F.col("version").isin(list(protected) or [-1]))
 
 
-def fits(lengths: DataFrame, max_sequences: int, max_tokens: int, bucket: str = "bucket") -> DataFrame:
+def _filled(lengths, open_rows: list[int], max_sequences: int, max_tokens: int):
+    """For each number of rows in the open batch before these rows: rows in the open batch after them, batches begun, and both after each row."""
+    import numpy as np
+
+    held, begun, after = np.array(open_rows), np.zeros(len(open_rows), np.int64), []
+    for length in lengths:
+        fresh = (held == 0) | (held + 1 > max_sequences) | (length * (held + 1) > max_tokens)
+        held, begun = np.where(fresh, 1, held + 1), begun + fresh
+        after.append(begun)
+    return held, begun, after
+
+
+def fits(lengths: DataFrame, max_sequences: int, max_tokens: int, bucket: str = "bucket", cell: int = 4096) -> DataFrame:
     """Physical batches: per bucket, by rising length, rows fill a batch until either budget would be passed.
 
-    A batch's padded size is its longest row times its rows; the order matters, so each bucket (a bounded piece of the
-    samples) is folded by itself. Returns bucket, sample_id and batch.
+    A batch's padded size is its longest row times its rows, and a row of its own may pass the budget. Only the number of rows in
+    the open batch, ``max_sequences`` at most, carries over from row to row. So each cell of consecutive rows tells, for every such
+    number before it, the number after it and the batches begun; these maps are joined to maps over twice as many cells until
+    they span the bucket, and each cell then gets its start by steps of falling length. A bucket of any size is spread over tasks.
+    Returns bucket, sample_id and batch.
     """
     import pandas as pd
 
-    def pack(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["length", "sample_id"], ascending=[True, True])
-        out, batch, count = [], 0, 0
-        for length in frame["length"]:
-            if count and (count + 1 > max_sequences or length * (count + 1) > max_tokens):
-                batch, count = batch + 1, 0
-            count += 1
-            out.append(batch)
-        return frame.assign(batch=out)[[bucket, "sample_id", "batch"]]
-
-    return lengths.groupBy(bucket).applyInPandas(pack, f"{bucket} long, sample_id long, batch long")
+    starts = list(range(max_sequences + 1))
+    placed = places(lengths.select(bucket, "sample_id", "length"), ["length", "sample_id"], [bucket])
+    placed = written(placed.withColumn("cell", F.floor(F.col("place") / cell)))
+
+    def summed(key, frame):
+        held, begun, _ = _filled(frame.sort_values("place")["length"], starts, max_sequences, max_tokens)
+        return pd.DataFrame({bucket: key[0], "cell": key[1], "held": starts, "to": held, "begun": begun})
+
+    maps = written(placed.groupBy(bucket, "cell").applyInPandas(summed, f"{bucket} long, cell long, held int, to int, begun long"))
+    last = placed.agg(F.max("cell")).first()[0] or 0
+    steps, span = [maps], 1
+    while 2 * span <= last:
+        then = steps[-1].select(bucket, (F.col("cell") - span).alias("cell"), F.col("held").alias("to"), F.col("to").alias("__to"), F.col("begun").alias("__begun"))
+        steps.append(written(steps[-1].join(then, [bucket, "cell", "to"]).select(bucket, "cell", "held", F.col("__to").alias("to"), (F.col("begun") + F.col("__begun")).alias("begun"))))
+        span *= 2
+    at = placed.where("place = 0").select(bucket, F.lit(0).cast("long").alias("cell"), F.lit(0).alias("held"), F.lit(0).cast("long").alias("before"))
+    for step in reversed(steps):
+        ahead = at.join(step, [bucket, "cell", "held"]).select(bucket, (F.col("cell") + span).alias("cell"), F.col("to").alias("held"), (F.col("before") + F.col("begun")).alias("before"))
+        at = written(at.unionByName(ahead.join(maps.where("held = 0").select(bucket, "cell"), [bucket, "cell"], "left_semi")))
+        span //= 2
+
+    def pack(key, rows, start):
+        rows = rows.sort_values("place")
+        _, _, after = _filled(rows["length"], start["held"].tolist(), max_sequences, max_tokens)
+        return pd.DataFrame({bucket: rows[bucket], "sample_id": rows["sample_id"], "batch": [int(start["before"].iloc[0]) + int(a[0]) - 1 for a in after]})
+
+    cells = at.withColumnsRenamed({bucket: "__b", "cell": "__c"})
+    return placed.groupBy(bucket, "cell").cogroup(cells.groupBy("__b", "__c")).applyInPandas(pack, f"{bucket} long, sample_id long, batch long")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidewright.operators import contracts, episodes, grading, joins, records
 from tidewright.plans import episodes as behaviour
 from tidewright.plans import turns
+from tidewright.plans.selection import resamples
 from tidewright.sources import tables as T
 
 
@@ -142,10 +143,9 @@ def run_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def paired_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The gain of late over early orders of a nation's customers, by 200 resamples of the nations."""
-    o = T.table(spark, sf_dir, "orders").join(T.table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
-    tasks = o.groupBy("c_nationkey").agg(F.avg(F.when(F.col("o_orderkey") % 2 == 0, (F.col("o_orderstatus") == "F").cast("double"))).alias("a"), F.avg(F.when(F.col("o_orderkey") % 2 == 1, (F.col("o_orderstatus") == "F").cast("double"))).alias("b"))
-    out = contracts.paired_interval(tasks, "c_nationkey", "a", "b", draws=200)
+    """The gain of late over early orders, by 200 resamples of the customers that have both, whatever their numbers of orders."""
+    o = T.table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", (F.col("o_orderstatus") == "F").cast("double").alias("won"))
+    out = contracts.paired_interval(o.where("o_orderkey % 2 = 0"), o.where("o_orderkey % 2 = 1"), "o_custkey", "won", draws=200)
     return out.select(F.round("low", 6).alias("low"), F.round("high", 6).alias("high"), F.round("p", 6).alias("p"))
 
 
@@ -272,9 +272,9 @@ SELECT a.metric, a.value AS model, b.value AS base, CASE WHEN a.metric = 'succes
     ),
     "paired_interval": (
         paired_interval,
-        """WITH t AS (SELECT c_nationkey AS k, avg((o_orderstatus = 'F')::INT) FILTER (WHERE o_orderkey % 2 = 1) - avg((o_orderstatus = 'F')::INT) FILTER (WHERE o_orderkey % 2 = 0) AS d FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY 1),
-i AS (SELECT d, row_number() OVER (ORDER BY k) - 1 AS i FROM t), n AS (SELECT count(*) AS n FROM t),
-p AS (SELECT draw, ('0x' || substr(sha256('0:bootstrap:' || draw || ':' || place), 1, 8))::BIGINT % n AS i FROM range(200) a(draw), n, range(n) b(place)), m AS (SELECT draw, avg(d) AS mean FROM p JOIN i USING (i) GROUP BY 1), s AS (SELECT list_sort(list(mean)) AS l FROM m)
+        f"""WITH a AS (SELECT o_custkey AS k, o_orderkey % 2 AS side, sum((o_orderstatus = 'F')::INT) AS s, count(*) AS n FROM orders GROUP BY 1, 2),
+t AS (SELECT k, a.s, a.n, b.s AS bs, b.n AS bn FROM a JOIN a b USING (k) WHERE a.side = 0 AND b.side = 1), {resamples("0", 200)},
+m AS (SELECT draw, sum(w * bs) / sum(w * bn) - sum(w * s) / sum(w * n) AS mean FROM w GROUP BY 1), s AS (SELECT list_sort(list(mean)) AS l FROM m)
 SELECT round(l[6], 6) AS low, round(l[195], 6) AS high, round(least(1, 2 * least((SELECT avg((mean <= 0)::INT) FROM m), (SELECT avg((mean >= 0)::INT) FROM m))), 6) AS p FROM s""",
     ),
     "update_kl": (

@@ -66,9 +66,8 @@ def minibatches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The 95% interval of the mean reward per market segment-like nation, over 200 draws of nations."""
-    per = T.episodes(spark, sf_dir).join(T.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("group_id"), "c_nationkey"), "group_id").groupBy("c_nationkey").agg(F.avg("reward").alias("r"))
-    out = ST.interval(ST.bootstrap_means(per, "c_nationkey", "r", draws=200, seed=5), 200)
+    """The 95% interval of the mean reward of episodes, over 200 resamples of the customers, who have different numbers of them."""
+    out = ST.interval(ST.bootstrap_means(T.episodes(spark, sf_dir), "group_id", "reward", draws=200, seed=5))
     return out.select(F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
 
 
@@ -90,6 +89,15 @@ def grouping_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 H = lambda tag: f"sha256('0:{tag}:' || doc_id)"
 
+
+
+def resamples(seed: str, draws: int) -> str:
+    """w: draw, the columns of t (one row for each k) and the row's multiplicity w."""
+    steps = " + ".join(f"(u >= {t})::INT" for t in ST.POISSON)
+    return f"""h AS (SELECT t.*, b, sha256('{seed}:resample:' || b || ':' || k) AS h FROM t, range({-(-draws // 8)}) r(b)),
+u AS (SELECT h.*, b * 8 + i AS draw, ('0x' || substr(h, (8 * i + 1)::INT, 8))::BIGINT AS u FROM h, range(8) x(i) WHERE b * 8 + i < {draws}), w AS (SELECT *, {steps} AS w FROM u)"""
+
+
 QUERIES = {
     "per_task_cap": (
         per_task_cap,
@@ -142,9 +150,8 @@ SELECT group_id, o_orderkey AS episode_id, minibatch FROM g JOIN orders ON o_cus
     ),
     "bootstrap_ci": (
         bootstrap_ci,
-        """WITH r AS (SELECT c_nationkey, avg(CASE o_orderstatus WHEN 'F' THEN 1.0::DOUBLE WHEN 'O' THEN 0.5 ELSE 0.0 END) AS r FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1),
-k AS (SELECT r, row_number() OVER (ORDER BY c_nationkey) - 1 AS i, count(*) OVER () AS n FROM r), p AS (SELECT a.range AS draw, b.range AS place FROM range(200) a, range(25) b WHERE b.range < (SELECT count(*) FROM r)),
-m AS (SELECT draw, avg(r) AS mean FROM p JOIN k ON i = ('0x' || substr(sha256('5:bootstrap:' || draw || ':' || place), 1, 8))::BIGINT % n GROUP BY draw), s AS (SELECT list_sort(list(mean)) AS m FROM m)
+        f"""WITH t AS (SELECT o_custkey AS k, sum(CASE o_orderstatus WHEN 'F' THEN 1.0::DOUBLE WHEN 'O' THEN 0.5 ELSE 0.0 END) AS s, count(*) AS n FROM orders GROUP BY 1),
+{resamples("5", 200)}, m AS (SELECT draw, sum(w * s) / sum(w * n) AS mean FROM w GROUP BY draw), s AS (SELECT list_sort(list(mean)) AS m FROM m)
 SELECT round(m[6], 6) AS low, round(m[195], 6) AS high FROM s""",
     ),
     "wilcoxon_z": (
