@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 from .shared import text_of, written
 
 #: Characters of the texts of a batch; a longer text is a batch alone.
-BATCH = 2_000_000
+BATCH = 1_000_000
 #: Fixed value: the pattern of byte-level pre-tokenizers.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -62,8 +62,12 @@ def byte_level(path: str) -> Vocabulary:
     merges = (m if isinstance(m, list) else m.split(" ") for m in model["model"]["merges"])
     assert all(vocab["".join(m)] == 256 + k for k, m in enumerate(merges)), "ids are not in the order of merges"
     fast = tiktoken.Encoding("byte_level", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-    own = Tokenizer.from_file(path)
-    own.encode_special_tokens = True
+
+    @lru_cache(maxsize=1)
+    def own() -> Tokenizer:
+        tokenizer = Tokenizer.from_file(path)
+        tokenizer.encode_special_tokens = True
+        return tokenizer
 
     def encode(text: str) -> list[int]:
         try:
@@ -71,7 +75,7 @@ def byte_level(path: str) -> Vocabulary:
         except BaseException as error:  # a panic of the pattern search is no Exception
             if isinstance(error, (KeyboardInterrupt, SystemExit, GeneratorExit)):
                 raise
-            return own.encode(text, add_special_tokens=False).ids
+            return own().encode(text, add_special_tokens=False).ids
 
     return Vocabulary(lambda texts: [encode(t) for t in texts], names, " ")
 
@@ -109,11 +113,30 @@ def intervals(tokens: list[list[int]], lengths: np.ndarray):
     return pa.table({"doc": np.repeat(np.arange(len(tokens), dtype=np.int32), [len(t) for t in tokens]), "id": ids, "s": end - lengths[ids], "e": end})
 
 
-def align_batch(db, a: list[list[int]], b: list[list[int]], lengths_a: np.ndarray, lengths_b: np.ndarray) -> Aligned:
-    """Aligns documents whose tokens cover the same bytes in both tokenizers."""
+@lru_cache(maxsize=1)
+def _written_ids(most: int):
+    """The ids after a comma, after a semicolon and after a bar."""
+    import pyarrow as pa
+
+    return pa.array([f"{mark}{i}" for mark in ",;|" for i in range(most)])
+
+
+def spelled(sides: list[dict], docs: int) -> list[str]:
+    """The groups of each document, from the places, ids, group numbers and first tokens of groups on either side."""
     import pyarrow as pa
     import pyarrow.compute as pc
 
+    sides = [{k: v[np.argsort(x["s"], kind="stable")] for k, v in x.items()} for x in sides]
+    order = np.argsort(np.r_[2 * sides[0]["g"].astype(np.int64), 2 * sides[1]["g"].astype(np.int64) + 1], kind="stable")
+    most = 1 << int(max([0, *(x["id"].max(initial=0) for x in sides)])).bit_length()
+    pieces = np.concatenate([x["id"] + most * (k + 1) * x["opens"] for k, x in enumerate(sides)])[order]
+    cuts = np.searchsorted(np.concatenate([x["doc"] for x in sides])[order], np.arange(docs + 1)).astype(np.int32)
+    joined = pc.binary_join(pa.ListArray.from_arrays(cuts, _written_ids(most).take(pa.array(pieces))), "")
+    return [t[1:] for t in joined.to_pylist()]
+
+
+def align_batch(db, a: list[list[int]], b: list[list[int]], lengths_a: np.ndarray, lengths_b: np.ndarray) -> Aligned:
+    """Aligns documents whose tokens cover the same bytes in both tokenizers."""
     docs = len(a)
     tables = {"tokens_a": intervals(a, lengths_a), "tokens_b": intervals(b, lengths_b)}
     for name, table in tables.items():
@@ -128,16 +151,11 @@ def align_batch(db, a: list[list[int]], b: list[list[int]], lengths_a: np.ndarra
     db.execute("CREATE OR REPLACE TEMP TABLE pairs AS SELECT (row_number() OVER () - 1)::INT AS pair, a, b, n FROM (SELECT a, b, count(*)::INT AS n FROM links GROUP BY a, b)")
     pairs = db.execute("SELECT a, b, n FROM pairs ORDER BY pair").fetchnumpy()
     held = db.execute("SELECT doc, pair, count(*)::INT AS n FROM links JOIN pairs USING (a, b) GROUP BY doc, pair ORDER BY doc, pair").fetchnumpy()
-    spelled = db.sql(
-        "SELECT doc, side = 0 AND opens AS starts, CASE WHEN NOT opens THEN ',' WHEN side = 0 THEN ';' ELSE '|' END || id AS piece FROM ("
-        " SELECT doc, 0 AS side, a AS id, s, opens, sum(opens::INT) OVER (ORDER BY s) AS g FROM at_a"
-        " UNION ALL SELECT doc, 1, b, s, NOT inside, sum((NOT inside)::INT) OVER (ORDER BY s) FROM at_b) ORDER BY g, side, s"
-    ).to_arrow_table()
-    owner, starts = np.asarray(spelled["doc"]), np.asarray(spelled["starts"])
-    cuts = np.searchsorted(owner, np.arange(docs + 1)).astype(np.int32)
-    joined = pc.binary_join(pa.ListArray.from_arrays(cuts, spelled["piece"].combine_chunks().cast(pa.string())), "")
     count = lambda values, weights=None: np.bincount(values, weights, minlength=docs).astype(np.int64)
-    return Aligned(np.array([len(t) for t in a]), np.array([len(t) for t in b]), count(owner, starts), count(held["doc"], held["n"]), [t[1:] for t in joined.to_pylist()], pairs, held)
+    number = "SELECT doc, s, {0} AS id, {1} AS opens, sum(({1})::INT) OVER (ORDER BY s ROWS UNBOUNDED PRECEDING)::INT AS g FROM {2}"
+    sides = [db.execute(number.format(*x)).fetchnumpy() for x in (("a", "opens", "at_a"), ("b", "NOT inside", "at_b"))]
+    starts = count(sides[0]["doc"], sides[0]["opens"])
+    return Aligned(np.array([len(t) for t in a]), np.array([len(t) for t in b]), starts, count(held["doc"], held["n"]), spelled(sides, docs), pairs, held)
 
 
 def _batches(record_batches, most: int) -> Iterator[tuple[list, list[str]]]:
