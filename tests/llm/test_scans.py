@@ -161,13 +161,14 @@ def test_op6_equals_plain_code(spark):
     values = {0: [m[2] for t in rows for m in ASSIGN.finditer(t) if len(m[2]) >= 6]}
     assert [f.kind for f in formats] == [0]
     f = formats[0]
-    assert (f.least, f.most) == (min(map(len, values[0])), max(map(len, values[0])))
-    assert f.limit == pytest.approx(min(likelihood(f.table, v) for v in values[0]) - 0.35)
+    assert min(f.likelihood(v) for v in values[0]) - 0.35 <= f.limit <= max(f.likelihood(v) for v in values[0]) - 0.35
+    n = len(known[0])
+    assert f.likelihood(known[0]) == pytest.approx(likelihood(f.table, known[0]) + f.lengths.likelihood(n) / (n + 1))
     for r in secrets_scan.scan(frame).collect():
         text, want = rows[r["doc_id"]], []
         taken = [(a, e) for a, _, e in base(text)]
         free = "".join(" " if any(a <= i < e for a, e in taken) else c for i, c in enumerate(text))
-        good = lambda v: f.least <= len(v) <= f.most and likelihood(f.table, v) >= f.limit and likelihood(f.table, v) >= ordinary.likelihood(v) + 0.5
+        good = lambda v: len(v) >= 6 and f.likelihood(v) >= f.limit and (f.likelihood(v) - ordinary.likelihood(v)) * (len(v) + 1) >= math.log(secrets_scan.ODDS)
         for m in re.finditer(r"[A-Za-z0-9+/_.=-]+", free):
             a, e = m.start() + len(m[0]) - len(m[0].lstrip(".")), m.start() + len(m[0].rstrip("."))
             if good(free[a:e]):
@@ -177,6 +178,30 @@ def test_op6_equals_plain_code(spark):
         assert [(s["start"], s["end"]) for s in r["added"]] == want
 
 
+def test_op6_lengths_are_no_gate(spark):
+    """Labels of 32 characters: of fresh values, those of 32 are found, and those a little shorter or longer too; fragments and long runs are not."""
+    rng = random.Random(9)
+    key = lambda n: "".join(rng.choice("0123456789ABCDEF") for _ in range(n))
+    lengths = [32] * 40 + [31] * 40 + [33] * 40 + [8] * 40 + [150] * 40
+    rows = [f"password={key(32)} end" for _ in range(300)] + [f"see {key(n)} then" for n in lengths]
+    out = {r["doc_id"]: r["added"] for r in secrets_scan.scan(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
+    found = [sum(len(out[300 + 40 * k + i]) for i in range(40)) for k in range(5)]
+    print(found)
+    assert found[0] >= 38 and found[1] >= 38 and found[2] >= 38 and found[3] <= 4 and found[4] <= 2
+
+
+def test_op6_rows_outside_the_samples_change_nothing(spark, monkeypatch):
+    """Spans of a text stay as they are when texts without new sample places come in, also of a format of letters and without repeated words."""
+    known = planted("letters", 100, 11)
+    rows = [f"password={v}" for v in known] + ["this sentence is completely plain", "look at qzjxkvwpyt here"]
+    one = secrets_scan.scan(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["added"] for r in one}[100] == []
+    more = list(enumerate(rows)) + [(1000 + i, rows[i % len(rows)]) for i in range(3000)]
+    two = secrets_scan.scan(spark.createDataFrame(more, "doc_id long, text string")).collect()
+    spans = lambda out: {r["doc_id"]: (r["base"], r["added"]) for r in out if r["doc_id"] < 1000}
+    assert spans(one) == spans(two)
+
+
 def test_automaton_likelihood_is_the_product_over_moves():
     words = ["ab12", "ab13", "ac99", "zz"]
     table = Automaton(words).table()
