@@ -1,35 +1,7 @@
-"""Connected components by randomised contraction, as joins and aggregates over written tables."""
+"""Connected components by randomised contraction."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from tidewright.operators.graph import linked as components
 
-from .shared import written
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """node and root of every node in the pairs (a, b) of longs; nodes with one root are exactly those connected.
-
-    Each round every node takes the node of least hash in its closed neighbourhood as its representative, under a hash of
-    the round's own, and edges between representatives remain. The expected number of rounds is logarithmic, the tables
-    only shrink, and minima are aggregated before any shuffle, so no neighbourhood is ever collected. A node that has
-    lost its last edge keeps its representative. An empty table gives an empty result.
-    """
-    edges = written(edges.select("a", "b").where("a <> b").distinct())
-    labels, turn = None, 0
-    while not edges.isEmpty():
-        turn += 1
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        order = lambda x: F.struct(F.xxhash64(F.lit(turn), x).alias("h"), x.alias("x"))  # noqa: E731, B023
-        best = both.groupBy("a").agg(F.min(order(F.col("b"))).alias("m"))
-        best = written(best.select(F.col("a").alias("node"), F.least(F.col("m"), order(F.col("a")))["x"].alias("rep")))
-        if labels is None:
-            labels = best.select("node", F.col("rep").alias("root"))
-        else:
-            moved = best.select(F.col("node").alias("root"), "rep")
-            labels = labels.join(moved, "root", "left").select("node", F.coalesce("rep", "root").alias("root"))
-        labels = written(labels)
-        ends = edges.join(best.withColumnsRenamed({"node": "a", "rep": "x"}), "a").join(best.withColumnsRenamed({"node": "b", "rep": "y"}), "b")
-        edges = written(ends.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
-    return edges.sparkSession.createDataFrame([], "node long, root long") if labels is None else labels
+__all__ = ["components"]
