@@ -229,7 +229,12 @@ def test_op11_encodes_as_the_library(spark):
     own = Tokenizer.from_file(BYTES)
     own.encode_special_tokens = True
     texts = [" " + r["text"] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()] + [" " * 1_000_000, " <|endoftext|>"]
-    assert alignment.byte_level(BYTES).encode(texts) == [e.ids for e in own.encode_batch(texts, add_special_tokens=False)]
+    assert [list(x) for x in alignment.byte_level(BYTES).encode(texts)] == [e.ids for e in own.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_op11_encodes_parts_as_whole_texts(pieces):
+    docs = [t for t in strange_texts(pieces, 4000, 3) if "▁" not in t]
+    assert alignment.sentence_pieces(PIECES).encode(docs) == pieces.encode(docs)
 
 
 def test_op11_on_documents(spark, pieces):

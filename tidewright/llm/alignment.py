@@ -9,8 +9,10 @@ counts return to the batches, bounded as they are, to score their documents.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+import re
+from collections.abc import Callable, Iterator, Sequence
 from functools import lru_cache
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -22,12 +24,14 @@ from .shared import text_of, written
 
 #: Characters of the texts of a batch; a longer text is a batch alone.
 BATCH = 1_000_000
+#: Spaces and what follows them up to the next; parts that a worker keeps encoded.
+PART, PARTS = re.compile(" +[^ ]*"), 300_000
 #: Fixed value: the pattern of byte-level pre-tokenizers.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 class Vocabulary(NamedTuple):
-    encode: Callable[[list[str]], list[list[int]]]  # without special tokens
+    encode: Callable[[list[str]], list[Sequence[int]]]  # without special tokens
     bytes: list[bytes]  # of each id
     prefix: str  # what the caller puts before a text, where the tokenizer itself puts none
 
@@ -69,9 +73,9 @@ def byte_level(path: str) -> Vocabulary:
         tokenizer.encode_special_tokens = True
         return tokenizer
 
-    def encode(text: str) -> list[int]:
+    def encode(text: str) -> Sequence[int]:
         try:
-            return fast.encode_ordinary(text)
+            return fast.encode_to_numpy(text, disallowed_special=())
         except BaseException as error:  # a panic of the pattern search is no Exception
             if isinstance(error, (KeyboardInterrupt, SystemExit, GeneratorExit)):
                 raise
@@ -90,7 +94,23 @@ def sentence_pieces(path: str) -> Vocabulary:
     for i in range(model.get_piece_size()):
         piece = model.id_to_piece(i)
         names.append(bytes([int(piece[3:5], 16)]) if model.is_byte(i) else piece.replace("▁", " ").encode())
-    return Vocabulary(lambda texts: model.encode(texts, num_threads=1), names, "")
+    lone = {" ": [model.piece_to_id("▁")]}  # the model puts no space before an empty text
+    apart = not any("▁" in model.id_to_piece(i).lstrip("▁") for i in range(len(names)))
+    known = dict(lone)
+
+    def encode(texts: list[str]) -> list[list[int]]:
+        """No piece reaches over the start of a space behind another character, so the parts between are encoded apart, each once."""
+        if not apart or any("▁" in t for t in texts):
+            return model.encode(texts, num_threads=1)
+        if len(known) > PARTS:
+            known.clear()
+            known.update(lone)
+        parts = [PART.findall(" " + t) if t else [] for t in texts]
+        new = list(set(chain.from_iterable(parts)) - known.keys())
+        known.update(zip(new, model.encode([p[1:] for p in new], num_threads=1), strict=True))
+        return [list(chain.from_iterable(map(known.__getitem__, p))) for p in parts]
+
+    return Vocabulary(encode, names, "")
 
 
 class Aligned(NamedTuple):
@@ -105,10 +125,25 @@ class Aligned(NamedTuple):
     held: dict[str, np.ndarray]
 
 
-def intervals(tokens: list[list[int]], lengths: np.ndarray):
+def flat(tokens: list[Sequence[int]]) -> np.ndarray:
+    return np.concatenate([np.empty(0, np.int32), *[np.asarray(t, np.int32) for t in tokens]])
+
+
+def come_back(texts: list[str], tokens: list[Sequence[int]], names: list[bytes]) -> list[bool]:
+    """Whether the bytes of its tokens are those of a space and the text; not for an empty text."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    ends = np.r_[0, np.cumsum([len(t) for t in tokens])].astype(np.int32)
+    joined = pc.binary_join(pa.ListArray.from_arrays(ends, pa.array(names, pa.binary()).take(pa.array(flat(tokens)))), b"")
+    same = pc.equal(joined, pa.array([(" " + t).encode() for t in texts], pa.binary()))
+    return [bool(t) and s for t, s in zip(texts, same.to_pylist(), strict=True)]
+
+
+def intervals(tokens: list[Sequence[int]], lengths: np.ndarray):
     import pyarrow as pa
 
-    ids = np.fromiter((i for t in tokens for i in t), np.int32, sum(map(len, tokens)))
+    ids = flat(tokens)
     end = np.cumsum(lengths[ids])
     return pa.table({"doc": np.repeat(np.arange(len(tokens), dtype=np.int32), [len(t) for t in tokens]), "id": ids, "s": end - lengths[ids], "e": end})
 
@@ -135,7 +170,7 @@ def spelled(sides: list[dict], docs: int) -> list[str]:
     return [t[1:] for t in joined.to_pylist()]
 
 
-def align_batch(db, a: list[list[int]], b: list[list[int]], lengths_a: np.ndarray, lengths_b: np.ndarray) -> Aligned:
+def align_batch(db, a: list[Sequence[int]], b: list[Sequence[int]], lengths_a: np.ndarray, lengths_b: np.ndarray) -> Aligned:
     """Aligns documents whose tokens cover the same bytes in both tokenizers."""
     docs = len(a)
     tables = {"tokens_a": intervals(a, lengths_a), "tokens_b": intervals(b, lengths_b)}
@@ -200,11 +235,8 @@ def aligned_batches(documents: DataFrame, a: Callable[[], Vocabulary], b: Callab
         number = TaskContext.get().partitionId() << 32
         for ids, texts in _batches(record_batches, most):
             tokens = [v.encode([v.prefix + t for t in texts]) for v in (first, second)]
-            for k, text in enumerate(texts):
-                whole = (" " + text).encode()
-                if not text or any(b"".join([v.bytes[i] for i in t[k]]) != whole for v, t in zip((first, second), tokens, strict=True)):
-                    for t in tokens:
-                        t[k] = []
+            good = [x and y for x, y in zip(*[come_back(texts, t, v.bytes) for v, t in zip((first, second), tokens, strict=True)], strict=True)]
+            tokens = [[x if ok else [] for x, ok in zip(t, good, strict=True)] for t in tokens]
             out = align_batch(db, *tokens, *lengths)
             groups = [g if spelled or not g else hashlib.sha256(g.encode()).hexdigest() for g in out.groups]
             cuts = np.searchsorted(out.held["doc"], np.arange(len(texts) + 1)).astype(np.int32)

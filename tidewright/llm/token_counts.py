@@ -12,6 +12,7 @@ and the tokens emitted; the maps of a text's chunks compose through a parallel p
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from functools import lru_cache
 
@@ -61,15 +62,20 @@ class Transducer:
 
     def __init__(self, scores: dict[str, float], limit: int = TRANSITIONS):
         self.scores, self.limit = scores, limit
+        ordered = {score: k for k, score in enumerate(sorted(set(scores.values()), reverse=True))}
+        self.rank = {token: ordered[score] for token, score in scores.items()}
+        assert not any(SPACE_MARK in t.lstrip(SPACE_MARK) for t in scores), "a token reaches over a space"
         self.reach = max(map(len, scores))
         self.growing = {t[:k] for t in scores for k in range(1, len(t))}
         self.known = self.growing | scores.keys()
-        self.stays: dict[tuple[str | None, str], bool] = {}
+        self.stays: dict[tuple[str, str], bool] = {}
+        self.split: dict[str, tuple[str, str] | None] = {}
         self.bound: dict[tuple[str, str], bool] = {}
         self.clear()
 
     def clear(self) -> None:
         self.made = 0
+        self.words: dict[str, tuple[State, int]] = {}
         self.stays.clear()
         self.bound.clear()
         self.states: dict[tuple, State] = {}
@@ -81,22 +87,49 @@ class Transducer:
             found = self.states[tail, prefixes] = State(self, tail, prefixes)
         return found
 
-    def merged(self, text: str) -> list[str]:
-        """The tokens of a short text, by plain merging."""
-        parts = list(text)
+    def merged(self, text: str) -> tuple[list[str], list[str]]:
+        """The tokens of a short text by plain merging, and those before the last merge."""
+        parts, before = list(text), []
         while True:
-            pairs = [(-self.scores[a + b], k) for k, (a, b) in enumerate(zip(parts, parts[1:], strict=False)) if a + b in self.scores]
+            pairs = [(self.rank[a + b], k) for k, (a, b) in enumerate(zip(parts, parts[1:], strict=False)) if a + b in self.rank]
             if not pairs:
-                return parts
+                return parts, before
             _, k = min(pairs)
+            before = list(parts)
             parts[k : k + 2] = [parts[k] + parts[k + 1]]
 
+    def halves(self, token: str) -> tuple[str, str] | None:
+        """What the last merge of a token joins; None for one that merging does not form, twice the character for a character."""
+        if token not in self.split:
+            parts, before = self.merged(token)
+            self.split[token] = (token, token) if len(token) == 1 else (before[0], before[1]) if len(parts) == 1 else None
+        return self.split[token]
+
     def kept(self, last: str | None, token: str) -> bool:
-        """Whether a token stands as it is after the token ``last``."""
+        """Whether a token stands as it is after the token ``last``.
+
+        It does unless, going back through the merges of both from the latest, the parts at their border would have merged
+        earlier. Tokens of spaces alone share one rank, so theirs are merged plainly.
+        """
+        if self.halves(token) is None:
+            return False
+        if last is None or not self.touching(last, token):
+            return True
         key = (last, token)
-        if key not in self.stays:
-            self.stays[key] = self.merged((last or "") + token) == ([last, token] if last else [token])
-        return self.stays[key]
+        if key in self.stays:
+            return self.stays[key]
+        if not last.strip(SPACE_MARK) or not token.strip(SPACE_MARK):
+            out = self.merged(last + token)[0] == [last, token]
+        else:
+            a, b, limit = last, token, math.inf
+            age = lambda t: self.rank[t] if len(t) > 1 else -1
+            while (out := a + b not in self.rank or self.rank[a + b] >= limit) and max(age(a), age(b)) >= 0:
+                if age(a) > age(b):
+                    limit, a = age(a), self.halves(a)[1]
+                else:
+                    limit, b = age(b) + 1, self.halves(b)[0]
+        self.stays[key] = out
+        return out
 
     def touching(self, last: str, tail: str) -> bool:
         """Whether some token reaches from inside ``last`` into a text that starts with ``tail``."""
@@ -123,13 +156,33 @@ class Transducer:
         longest = max(back for back, _, _ in after)
         return self.state((tail + c)[len(tail) + 1 - longest :], tuple(after)), added
 
-    def run(self, state: State, text: str) -> tuple[State, int]:
+    def walk(self, state: State, text: str) -> tuple[State, int]:
         total = 0
         for c in text:
             state, added = state[c]
             total += added
         return state, total
 
+    def run(self, state: State, text: str) -> tuple[State, int]:
+        """The state after a text and the tokens emitted.
+
+        No token reaches over the start of a space that follows another character, so there all states meet, and the walk
+        over a space and the word behind it is one transition, kept by the word.
+        """
+        first, *words = text.split(" ")
+        state, total = self.walk(state, first)
+        for word in words:
+            if not first or first[-1] == SPACE_MARK or not word:
+                state, added = self.walk(state, " " + word)
+            elif word in self.words:
+                state, added = self.words[word]
+            else:
+                state, added = self.words[word] = self.walk(self.start, " " + word)
+                self.made += 1
+            total += added
+            first = word
+        return state, total
+
     def state_maps(self, chunks: list[str]) -> list[StateMap]:
         """The state map of each chunk of a text, the first from the start.
 
