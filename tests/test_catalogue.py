@@ -12,18 +12,17 @@ def test_query_matches_sql(spark, sf_dir, name):
 
 
 def test_greedy_keep_matches_a_loop(spark, sf_dir):
-    pairs = [(r["left"], r["right"]) for r in catalogue.queries()["near_duplicates"](spark, sf_dir).collect()]
     from tidewright.plans import text
 
-    ids = sorted(r["page_id"] for r in text._addresses(spark, sf_dir).collect())
+    members, pairs = text._near(spark, sf_dir)
     near = {}
-    for a, b in pairs:
-        near.setdefault(b, set()).add(a)
+    for r in pairs.collect():
+        near.setdefault(r["right"], set()).add(r["left"])
     kept = set()
-    for i in ids:
+    for i in sorted(r["doc_id"] for r in members.where("doc_id = class").collect()):
         if not near.get(i, set()) & kept:
             kept.add(i)
-    assert {r["page_id"] for r in catalogue.queries()["greedy_keep"](spark, sf_dir).collect()} == kept
+    assert {r["doc_id"] for r in catalogue.queries()["greedy_keep"](spark, sf_dir).collect()} == kept
 
 
 def test_split_balance_keeps_components_whole(spark, sf_dir):

@@ -193,11 +193,11 @@ def let(value: Column, body) -> Column:
 def character_grams(text: Column, n: int = 3) -> Column:
     """Distinct character n-grams without white space; the text itself where it is shorter."""
 
-    def grams(t: Column) -> Column:
-        many = F.transform(F.sequence(F.lit(1), F.length(t) - (n - 1)), lambda i: F.substring(t, i, F.lit(n)))
-        return F.when(F.length(t) >= n, F.array_distinct(many)).otherwise(F.array(t))
+    def grams(c: Column) -> Column:
+        many = F.transform(F.sequence(F.lit(0), F.size(c) - n), lambda i: F.concat(*[F.get(c, i + k) for k in range(n)]))
+        return F.when(F.size(c) >= n, F.array_distinct(many)).otherwise(F.array(F.array_join(c, "")))
 
-    return let(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)\s+", ""), grams)
+    return let(F.split(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)\s+", ""), ""), grams)
 
 
 def word_grams(text: Column, n: int = 8, pattern: str = r"(?U)\w+") -> Column:
@@ -210,6 +210,12 @@ def word_grams(text: Column, n: int = 8, pattern: str = r"(?U)\w+") -> Column:
     return let(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(pattern), F.lit(0)), grams)
 
 
+def word_gram_hashes(text: Column, n: int = 8, pattern: str = r"(?U)\w+") -> Column:
+    """64-bit hashes of the lower-cased word n-grams, repeats included; none for fewer words."""
+    hashes = lambda words: F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(1), F.size(words) - (n - 1)), lambda i: F.xxhash64(F.slice(words, i, F.lit(n)))))
+    return let(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(pattern), F.lit(0)), hashes)
+
+
 def mix_of(text: Column) -> Column:
     """``a=0.1,b=0.9`` as a map of shares; null unless they add to 1."""
     shares = F.transform_values(F.str_to_map(F.regexp_replace(text, r"\s+", ""), F.lit(","), F.lit("=")), lambda _, v: v.try_cast("double"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewright.functions import scalars as S
@@ -13,6 +13,25 @@ from tidewright.sources.shared import written
 BROADCAST_GRAMS = 100_000
 
 
+def classes(rows: DataFrame, id: str, grams: str) -> DataFrame:
+    """id and class: the least id of the rows with the same set of grams, told by two hashes of the sorted set and its size."""
+    whole = F.array_sort(grams)
+    keyed = rows.select(F.col(id).alias("id"), F.struct(F.xxhash64(whole).alias("x"), F.xxhash64(F.lit(1), whole).alias("y"), F.size(grams).alias("n")).alias("key"))
+    least = keyed.groupBy("key").agg(F.min("id").alias("class"))
+    return keyed.join(least, "key").select(F.col("id").alias(id), "class")
+
+
+def links_by_class(members: DataFrame, id: str, pairs: DataFrame) -> DataFrame:
+    """id, class and links (rows of other classes that are similar) of all ``members``; ``pairs`` are of the classes' ids.
+
+    Copies stand for each other, so their pairs are counted and never made.
+    """
+    sizes = members.groupBy("class").agg(F.count("*").alias("n"))
+    ends = pairs.select(F.col("left").alias("class"), F.col("right").alias("other")).union(pairs.select("right", "left"))
+    links = ends.join(sizes.select(F.col("class").alias("other"), "n"), "other").groupBy("class").agg(F.sum("n").alias("links"))
+    return members.join(links, "class", "left").select(id, "class", F.coalesce("links", F.lit(0).cast("long")).alias("links"))
+
+
 def similar_pairs(rows: DataFrame, id: str, grams: str, threshold: float) -> DataFrame:
     """left, right, similarity of all pairs (left < right) of Jaccard similarity at least ``threshold``.
 
@@ -52,31 +71,37 @@ def similar_pairs(rows: DataFrame, id: str, grams: str, threshold: float) -> Dat
 def greedy_keep(ids: DataFrame, id: str, pairs: DataFrame) -> DataFrame:
     """The ids that stay when rows are visited in order and one is dropped if it is similar to a row already kept.
 
-    ``pairs`` has left < right. Rounds on the pairs alone: a row whose smaller neighbours are all dropped is kept, and
-    those similar to a kept row are dropped, until all are decided. Not the same as components.
+    ``pairs`` has left < right, of ids whose copies have been left out. Rounds on the pairs alone: a row whose smaller neighbours
+    are all dropped is kept, and those similar to a kept row are dropped, until all are decided. Not the same as components.
+    The first rows in order that are independent depend on each other along chains, and no method is known that is always
+    faster than the longest chain of undecided rows; each round decides all rows that can be, and only the undecided are read again.
     """
     edges = written(pairs.select("left", "right").distinct())
-    state = written(edges.select(F.col("left").alias("x")).union(edges.select("right")).distinct().withColumn("kept", F.lit(None).cast("boolean")))
-    while not state.where("kept is null").isEmpty():
-        marks = state.withColumnsRenamed({"x": "left", "kept": "lk"})
-        verdict = edges.join(marks, "left").groupBy(F.col("right").alias("x")).agg(
-            F.bool_or(F.coalesce("lk", F.lit(False))).alias("hit"), F.bool_and(F.coalesce(~F.col("lk"), F.lit(False))).alias("clear")
-        )
-        decided = F.when(F.col("kept").isNotNull(), F.col("kept")).when(F.col("hit"), False).when(F.coalesce("clear", F.lit(True)), True)
-        state = written(state.join(verdict, "x", "left").select("x", decided.alias("kept")))
-    dropped = state.where("not kept").select(F.col("x").alias(id))
-    return ids.join(dropped, id, "left_anti")
+    dropped = None
+    while not edges.isEmpty():
+        ends = edges.select(F.col("left").alias("x"), F.lit(True).alias("first")).union(edges.select("right", F.lit(False)))
+        kept = ends.groupBy("x").agg(F.bool_and("first").alias("first")).where("first").select("x")  # no smaller neighbour is left
+        gone = written(edges.join(kept.withColumnRenamed("x", "left"), "left", "left_semi").select(F.col("right").alias("x")).distinct())
+        dropped = gone if dropped is None else dropped.union(gone)
+        decided = written(kept.union(gone))
+        edges = written(edges.join(decided.withColumnRenamed("x", "left"), "left", "left_anti").join(decided.withColumnRenamed("x", "right"), "right", "left_anti"))
+    return ids if dropped is None else ids.join(dropped.select(F.col("x").alias(id)), id, "left_anti")
 
 
 def contaminated(rows: DataFrame, id: str, text: str, banned: DataFrame, banned_text: str, n: int = 8) -> DataFrame:
     """Distinct ids of rows that share a lower-cased word n-gram with any banned text.
 
-    Up to BROADCAST_GRAMS distinct banned grams go to all tasks, so that no gram of the rows is moved; more are joined.
+    First by 64-bit hashes of the grams: up to BROADCAST_GRAMS distinct banned ones go to all tasks, so that none of the rows is
+    moved; more are joined. Only the rows that this finds are compared by the grams themselves.
     """
-    grams = written(banned.select(F.explode(S.word_grams(F.col(banned_text), n)).alias("gram")).distinct())
-    if grams.count() <= BROADCAST_GRAMS:
-        grams = F.broadcast(grams)
-    return rows.select(F.col(id), F.explode(S.word_grams(F.col(text), n)).alias("gram")).join(grams, "gram", "left_semi").select(id).distinct()
+    known = written(banned.select(F.explode(S.word_gram_hashes(F.col(banned_text), n)).alias("h")).distinct())
+    if known.count() <= BROADCAST_GRAMS:
+        known = F.broadcast(known)
+    met = rows.select(F.col(id).alias("__id"), F.explode(S.word_gram_hashes(F.col(text), n)).alias("h")).join(known, "h", "left_semi")
+    met = written(met.select("__id").distinct())
+    grams = banned.select(F.explode(S.word_grams(F.col(banned_text), n)).alias("gram")).distinct()
+    found = rows.join(met, F.col(id).eqNullSafe(F.col("__id")), "left_semi").select(F.col(id), F.explode(S.word_grams(F.col(text), n)).alias("gram"))
+    return found.join(grams, "gram", "left_semi").select(id).distinct()
 
 
 def decontaminated(rows: DataFrame, id: str, text: str, banned: DataFrame, banned_text: str, n: int = 8) -> DataFrame:
@@ -108,10 +133,10 @@ def opening_diversity(rows: DataFrame, text: str, stock: str, prefix: int = 2) -
 
 
 def signature_dedup(rows: DataFrame, text: str, order: list[str], length: int = 160) -> DataFrame:
-    """The first row of each normalised opening (lower case, white space collapsed, cut to ``length``)."""
+    """The first row of each normalised opening (lower case, white space collapsed, cut to ``length``); of rows equal in ``order`` any."""
     key = F.substring(F.trim(F.regexp_replace(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[ \t\n\r\x0b\f]+", " ")), 1, length)
-    place = F.row_number().over(Window.partitionBy(F.xxhash64("__k"), "__k").orderBy(*order))
-    return rows.withColumn("__k", key).withColumn("__p", place).where("__p = 1").drop("__k", "__p")
+    first = F.struct(*[F.struct(F.col(c).isNotNull(), F.col(c)).alias(c) for c in order])
+    return rows.groupBy(key.alias("__k")).agg(F.min_by(F.struct(*rows.columns), first).alias("__r")).select("__r.*")
 
 
 def screen(proposals: DataFrame, taken: DataFrame, *, blocked: str, threshold: float = 0.5) -> DataFrame:

@@ -8,24 +8,27 @@ from pyspark.sql import functions as F
 from tidewright.functions import scalars as S
 from tidewright.operators import text as X
 from tidewright.sources import tables as T
+from tidewright.sources.shared import written
 
 
-def _addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The distinct addresses of all pages, each by its least page: the short texts that are compared whole."""
-    pages = T.table(spark, sf_dir, "pages").groupBy(F.coalesce("url", F.lit("")).alias("url")).agg(F.min("page_id").alias("page_id"))
-    return pages.withColumn("g", S.character_grams(F.col("url")))
+def _near(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """All documents with the class of those with the same grams, and the pairs of classes of similarity 0.8 or more."""
+    docs = T.table(spark, sf_dir, "documents").select("doc_id", S.character_grams(F.lower("text")).alias("g"))
+    members = written(X.classes(docs, "doc_id", "g"))
+    firsts = docs.join(members.where("doc_id = class").select("doc_id"), "doc_id", "left_semi")
+    return members, X.similar_pairs(firsts, "doc_id", "g", 0.8)
 
 
 def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of distinct page addresses of character 3-gram similarity 0.6 or more."""
-    out = X.similar_pairs(_addresses(spark, sf_dir), "page_id", "g", 0.6)
-    return out.select("left", "right", F.round("similarity", 6).alias("similarity"))
+    """Of all documents, by their whole texts: the class of those with the same character 3-grams, and how many others are 0.8 alike."""
+    members, pairs = _near(spark, sf_dir)
+    return X.links_by_class(members, "doc_id", pairs)
 
 
 def greedy_keep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The distinct page addresses that stay when each is dropped if it is like one already kept."""
-    pages = _addresses(spark, sf_dir)
-    return X.greedy_keep(pages.select("page_id"), "page_id", X.similar_pairs(pages, "page_id", "g", 0.6))
+    """The documents that stay when each, by number, is dropped if its whole text is like one already kept."""
+    members, pairs = _near(spark, sf_dir)
+    return X.greedy_keep(members.where("doc_id = class").select("doc_id"), "doc_id", pairs)
 
 
 def contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,20 +66,25 @@ def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.groupBy("episode_id").agg(F.sum(S.is_report(F.col("content"), 400).cast("int")).alias("reports"), F.sum(S.leaks_internals(F.col("content")).cast("int")).alias("leaks"))
 
 
-PAGES = "lines AS (SELECT coalesce(url, '') AS line, min(page_id) AS page_id FROM pages GROUP BY 1)"
-GRAMS = r"""grams AS (SELECT page_id, CASE WHEN length(t) >= 3 THEN list_distinct(list_transform(range(1, length(t) - 1), lambda i: substr(t, i, 3))) ELSE [t] END AS g
-FROM (SELECT page_id, regexp_replace(line, '\s+', '', 'g') AS t FROM lines)),
-each AS (SELECT page_id, len(g) AS n, unnest(g) AS gram FROM grams),
-pairs AS (SELECT a.page_id AS "left", b.page_id AS "right", count(*)::DOUBLE / (any_value(a.n) + any_value(b.n) - count(*)) AS similarity FROM each a JOIN each b ON a.gram = b.gram AND a.page_id < b.page_id GROUP BY 1, 2 HAVING similarity >= 0.6)"""
+GRAMS = r"""grams AS (SELECT doc_id, CASE WHEN length(t) >= 3 THEN list_distinct(list_transform(range(1, len(c) - 1), lambda i: c[i] || c[i + 1] || c[i + 2])) ELSE [t] END AS g
+FROM (SELECT doc_id, t, string_split(t, '') AS c FROM (SELECT doc_id, regexp_replace(lower(coalesce(text, '')), '\s+', '', 'g') AS t FROM documents))),
+members AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY list_sort(g)) AS class FROM grams),
+each AS (SELECT doc_id, len(g) AS n, unnest(g) AS gram FROM grams WHERE doc_id IN (SELECT class FROM members)),
+pairs AS (SELECT a.doc_id AS "left", b.doc_id AS "right", count(*)::DOUBLE / (any_value(a.n) + any_value(b.n) - count(*)) AS similarity FROM each a JOIN each b ON a.gram = b.gram AND a.doc_id < b.doc_id
+AND least(a.n, b.n) >= 0.8 * greatest(a.n, b.n) - 1e-9 GROUP BY 1, 2 HAVING similarity >= 0.8)"""
 
 QUERIES = {
-    "near_duplicates": (near_duplicates, f'WITH {PAGES}, {GRAMS} SELECT "left", "right", round(similarity, 6) AS similarity FROM pairs'),
+    "near_duplicates": (
+        near_duplicates,
+        f"""WITH {GRAMS}, ends AS (SELECT "left" AS class, "right" AS other FROM pairs UNION ALL SELECT "right", "left" FROM pairs), sizes AS (SELECT class AS other, count(*) AS n FROM members GROUP BY 1),
+links AS (SELECT class, sum(n)::BIGINT AS links FROM ends JOIN sizes USING (other) GROUP BY 1) SELECT doc_id, class, coalesce(links, 0) AS links FROM members LEFT JOIN links USING (class)""",
+    ),
     "greedy_keep": (
         greedy_keep,
-        f"""WITH RECURSIVE {PAGES}, {GRAMS}, near AS (SELECT "right" AS id, list("left") AS l FROM pairs GROUP BY 1),
-o AS (SELECT page_id AS id, row_number() OVER (ORDER BY page_id) AS k, coalesce(l, []) AS l FROM lines LEFT JOIN near ON near.id = page_id),
+        f"""WITH RECURSIVE {GRAMS}, near AS (SELECT "right" AS id, list("left") AS l FROM pairs GROUP BY 1),
+o AS (SELECT doc_id AS id, row_number() OVER (ORDER BY doc_id) AS k, coalesce(l, []) AS l FROM members LEFT JOIN near ON near.id = doc_id WHERE doc_id = class),
 walk AS (SELECT 0::BIGINT AS k, []::BIGINT[] AS kept UNION ALL SELECT o.k, CASE WHEN list_has_any(kept, o.l) THEN kept ELSE list_append(kept, o.id) END FROM walk JOIN o ON o.k = walk.k + 1)
-SELECT unnest(kept) AS page_id FROM walk WHERE k = (SELECT max(k) FROM o)""",
+SELECT unnest(kept) AS doc_id FROM walk WHERE k = (SELECT max(k) FROM o)""",
     ),
     "contamination": (
         contamination,
