@@ -12,7 +12,7 @@ MARGINS = {"success": -0.05, "repeat_failures": 0.05, "unknown_tools": 0.03, "st
 
 
 def with_identities(actions: DataFrame) -> DataFrame:
-    """Adds group_id, rollout_id, segment_id and a default loss_mask to actions.
+    """Adds sandbox_id, group_id, rollout_id, segment_id and a default loss_mask to actions.
 
     ``actions``: task_id, place (dataset or group index), policy_version, episode, action (both numbered from 0), tokens,
     and group_id and loss_mask where they are known.
@@ -20,14 +20,22 @@ def with_identities(actions: DataFrame) -> DataFrame:
     group = F.coalesce("group_id", F.concat_ws(":", "task_id", F.coalesce("place", F.lit(0)), "policy_version"))
     rows = actions.withColumn("group_id", group).withColumn("rollout_id", F.concat(F.col("group_id"), F.lit("/rollout-"), "episode"))
     mask = F.coalesce("loss_mask", F.transform("tokens", lambda _: F.lit(1)))
-    return rows.withColumn("segment_id", F.concat(F.col("rollout_id"), F.lit("/segment-"), "action")).withColumn("loss_mask", mask)
+    return rows.withColumn("segment_id", F.concat(F.col("rollout_id"), F.lit("/segment-"), "action")).withColumn("loss_mask", mask).withColumn("sandbox_id", F.col("task_id"))
 
 
-def identity_problems(actions: DataFrame) -> DataFrame:
-    """segment_id and problem of actions whose identities do not match their group, or are not unique in it."""
-    twice = actions.groupBy("group_id", "segment_id").agg(F.count("*").alias("n")).where("n > 1").select("segment_id", F.lit("repeated segment").alias("problem"))
-    apart = ~F.col("rollout_id").startswith(F.concat(F.col("group_id"), F.lit("/"))) | ~F.col("segment_id").startswith(F.concat(F.col("rollout_id"), F.lit("/")))
-    return twice.unionByName(actions.where(F.coalesce(apart, F.lit(True))).select("segment_id", F.lit("identity of another group").alias("problem")))
+def identity_problems(actions: DataFrame, groups: DataFrame, episodes: DataFrame) -> DataFrame:
+    """group, segment_id and problem of actions whose identities are not those of the group and episode that hold them.
+
+    ``groups``: group (where it is stored), task_id, group_id, policy_version. ``episodes``: group, episode, rollout_id. ``actions``:
+    group, episode, sandbox_id, group_id, rollout_id, segment_id, policy_version. A sandbox, group, rollout or policy version that
+    differs or is null is a problem each, and so is a segment that the group holds twice.
+    """
+    own = groups.select("group", F.col("task_id").alias("__sandbox"), F.col("group_id").alias("__group"), F.col("policy_version").alias("__policy"))
+    rows = actions.join(own, "group", "left").join(episodes.select("group", "episode", F.col("rollout_id").alias("__rollout")), ["group", "episode"], "left")
+    differs = lambda a, b, text: F.when(~F.coalesce(F.col(a) == F.col(b), F.lit(False)), text)
+    found = F.array_compact(F.array(differs("sandbox_id", "__sandbox", "another sandbox"), differs("group_id", "__group", "another group"), differs("rollout_id", "__rollout", "another rollout"), differs("policy_version", "__policy", "another policy version")))
+    twice = actions.groupBy("group", "segment_id").agg(F.count("*").alias("n")).where("n > 1").select("group", "segment_id", F.lit("repeated segment").alias("problem"))
+    return rows.select("group", "segment_id", F.explode(found).alias("problem")).unionByName(twice)
 
 
 def ready_results(results: DataFrame, attempts: DataFrame, excluded: DataFrame) -> DataFrame:
@@ -112,22 +120,37 @@ def leaf_gaps(leaves: DataFrame, examples: int = 3) -> DataFrame:
     return rows.groupBy("kind", "type").agg(F.count("*").alias("n")).join(few, ["kind", "type"])
 
 
-def goal_problems(goals: DataFrame, processes: DataFrame) -> DataFrame:
-    """task_id and problem of goals (task_id, process, params: array of names): one to three, of known processes and parameters.
+def goal_problems(tasks: DataFrame, goals: DataFrame, processes: DataFrame) -> DataFrame:
+    """task_id and problem of the goals (task_id, process, params: array of names) of all ``tasks`` (task_id).
 
+    A task has one to three goals; otherwise nothing else is said of it. Their processes are known, and so are all parameters.
     ``processes``: process, params (array of names).
     """
-    counts = goals.groupBy("task_id").agg(F.count("*").alias("n")).where("n > 3").select("task_id", F.lit("more than three goals").alias("problem"))
-    known = goals.join(processes.select("process", F.col("params").alias("__p")), "process", "left")
-    text = F.when(F.col("__p").isNull(), F.concat(F.lit("unknown process "), "process")).when(F.size(F.array_except("params", "__p")) > 0, F.concat(F.lit("unknown parameter "), F.array_min(F.array_except("params", "__p"))))
-    return counts.unionByName(known.select("task_id", text.alias("problem")).where("problem is not null").distinct())
+    counts = tasks.select("task_id").distinct().join(goals.groupBy("task_id").agg(F.count("*").alias("n")), "task_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    off = counts.where(~F.col("n").between(1, 3)).select("task_id", F.lit("not one to three goals").alias("problem"))
+    known = goals.join(off.select("task_id"), "task_id", "left_anti").join(processes.select("process", F.col("params").alias("__p")), "process", "left")
+    strange = F.array_sort(F.array_except(F.coalesce("params", F.expr("cast(array() as array<string>)")), "__p"))
+    text = F.when(F.col("__p").isNull(), F.concat(F.lit("unknown process "), F.coalesce("process", F.lit("null")))).when(F.size(strange) > 0, F.concat(F.lit("unknown parameters of "), "process", F.lit(": "), F.array_join(strange, ", ")))
+    return off.unionByName(known.select("task_id", text.alias("problem")).where("problem is not null").distinct())
 
 
 def alternative_problems(outcomes: DataFrame, most: int = 3) -> DataFrame:
-    """task_id and problem of accepted outcomes (task_id, outcome: text, changes: rows changed): too many, repeated, or doing nothing."""
-    held = outcomes.groupBy("task_id").agg(F.count("*").alias("n"), F.count_distinct("outcome").alias("d"), F.min("changes").alias("c"))
-    texts = F.array_compact(F.array(F.when(F.col("n") > most, "too many outcomes"), F.when(F.col("n") > F.col("d"), "repeated outcome"), F.when((F.col("n") > 1) & (F.col("c") == 0), "an outcome changes nothing")))
-    return held.select("task_id", F.explode(texts).alias("problem"))
+    """task_id, number and problem of alternatives to the main outcome of a task.
+
+    ``outcomes``: task_id, number (0: the main one, from 1 on the alternatives), outcome (text of answer and state), changes (rows
+    of the world that it changes), answer_problems (array, by the schema). More alternatives than ``most`` are one problem, of
+    number 0. Else an alternative must conform to the schema, repeat no outcome before it, the main one included, and change the
+    world where the main one does.
+    """
+    size = outcomes.groupBy("task_id").agg(F.count(F.when(F.col("number") > 0, 1)).alias("n"), F.max(F.when(F.col("number") == 0, F.col("changes"))).alias("main"))
+    many = size.where(F.col("n") > most).select("task_id", F.lit(0).alias("number"), F.lit("too many alternatives").alias("problem"))
+    first = outcomes.groupBy("task_id", "outcome").agg(F.min("number").alias("first"))
+    rows = outcomes.where("number > 0").join(size.where(F.col("n") <= most), "task_id").join(first, ["task_id", "outcome"])
+    texts = F.concat(
+        F.coalesce("answer_problems", F.expr("cast(array() as array<string>)")),
+        F.array_compact(F.array(F.when(F.col("first") < F.col("number"), "repeats another outcome"), F.when((F.col("main") > 0) & (F.col("changes") == 0), "leaves the world unchanged although the main outcome changes it"))),
+    )
+    return rows.select("task_id", F.col("number").cast("int").alias("number"), F.explode(texts).alias("problem")).unionByName(many)
 
 
 def insensitive_goals(probes: DataFrame) -> DataFrame:

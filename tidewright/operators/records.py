@@ -66,11 +66,12 @@ def speech(trace: DataFrame) -> DataFrame:
 def skills(calls: DataFrame, last_words: DataFrame, recovered: DataFrame, episodes: DataFrame) -> DataFrame:
     """episode_id and the sorted behaviours that an episode shows.
 
-    ``calls``: episode_id, name, arguments, result, failed, write. ``last_words``: episode_id, asked, one row a write.
+    ``calls``: episode_id, name, arguments, result, failed, write, and consent, the episode's name of the argument for consent (null: consent). ``last_words``: episode_id, asked, one row a write.
     ``recovered``: episode_id, recovered. ``episodes``: episode_id, world, goals, out_of_scope, pushback.
     """
     name = F.lower("name")
     proposal = F.contains("arguments", F.lit('"proposal"'))
+    consent = F.contains("arguments", F.concat(F.lit('"'), F.coalesce("consent", F.lit("consent")), F.lit('"')))
     identity = F.lit(False)
     for word in IDENTITY:
         identity = identity | name.contains(word)
@@ -78,7 +79,7 @@ def skills(calls: DataFrame, last_words: DataFrame, recovered: DataFrame, episod
     found = shown(
         calls,
         asks_consent=proposal, handles_refusal=proposal & F.regexp_like("result", F.lit('"consent": (null|None)')),
-        writes=(F.col("write") | F.contains("arguments", F.lit('"consent"'))) & ~F.col("failed"), verifies_identity=identity,
+        writes=(F.col("write") | consent) & ~F.col("failed"), verifies_identity=identity,
     )
     found = found.unionByName(shown(last_words, asks_consent=F.col("asked"))).unionByName(shown(recovered, recovers_from_error=F.col("recovered")))
     found = found.unionByName(shown(episodes, refusal_world=F.col("world").startswith("flip"), multi_goal=F.col("goals") >= 2, out_of_scope=F.col("out_of_scope"), pushback=F.col("pushback")))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewright.operators import contracts, episodes, grading, joins, records
@@ -66,7 +66,8 @@ def skills(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The behaviours that each user's episode shows."""
     m = T.event_messages(spark, sf_dir)
     calls = turns._calls(m).withColumn("failed", F.col("msg_idx") % 5 == 0).withColumn("result", F.lit(""))
-    calls = calls.withColumn("name", F.when(F.col("msg_idx") % 50 == 3, "get_user_details").otherwise(F.col("name"))).withColumn("arguments", F.when(F.col("write"), '{"row": 1}').when(F.col("msg_idx") % 41 == 0, '{"proposal": 2}').otherwise("{}"))
+    calls = calls.withColumn("name", F.when(F.col("msg_idx") % 50 == 3, "get_user_details").otherwise(F.col("name"))).withColumn("arguments", F.when(F.col("write"), '{"row": 1}').when(F.col("msg_idx") % 41 == 0, '{"proposal": 2}').when(F.col("msg_idx") % 43 == 0, '{"agreed": true}').otherwise("{}"))
+    calls = calls.withColumn("consent", F.when(F.col("episode_id") % 5 == 0, "agreed"))
     e = m.select("episode_id").distinct().select("episode_id", F.when(F.col("episode_id") % 4 == 0, "flip:approve").otherwise("w1").alias("world"), (F.col("episode_id") % 3).alias("goals"), (F.col("episode_id") % 7 == 0).alias("out_of_scope"), F.lit(None).cast("boolean").alias("pushback"))
     out = records.skills(calls, episodes.last_words_before(m, calls), episodes.recoveries(m), e)
     return out.select("episode_id", F.array_join("skills", ",").alias("skills"))
@@ -102,11 +103,19 @@ def identities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def identity_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Actions whose identities were given to another group, or twice."""
-    rows = contracts.with_identities(_actions(spark, sf_dir))
-    moved = F.when(F.col("episode") % 70 == 0, F.concat(F.lit("x/"), "rollout_id")).otherwise(F.col("rollout_id"))
-    twice = F.when(F.col("action") == 1, F.concat(F.col("rollout_id"), F.lit("/segment-0"))).otherwise(F.col("segment_id"))
-    return contracts.identity_problems(rows.withColumns({"rollout_id": moved, "segment_id": twice}))
+    """Actions whose sandbox, group, rollout or policy version is another's, or whose segment stands twice."""
+    rows = contracts.with_identities(_actions(spark, sf_dir)).withColumn("group", F.concat_ws("/", "task_id", "group_id"))
+    groups = rows.select("group", "task_id", "group_id", F.lit(3).alias("policy_version")).distinct()
+    episodes = rows.select("group", "episode", "rollout_id").distinct()
+    e, a = F.col("episode"), F.col("action")
+    moved = {
+        "rollout_id": F.when(e % 70 == 0, F.concat(F.lit("x/"), "rollout_id")).otherwise(F.col("rollout_id")),
+        "segment_id": F.when(a == 1, F.concat(F.col("rollout_id"), F.lit("/segment-0"))).otherwise(F.col("segment_id")),
+        "sandbox_id": F.when(e % 33 == 1, "t").otherwise(F.col("sandbox_id")),
+        "group_id": F.when(e % 44 == 2, "h").otherwise(F.col("group_id")),
+        "policy_version": F.when(e % 52 == 3, 2).when(e % 61 != 4, 3),
+    }
+    return contracts.identity_problems(rows.withColumns(moved), groups, episodes)
 
 
 def _results(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -170,17 +179,20 @@ def leaf_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def goal_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers' orders as goals of processes that are named by priority."""
+    """Orders of a customer by number modulo five as goals of tasks, also of tasks without any; processes are named by priority."""
     o = T.table(spark, sf_dir, "orders")
-    goals = o.select(F.col("o_custkey").alias("task_id"), F.substring("o_orderpriority", 3, 20).alias("process"), F.array(F.concat(F.lit("p"), F.col("o_orderkey") % 4), F.lit("p0")).alias("params"))
+    tasks = T.table(spark, sf_dir, "customer").select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(4)), lambda k: F.concat_ws("-", "c_custkey", k))).alias("task_id"))
+    k = F.col("o_orderkey")
+    goals = o.select(F.concat_ws("-", "o_custkey", k % 5).alias("task_id"), F.substring("o_orderpriority", 3, 20).alias("process"), F.array(F.concat(F.lit("p"), k % 4), F.concat(F.lit("p"), k % 7), F.lit("p0")).alias("params"))
     processes = o.select(F.substring("o_orderpriority", 3, 20).alias("process")).distinct().where("process <> 'LOW'").withColumn("params", F.array(F.lit("p0"), F.lit("p1"), F.lit("p2")))
-    return contracts.goal_problems(goals, processes)
+    return contracts.goal_problems(tasks, goals, processes)
 
 
 def alternative_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers' order statuses as accepted outcomes."""
-    o = T.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("task_id"), F.col("o_orderpriority").alias("outcome"), (F.col("o_orderkey") % 6).alias("changes"))
-    return contracts.alternative_problems(o)
+    """Orders of a customer by number modulo four as outcomes, the first the main one, with the rows that they change and the schema's verdict."""
+    task, k = F.concat_ws("-", "o_custkey", F.col("o_orderkey") % 4), F.col("o_orderkey")
+    rows = T.table(spark, sf_dir, "orders").select(task.alias("task_id"), (F.row_number().over(Window.partitionBy(task).orderBy(k)) - 1).alias("number"), F.col("o_orderstatus").alias("outcome"), (k % 3).alias("changes"), F.when(k % 11 == 0, F.array(F.lit("status is missing"))).alias("answer_problems"))
+    return contracts.alternative_problems(rows)
 
 
 def insensitive_goals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -235,7 +247,7 @@ SELECT episode_id, count(*)::INT AS n, sha256(string_agg(t, '|' ORDER BY event_i
         skills,
         f"""WITH {turns.M}, o AS (SELECT *, last_value(CASE WHEN words THEN asks END IGNORE NULLS) OVER w AS last, max(coalesce(ok, false)::INT) OVER (PARTITION BY episode_id ORDER BY msg_idx ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS later,
 max(asks::INT) OVER (PARTITION BY episode_id ORDER BY msg_idx ROWS BETWEEN 1 FOLLOWING AND 2 FOLLOWING) AS soon FROM m WINDOW w AS (PARTITION BY episode_id ORDER BY msg_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-s AS (SELECT episode_id, bool_or(n_calls = 1 AND ((number % 2 = 0 AND coalesce(last, false)) OR (number % 2 = 1 AND msg_idx % 41 = 0))) AS asks, bool_or(n_calls = 1 AND number % 2 = 0 AND msg_idx % 5 > 0) AS writes, bool_or(n_calls = 1 AND msg_idx % 50 = 3) AS who,
+s AS (SELECT episode_id, bool_or(n_calls = 1 AND ((number % 2 = 0 AND coalesce(last, false)) OR (number % 2 = 1 AND msg_idx % 41 = 0))) AS asks, bool_or(n_calls = 1 AND msg_idx % 5 > 0 AND (number % 2 = 0 OR (msg_idx % 41 > 0 AND msg_idx % 43 = 0 AND episode_id % 5 = 0))) AS writes, bool_or(n_calls = 1 AND msg_idx % 50 = 3) AS who,
 bool_or(coalesce(ok = false, false) AND coalesce(greatest(later, soon), 0) = 1) AS back FROM o GROUP BY 1)
 SELECT episode_id, concat_ws(',', CASE WHEN asks THEN 'asks_consent' END, CASE WHEN episode_id % 3 >= 2 THEN 'multi_goal' END, CASE WHEN episode_id % 7 = 0 THEN 'out_of_scope' END, CASE WHEN back THEN 'recovers_from_error' END,
 CASE WHEN episode_id % 4 = 0 THEN 'refusal_world' END, CASE WHEN who THEN 'verifies_identity' END, CASE WHEN writes THEN 'writes' END) AS skills FROM s""",
@@ -249,8 +261,9 @@ SELECT request_id, string_agg(t, ';' ORDER BY t) AS topics FROM t GROUP BY 1""",
     "identities": (identities, f"WITH {ACTIONS} SELECT g AS group_id, g || '/rollout-' || e AS rollout_id, g || '/rollout-' || e || '/segment-' || a AS segment_id, n AS trained FROM a"),
     "identity_problems": (
         identity_problems,
-        f"""WITH {ACTIONS}, s AS (SELECT e, g, g || '/rollout-' || e || '/segment-' || CASE WHEN a = 1 THEN 0 ELSE a END AS id FROM a)
-SELECT id AS segment_id, 'repeated segment' AS problem FROM s GROUP BY g, id HAVING count(*) > 1 UNION ALL SELECT id, 'identity of another group' FROM s WHERE e % 70 = 0""",
+        f"""WITH {ACTIONS}, s AS (SELECT e, 't' || e % 50 || '/' || g AS "group", g || '/rollout-' || e || '/segment-' || CASE WHEN a = 1 THEN 0 ELSE a END AS segment_id FROM a)
+SELECT "group", segment_id, 'repeated segment' AS problem FROM s GROUP BY 1, 2 HAVING count(*) > 1 UNION ALL SELECT "group", segment_id, 'another rollout' FROM s WHERE e % 70 = 0 UNION ALL SELECT "group", segment_id, 'another sandbox' FROM s WHERE e % 33 = 1
+UNION ALL SELECT "group", segment_id, 'another group' FROM s WHERE e % 44 = 2 UNION ALL SELECT "group", segment_id, 'another policy version' FROM s WHERE e % 52 = 3 OR e % 61 = 4""",
     ),
     "ready_results": (ready_results, "SELECT event_id AS dataset_index FROM events WHERE event_id % 10 <> 4 AND event_id % 2 = CASE WHEN event_id % 3 = 0 THEN 1 ELSE 0 END"),
     "ready_minibatches": (
@@ -288,13 +301,18 @@ o_orderkey || CASE WHEN o_orderkey % 3 > 0 THEN ' -> ' || (o_orderkey + 1) ELSE
     ),
     "goal_problems": (
         goal_problems,
-        """SELECT o_custkey AS task_id, 'more than three goals' AS problem FROM orders GROUP BY 1 HAVING count(*) > 3
-UNION ALL SELECT DISTINCT o_custkey, CASE WHEN o_orderpriority = '5-LOW' THEN 'unknown process LOW' ELSE 'unknown parameter p3' END FROM orders WHERE o_orderpriority = '5-LOW' OR o_orderkey % 4 = 3""",
+        """WITH t AS (SELECT c_custkey || '-' || k AS task_id FROM customer, range(5) r(k)), g AS (SELECT o_custkey || '-' || o_orderkey % 5 AS task_id, substr(o_orderpriority, 3) AS process, list_distinct([o_orderkey % 4, o_orderkey % 7]) AS p FROM orders),
+n AS (SELECT task_id, count(process) AS n FROM t LEFT JOIN g USING (task_id) GROUP BY 1), f AS (SELECT *, list_sort(list_filter(p, lambda x: x > 2)) AS u FROM g JOIN n USING (task_id) WHERE n BETWEEN 1 AND 3)
+SELECT task_id, 'not one to three goals' AS problem FROM n WHERE n NOT BETWEEN 1 AND 3
+UNION ALL SELECT DISTINCT task_id, CASE WHEN process = 'LOW' THEN 'unknown process LOW' ELSE 'unknown parameters of ' || process || ': ' || array_to_string(list_transform(u, lambda x: 'p' || x), ', ') END FROM f WHERE process = 'LOW' OR len(u) > 0""",
     ),
     "alternative_problems": (
         alternative_problems,
-        """WITH g AS (SELECT o_custkey AS task_id, count(*) AS n, count(DISTINCT o_orderpriority) AS d, min(o_orderkey % 6) AS c FROM orders GROUP BY 1)
-SELECT task_id, 'too many outcomes' AS problem FROM g WHERE n > 3 UNION ALL SELECT task_id, 'repeated outcome' FROM g WHERE n > d UNION ALL SELECT task_id, 'an outcome changes nothing' FROM g WHERE n > 1 AND c = 0""",
+        """WITH o AS (SELECT o_custkey || '-' || o_orderkey % 4 AS task_id, row_number() OVER (PARTITION BY o_custkey, o_orderkey % 4 ORDER BY o_orderkey) - 1 AS number, o_orderstatus AS outcome, o_orderkey % 3 AS changes, o_orderkey % 11 = 0 AS bad FROM orders),
+a AS (SELECT *, min(number) OVER (PARTITION BY task_id, outcome) AS first, max(number) OVER (PARTITION BY task_id) AS n, first_value(changes) OVER (PARTITION BY task_id ORDER BY number) AS main FROM o)
+SELECT task_id, 0 AS number, 'too many alternatives' AS problem FROM a WHERE number = 0 AND n > 3 UNION ALL SELECT task_id, number::INT, 'status is missing' FROM a WHERE number > 0 AND n <= 3 AND bad
+UNION ALL SELECT task_id, number::INT, 'repeats another outcome' FROM a WHERE n <= 3 AND first < number
+UNION ALL SELECT task_id, number::INT, 'leaves the world unchanged although the main outcome changes it' FROM a WHERE number > 0 AND n <= 3 AND main > 0 AND changes = 0""",
     ),
     "insensitive_goals": (insensitive_goals, "SELECT o_custkey AS task_id, o_orderpriority AS parameter FROM orders GROUP BY 1, 2 HAVING count(DISTINCT o_orderstatus) = 1 AND count(DISTINCT o_orderkey % 2) = 1"),
     "approval_mismatches": (
