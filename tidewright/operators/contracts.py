@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewright.functions.scalars import same_loosely
+from tidewright.functions.speech import stated
+from tidewright.functions.spoken import said_loosely
 from tidewright.operators.statistics import interval, resampled
 
 # How far a model may fall behind its base.
@@ -112,9 +115,17 @@ def write_failures(matches: DataFrame, top: int = 10) -> DataFrame:
 
 
 def leaf_gaps(leaves: DataFrame, examples: int = 3) -> DataFrame:
-    """kind, type, n and the first examples of unmatched leaves (type, expected, actual, said): why each was not matched."""
-    kind = F.when(F.col("actual").isNull() & F.col("said"), "said but not extracted").when(F.col("actual").isNull(), "not said").when(F.col("said"), "said, another value extracted").otherwise("wrong")
-    rows = leaves.withColumn("kind", kind).withColumn("example", F.concat_ws(" -> ", "expected", "actual"))
+    """kind, type, n and the first examples of unmatched leaves: why each was not matched.
+
+    ``leaves``: type (integer, number, string, ...), expected, actual (texts, null where there is none), speech (what the assistant
+    said). A value is said or not by ``said_loosely``; one equal loosely to the extracted one differs in form only.
+    """
+    rows = leaves.withColumn("__stated", stated(F.col("speech")))
+    said = said_loosely(F.col("speech"), F.col("__stated"), F.col("expected"), F.col("type"))
+    rows = rows.withColumn("__said", said)
+    none, alike = F.col("actual").isNull(), same_loosely(F.col("expected"), F.col("actual"))
+    kind = F.when(F.col("expected").isNull(), "nothing expected").when(none & F.col("__said"), "said but not extracted").when(none, "not said").when(alike, "another form").when(F.col("__said"), "said, another value extracted").otherwise("wrong")
+    rows = rows.withColumn("kind", kind).withColumn("example", F.concat_ws(" -> ", "expected", "actual"))
     place = F.row_number().over(Window.partitionBy("kind", "type").orderBy("example"))
     few = rows.withColumn("__k", place).where(F.col("__k") <= examples).groupBy("kind", "type").agg(F.array_sort(F.collect_list("example")).alias("examples"))
     return rows.groupBy("kind", "type").agg(F.count("*").alias("n")).join(few, ["kind", "type"])

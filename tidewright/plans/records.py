@@ -172,9 +172,16 @@ def write_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def leaf_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Why values of orders were not matched."""
+    """Why values of orders (cents, shares, clock times, dates and priorities) were not matched, by what a sentence says of them."""
     k = F.col("o_orderkey")
-    rows = T.table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("type"), k.cast("string").alias("expected"), F.when(k % 3 > 0, (k + 1).cast("string")).alias("actual"), (k % 2 == 0).alias("said"))
+    o = T.table(spark, sf_dir, "orders").withColumn("cents", F.round(F.col("o_totalprice") * 100).cast("long"))
+    type = F.when(k % 5 == 0, "integer").when(k % 5 == 1, "number").when(k % 5 == 2, "time").when(k % 5 == 3, "date").otherwise("enum")
+    hour = F.lpad((k % 24).cast("string"), 2, "0")
+    expected = F.when(k % 5 == 0, F.col("cents").cast("string")).when(k % 5 == 1, F.concat(F.lit("0."), k % 89 + 10)).when(k % 5 == 2, F.concat(hour, F.lit(":30"))).when(k % 5 == 3, F.date_format("o_orderdate", "yyyy-MM-dd")).otherwise(F.col("o_orderpriority"))
+    clock = F.concat(F.when(k % 12 == 0, 12).otherwise(k % 12).cast("string"), F.lit(":30 "), F.when(k % 24 >= 12, "p.m.").otherwise("a.m."))
+    words = F.when(k % 5 == 0, F.concat(F.lit("$"), F.format_number(F.col("cents") / 100, 2))).when(k % 5 == 1, F.concat((k % 89 + 10).cast("string"), F.lit("%"))).when(k % 5 == 2, clock).when(k % 5 == 3, F.date_format("o_orderdate", "MMMM d")).otherwise(F.upper(F.replace("o_orderpriority", F.lit("-"), F.lit(" "))))
+    speech = F.when(k % 2 == 0, F.concat(F.lit("It is "), words, F.lit(", as you asked."))).otherwise("It is as you asked.")
+    rows = o.select(type.alias("type"), expected.alias("expected"), F.when(k % 3 > 0, F.concat(F.lit("x"), k)).alias("actual"), speech.alias("speech"))
     return contracts.leaf_gaps(rows).select("kind", "type", "n", F.array_join("examples", ",").alias("examples"))
 
 
@@ -296,8 +303,10 @@ SELECT round(l[6], 6) AS low, round(l[195], 6) AS high, round(least(1, 2 * least
     ),
     "leaf_gaps": (
         leaf_gaps,
-        """WITH l AS (SELECT o_orderpriority AS type, CASE WHEN o_orderkey % 3 = 0 THEN CASE WHEN o_orderkey % 2 = 0 THEN 'said but not extracted' ELSE 'not said' END WHEN o_orderkey % 2 = 0 THEN 'said, another value extracted' ELSE 'wrong' END AS kind,
-o_orderkey || CASE WHEN o_orderkey % 3 > 0 THEN ' -> ' || (o_orderkey + 1) ELSE '' END AS e FROM orders) SELECT kind, type, count(*) AS n, array_to_string(list_sort(list(e))[1:3], ',') AS examples FROM l GROUP BY 1, 2""",
+        """WITH v AS (SELECT o_orderkey AS k, CASE o_orderkey % 5 WHEN 0 THEN 'integer' WHEN 1 THEN 'number' WHEN 2 THEN 'time' WHEN 3 THEN 'date' ELSE 'enum' END AS type,
+CASE o_orderkey % 5 WHEN 0 THEN round(o_totalprice * 100)::BIGINT::VARCHAR WHEN 1 THEN '0.' || (o_orderkey % 89 + 10) WHEN 2 THEN lpad((o_orderkey % 24)::VARCHAR, 2, '0') || ':30' WHEN 3 THEN strftime(o_orderdate, '%Y-%m-%d') ELSE o_orderpriority END AS expected FROM orders),
+l AS (SELECT type, CASE WHEN k % 3 = 0 THEN CASE WHEN k % 2 = 0 THEN 'said but not extracted' ELSE 'not said' END WHEN k % 2 = 0 THEN 'said, another value extracted' ELSE 'wrong' END AS kind,
+expected || CASE WHEN k % 3 > 0 THEN ' -> x' || k ELSE '' END AS e FROM v) SELECT kind, type, count(*) AS n, array_to_string(list_sort(list(e))[1:3], ',') AS examples FROM l GROUP BY 1, 2""",
     ),
     "goal_problems": (
         goal_problems,

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewright.functions import scalars as S
-from tidewright.functions import speech
+from tidewright.functions import speech, spoken
 from tidewright.functions.numerals import says, stated_numbers
 from tidewright.operators import augment, certify, grading
 from tidewright.sources import tables as T
@@ -65,6 +65,15 @@ def loose_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select("o_orderkey", S.same_loosely(F.round("o_totalprice", 2).cast("string"), near).alias("price"), S.same_loosely(F.col("o_orderpriority"), words).alias("priority"))
 
 
+def number_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All ways to say an order's cents, and the readings and the word of its number."""
+    o = _orders(spark, sf_dir)
+    return o.select(
+        "o_orderkey", F.array_join(spoken.spoken_forms(F.col("cents")), " ").alias("cents"), F.array_join(F.array_sort(spoken.chinese_forms(F.col("o_orderkey"))), " ").alias("readings"),
+        F.coalesce(spoken.english_form(F.col("o_orderkey") % 101), F.lit("")).alias("word"),
+    )
+
+
 def spoken_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether a text says an order's cents, its number of days in words, and its date."""
     o = _orders(spark, sf_dir)
@@ -114,6 +123,13 @@ def parsed_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("msg_idx", F.coalesce(r["reasoning"], F.lit("-")).alias("reasoning"), r["content"].alias("content"), F.size(r["calls"]).alias("calls"), F.coalesce(r["error"], F.lit("-")).alias("error"))
 
 
+#: r: n and forms, the Chinese readings of the numbers n of v.
+READINGS = r"""q AS (SELECT n, n // 10000 AS hi, n % 10000 AS lo, list_transform([n // 10000, n % 10000], lambda g: regexp_replace(regexp_replace(regexp_replace(
+list_reduce(list_transform(['千', '百', '十', ''], lambda u, i: substr('零一二三四五六七八九', (g // [1000, 100, 10, 1][i] % 10 + 1)::INT, 1) || u), lambda a, b: a || b), '零[千百十]', '零', 'g'), '零+', '零', 'g'), '^零|零$', '', 'g')) AS g FROM v),
+w AS (SELECT n, regexp_replace(CASE WHEN hi > 0 THEN g[1] || '万' || CASE WHEN lo > 0 AND lo < 1000 THEN '零' ELSE '' END ELSE '' END || g[2], '^一十', '十') AS w FROM q),
+f AS (SELECT n, CASE WHEN n = 0 THEN ['零'] WHEN regexp_matches(w, '[一二三四五六七八九][百千万][一二三四五六七八九][十百千]$') THEN [w, left(w, length(w) - 1)] ELSE [w] END AS f FROM w),
+r AS (SELECT n, list_concat(f, list_transform(list_filter(f, lambda x: starts_with(x, '二') AND (n < 10 OR NOT starts_with(x, '二十'))), lambda x: '两' || substr(x, 2))) AS forms FROM f),"""
+
 QUERIES = {
     "names": (
         names,
@@ -143,6 +159,16 @@ SELECT conv_id, turn, coalesce(length(q) >= 4 AND contains(r, q), false) AS quot
         """WITH s AS (SELECT o_orderkey, CASE WHEN o_orderkey % 5 + o_orderkey % 7 = 8 THEN round((o_orderkey % 5 + 1) / 10.0, 6) END AS easy,
 CASE WHEN o_orderkey % 4 = 0 THEN 'direct' WHEN o_orderkey % 3 = 2 THEN 'complex' WHEN o_orderkey % 3 = 1 THEN 'single_write' WHEN o_orderkey % 2 = 0 THEN 'ordinary' ELSE 'simple' END AS shape FROM orders)
 SELECT *, CASE o_orderkey % 5 WHEN 0 THEN shape = 'direct' WHEN 1 THEN shape = 'simple' ELSE shape IN ('ordinary', 'single_write', 'complex') END AS fits FROM s""",
+    ),
+    "number_words": (
+        number_words,
+        f"""WITH n AS (SELECT o_orderkey, round(o_totalprice * 100)::BIGINT AS c FROM orders), v AS (SELECT o_orderkey AS n FROM n UNION SELECT c FROM n UNION SELECT c // 100 FROM n),
+{READINGS}
+s AS (SELECT o_orderkey, c, list_sort(list_distinct(list_concat(a.forms, [format('{{:,}}', c), printf('%.2f', c / 100.0), format('{{:,.2f}}', c / 100.0)], [x for x in [CASE WHEN c < 1000000 THEN printf('%g', c) END, CASE WHEN c < 100000000 THEN printf('%g', c / 100.0) END] if x IS NOT NULL],
+CASE WHEN c % 100 = 0 THEN b.forms WHEN c % 10 = 0 THEN list_append(list_transform(b.forms, lambda w: w || '块' || substr('零一二三四五六七八九', c // 10 % 10 + 1, 1)), (c // 100) || '块' || (c // 10 % 10)) ELSE [] END))) AS forms
+FROM n JOIN r a ON a.n = c JOIN r b ON b.n = c // 100)
+SELECT o_orderkey, array_to_string(s.forms, ' ') AS cents, array_to_string(list_sort(r.forms), ' ') AS readings, coalesce(CASE WHEN o_orderkey % 101 <= 20 THEN string_split('zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty', ' ')[o_orderkey % 101 + 1]
+WHEN o_orderkey % 101 < 100 AND o_orderkey % 101 % 10 = 0 THEN string_split('thirty forty fifty sixty seventy eighty ninety', ' ')[o_orderkey % 101 // 10 - 2] END, '') AS word FROM s JOIN r ON r.n = o_orderkey""",
     ),
     "loose_answers": (
         loose_answers,
