@@ -4,7 +4,7 @@ Byte-pair merges are a regular function: of every prefix of a text the last toke
 of the prefix before it stays as it is when merged alone (Berglund et al. 2024). A state of the transducer therefore holds the
 last tokens of the few prefixes at which a token that still may grow can begin, and each transition is annotated with the
 number of tokens that reading its character adds, which is negative where tokens merge. States are made when first reached and
-dropped together beyond a bound.
+dropped together beyond a bound, and so are words walked as one transition.
 
 Spark cuts texts into chunks. The state map of a chunk gives, for each state that may stand before it, the state after it
 and the tokens emitted; the maps of a text's chunks compose through a parallel prefix scan.
@@ -24,8 +24,8 @@ from .shared import text_of
 SPACE_MARK = "▁"
 #: Characters of a chunk.
 CHUNK = 4096
-#: Transitions that a worker keeps.
-TRANSITIONS = 500_000
+#: Transitions, and words walked as one, that a worker keeps.
+TRANSITIONS, WORDS = 700_000, 300_000
 
 StateMap = dict["State", tuple["State", int]]
 
@@ -177,8 +177,9 @@ class Transducer:
             elif word in self.words:
                 state, added = self.words[word]
             else:
+                if len(self.words) >= WORDS:
+                    self.words.clear()
                 state, added = self.words[word] = self.walk(self.start, " " + word)
-                self.made += 1
             total += added
             first = word
         return state, total
