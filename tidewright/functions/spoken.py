@@ -42,10 +42,11 @@ def english_form(n: Column) -> Column:
 
 
 def general(x: Column) -> Column:
-    """A number with six significant digits and no idle zeros, below a million; null beyond, where an exponent would stand."""
+    """A number with six significant digits, ties to even, and no idle zeros, below a million; null beyond, where an exponent would stand."""
     size = F.abs(x.cast("double"))
     before = F.when(size >= 1, F.floor(F.log10(size)) + 1).otherwise(0)
-    shown = F.coalesce(*[F.when(before == k, F.format_string(f"%.{6 - k}f", x.cast("double"))) for k in range(6)], F.format_string("%.0f", x.cast("double")))
+    even = lambda k: F.format_string(f"%.{6 - k}f", F.bround(x.cast("double"), 6 - k))
+    shown = F.coalesce(*[F.when(before == k, even(k)) for k in range(6)], even(6))
     plain = F.when(shown.contains("."), F.regexp_replace(shown, r"\.?0+$", "")).otherwise(shown)
     return F.when(size == 0, "0").when((size < 1_000_000) & (size >= 1e-4), plain)
 

@@ -164,7 +164,7 @@ SELECT *, CASE o_orderkey % 5 WHEN 0 THEN shape = 'direct' WHEN 1 THEN shape = '
         number_words,
         f"""WITH n AS (SELECT o_orderkey, round(o_totalprice * 100)::BIGINT AS c FROM orders), v AS (SELECT o_orderkey AS n FROM n UNION SELECT c FROM n UNION SELECT c // 100 FROM n),
 {READINGS}
-s AS (SELECT o_orderkey, c, list_sort(list_distinct(list_concat(a.forms, [format('{{:,}}', c), printf('%.2f', c / 100.0), format('{{:,.2f}}', c / 100.0)], [x for x in [CASE WHEN c < 1000000 THEN printf('%g', c) END, CASE WHEN c < 100000000 THEN printf('%g', c / 100.0) END] if x IS NOT NULL],
+s AS (SELECT o_orderkey, c, list_sort(list_distinct(list_concat(a.forms, [format('{{:,}}', c), printf('%.2f', c / 100.0::DOUBLE), format('{{:,.2f}}', c / 100.0::DOUBLE)], [x for x in [CASE WHEN c < 1000000 THEN printf('%g', c::DOUBLE) END, CASE WHEN c < 100000000 THEN printf('%g', round_even(c / 100.0::DOUBLE, 6 - CASE WHEN c < 100 THEN 0 ELSE length((c // 100)::VARCHAR) END::INT)) END] if x IS NOT NULL],
 CASE WHEN c % 100 = 0 THEN b.forms WHEN c % 10 = 0 THEN list_append(list_transform(b.forms, lambda w: w || '块' || substr('零一二三四五六七八九', c // 10 % 10 + 1, 1)), (c // 100) || '块' || (c // 10 % 10)) ELSE [] END))) AS forms
 FROM n JOIN r a ON a.n = c JOIN r b ON b.n = c // 100)
 SELECT o_orderkey, array_to_string(s.forms, ' ') AS cents, array_to_string(list_sort(r.forms), ' ') AS readings, coalesce(CASE WHEN o_orderkey % 101 <= 20 THEN string_split('zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty', ' ')[o_orderkey % 101 + 1]
