@@ -232,11 +232,6 @@ def test_op11_encodes_as_the_library(spark):
     assert [list(x) for x in alignment.byte_level(BYTES).encode(texts)] == [e.ids for e in own.encode_batch(texts, add_special_tokens=False)]
 
 
-def test_op11_encodes_parts_as_whole_texts(pieces):
-    docs = [t for t in strange_texts(pieces, 4000, 3) if "▁" not in t]
-    assert alignment.sentence_pieces(PIECES).encode(docs) == pieces.encode(docs)
-
-
 def test_op11_on_documents(spark, pieces):
     """Digests of the query, whose documents are whole."""
     out = {r["doc_id"]: tuple(r)[1:] for r in queries.op11_alignment(spark, "/root/testdata/sf0.001").select("doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "n_best", "count_sum").collect()}

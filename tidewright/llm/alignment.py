@@ -9,10 +9,8 @@ counts return to the batches, bounded as they are, to score their documents.
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Callable, Iterator, Sequence
 from functools import lru_cache
-from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -24,8 +22,6 @@ from .shared import text_of, written
 
 #: Characters of the texts of a batch; a longer text is a batch alone.
 BATCH = 1_000_000
-#: Spaces and what follows them up to the next; parts that a worker keeps encoded.
-PART, PARTS = re.compile(" +[^ ]*"), 300_000
 #: Fixed value: the pattern of byte-level pre-tokenizers.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -34,6 +30,7 @@ class Vocabulary(NamedTuple):
     encode: Callable[[list[str]], list[Sequence[int]]]  # without special tokens
     bytes: list[bytes]  # of each id
     prefix: str  # what the caller puts before a text, where the tokenizer itself puts none
+    lossless: bool  # whether the bytes of the tokens of a text are always those of the text
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -75,13 +72,13 @@ def byte_level(path: str) -> Vocabulary:
 
     def encode(text: str) -> Sequence[int]:
         try:
-            return fast.encode_to_numpy(text, disallowed_special=())
+            return fast.encode_ordinary(text)
         except BaseException as error:  # a panic of the pattern search is no Exception
             if isinstance(error, (KeyboardInterrupt, SystemExit, GeneratorExit)):
                 raise
             return own().encode(text, add_special_tokens=False).ids
 
-    return Vocabulary(lambda texts: [encode(t) for t in texts], names, " ")
+    return Vocabulary(lambda texts: [encode(t) for t in texts], names, " ", model["normalizer"] is None)
 
 
 @lru_cache(maxsize=2)
@@ -94,23 +91,7 @@ def sentence_pieces(path: str) -> Vocabulary:
     for i in range(model.get_piece_size()):
         piece = model.id_to_piece(i)
         names.append(bytes([int(piece[3:5], 16)]) if model.is_byte(i) else piece.replace("▁", " ").encode())
-    lone = {" ": [model.piece_to_id("▁")]}  # the model puts no space before an empty text
-    apart = not any("▁" in model.id_to_piece(i).lstrip("▁") for i in range(len(names)))
-    known = dict(lone)
-
-    def encode(texts: list[str]) -> list[list[int]]:
-        """No piece reaches over the start of a space behind another character, so the parts between are encoded apart, each once."""
-        if not apart or any("▁" in t for t in texts):
-            return model.encode(texts, num_threads=1)
-        if len(known) > PARTS:
-            known.clear()
-            known.update(lone)
-        parts = [PART.findall(" " + t) if t else [] for t in texts]
-        new = list(set(chain.from_iterable(parts)) - known.keys())
-        known.update(zip(new, model.encode([p[1:] for p in new], num_threads=1), strict=True))
-        return [list(chain.from_iterable(map(known.__getitem__, p))) for p in parts]
-
-    return Vocabulary(encode, names, "")
+    return Vocabulary(lambda texts: model.encode(texts, num_threads=1), names, "", False)
 
 
 class Aligned(NamedTuple):
@@ -129,13 +110,15 @@ def flat(tokens: list[Sequence[int]]) -> np.ndarray:
     return np.concatenate([np.empty(0, np.int32), *[np.asarray(t, np.int32) for t in tokens]])
 
 
-def come_back(texts: list[str], tokens: list[Sequence[int]], names: list[bytes]) -> list[bool]:
+def come_back(texts: list[str], tokens: list[Sequence[int]], vocabulary: Vocabulary) -> list[bool]:
     """Whether the bytes of its tokens are those of a space and the text; not for an empty text."""
+    if vocabulary.lossless:
+        return [t != "" for t in texts]
     import pyarrow as pa
     import pyarrow.compute as pc
 
     ends = np.r_[0, np.cumsum([len(t) for t in tokens])].astype(np.int32)
-    joined = pc.binary_join(pa.ListArray.from_arrays(ends, pa.array(names, pa.binary()).take(pa.array(flat(tokens)))), b"")
+    joined = pc.binary_join(pa.ListArray.from_arrays(ends, pa.array(vocabulary.bytes, pa.binary()).take(pa.array(flat(tokens)))), b"")
     same = pc.equal(joined, pa.array([(" " + t).encode() for t in texts], pa.binary()))
     return [bool(t) and s for t, s in zip(texts, same.to_pylist(), strict=True)]
 
@@ -144,8 +127,8 @@ def intervals(tokens: list[Sequence[int]], lengths: np.ndarray):
     import pyarrow as pa
 
     ids = flat(tokens)
-    end = np.cumsum(lengths[ids])
-    return pa.table({"doc": np.repeat(np.arange(len(tokens), dtype=np.int32), [len(t) for t in tokens]), "id": ids, "s": end - lengths[ids], "e": end})
+    end = np.cumsum(lengths[ids]).astype(np.int32)  # a batch has less than 2 GB
+    return pa.table({"doc": np.repeat(np.arange(len(tokens), dtype=np.int32), [len(t) for t in tokens]), "id": ids, "s": end - lengths[ids].astype(np.int32), "e": end})
 
 
 @lru_cache(maxsize=1)
@@ -157,11 +140,10 @@ def _written_ids(most: int):
 
 
 def spelled(sides: list[dict], docs: int) -> list[str]:
-    """The groups of each document, from the places, ids, group numbers and first tokens of groups on either side."""
+    """The groups of each document, from the ids, group numbers and first tokens of groups on either side, in order."""
     import pyarrow as pa
     import pyarrow.compute as pc
 
-    sides = [{k: v[np.argsort(x["s"], kind="stable")] for k, v in x.items()} for x in sides]
     order = np.argsort(np.r_[2 * sides[0]["g"].astype(np.int64), 2 * sides[1]["g"].astype(np.int64) + 1], kind="stable")
     most = 1 << int(max([0, *(x["id"].max(initial=0) for x in sides)])).bit_length()
     pieces = np.concatenate([x["id"] + most * (k + 1) * x["opens"] for k, x in enumerate(sides)])[order]
@@ -170,6 +152,18 @@ def spelled(sides: list[dict], docs: int) -> list[str]:
     return [t[1:] for t in joined.to_pylist()]
 
 
+def numbered(db, id: str, opens: str, table: str) -> dict[str, np.ndarray]:
+    """The tokens of a side in order: doc, s, id, whether a token opens a group, and the group's number, the starts summed so far.
+
+    The join leaves its rows in order, so the window can run over them as they come; where it has not, they are ordered first.
+    """
+    query = f"SELECT doc, s, {id} AS id, {opens} AS opens, sum(({opens})::INT) OVER ({{}} ROWS UNBOUNDED PRECEDING)::INT AS g FROM {table}"
+    out = db.execute(query.format("")).fetchnumpy()
+    if np.any(np.diff(out["s"]) <= 0):
+        out = db.execute(query.format("ORDER BY s") + " ORDER BY s").fetchnumpy()
+    return out
+
+
 def align_batch(db, a: list[Sequence[int]], b: list[Sequence[int]], lengths_a: np.ndarray, lengths_b: np.ndarray) -> Aligned:
     """Aligns documents whose tokens cover the same bytes in both tokenizers."""
     docs = len(a)
@@ -181,14 +175,13 @@ def align_batch(db, a: list[Sequence[int]], b: list[Sequence[int]], lengths_a: n
     for name in tables:
         db.unregister(name)
     db.execute("CREATE OR REPLACE TEMP TABLE at_a AS SELECT a.doc, a.s, a.id AS a, b.id AS b, b.s = a.s AS opens FROM a ASOF JOIN b ON b.s <= a.s")
-    db.execute("CREATE OR REPLACE TEMP TABLE at_b AS SELECT b.doc, b.s, a.id AS a, b.id AS b, coalesce(b.s < a.e, false) AS inside FROM b ASOF LEFT JOIN a ON a.s < b.s")
+    db.execute("CREATE OR REPLACE TEMP TABLE at_b AS SELECT b.doc, b.s, a.id AS a, b.id AS b, a.s < b.s AND b.s < a.e AS inside FROM b ASOF JOIN a ON a.s <= b.s")
     db.execute("CREATE OR REPLACE TEMP TABLE links AS SELECT doc, a, b FROM at_a UNION ALL SELECT doc, a, b FROM at_b WHERE inside")
     db.execute("CREATE OR REPLACE TEMP TABLE pairs AS SELECT (row_number() OVER () - 1)::INT AS pair, a, b, n FROM (SELECT a, b, count(*)::INT AS n FROM links GROUP BY a, b)")
     pairs = db.execute("SELECT a, b, n FROM pairs ORDER BY pair").fetchnumpy()
     held = db.execute("SELECT doc, pair, count(*)::INT AS n FROM links JOIN pairs USING (a, b) GROUP BY doc, pair ORDER BY doc, pair").fetchnumpy()
     count = lambda values, weights=None: np.bincount(values, weights, minlength=docs).astype(np.int64)
-    number = "SELECT doc, s, {0} AS id, {1} AS opens, sum(({1})::INT) OVER (ORDER BY s ROWS UNBOUNDED PRECEDING)::INT AS g FROM {2}"
-    sides = [db.execute(number.format(*x)).fetchnumpy() for x in (("a", "opens", "at_a"), ("b", "NOT inside", "at_b"))]
+    sides = [numbered(db, *x) for x in (("a", "opens", "at_a"), ("b", "NOT inside", "at_b"))]
     starts = count(sides[0]["doc"], sides[0]["opens"])
     return Aligned(np.array([len(t) for t in a]), np.array([len(t) for t in b]), starts, count(held["doc"], held["n"]), spelled(sides, docs), pairs, held)
 
@@ -235,7 +228,7 @@ def aligned_batches(documents: DataFrame, a: Callable[[], Vocabulary], b: Callab
         number = TaskContext.get().partitionId() << 32
         for ids, texts in _batches(record_batches, most):
             tokens = [v.encode([v.prefix + t for t in texts]) for v in (first, second)]
-            good = [x and y for x, y in zip(*[come_back(texts, t, v.bytes) for v, t in zip((first, second), tokens, strict=True)], strict=True)]
+            good = [x and y for x, y in zip(*[come_back(texts, t, v) for v, t in zip((first, second), tokens, strict=True)], strict=True)]
             tokens = [[x if ok else [] for x, ok in zip(t, good, strict=True)] for t in tokens]
             out = align_batch(db, *tokens, *lengths)
             groups = [g if spelled or not g else hashlib.sha256(g.encode()).hexdigest() for g in out.groups]
