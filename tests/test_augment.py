@@ -49,11 +49,38 @@ def test_rename_is_consistent(one):
 
 
 def test_injected_error(one):
-    out = messages(augment.inject_error(one))
+    out = messages(augment.inject_errors(one))
     assert [m["role"] for m in out] == ["system", "user", "assistant", "tool", "assistant", "user", "assistant", "tool", "assistant"]
     wrong = out[2]["tool_calls"][0]["arguments"]
-    assert "W123" not in wrong and out[2]["context_only"] and out[3]["content"] == "Error: Order not found"
-    assert out[5]["content"] == "Sorry, it's W123." and out[6]["tool_calls"][0]["arguments"] == '{"order_id": "W123"}'
+    assert "W123" not in wrong and out[2]["context_only"] and out[3]["content"] == '{"ok": false, "kind": "business", "error": "Order not found"}'
+    assert out[3]["tool_call_id"] == out[2]["tool_calls"][0]["id"] and "W123" in out[5]["content"] and out[6]["tool_calls"][0]["arguments"] == '{"order_id": "W123"}'
+    assert messages(augment.inject_errors(one, ask_share=0.0))[4]["tool_calls"][0]["id"] == "c1"
+    assert messages(augment.inject_errors(one, limit=0)) == messages(one) and messages(augment.inject_errors(one), "empty") == []
+
+
+def test_several_errors_and_what_they_leave(spark):
+    """Two of three lookups get an error; removing what was inserted gives the episode back; values of results are not asked for."""
+    call = lambda i, name, value: ("assistant", "", [(f"c{i}", name, f'{{"order_id": "{value}"}}')], None, None, None)
+    rows = [("user", "W111 and W222", None, None, None, None), call(1, "get_order", "W111"), ("tool", "see W333", None, "c1", "get_order", None), call(2, "find_order", "W222"), ("tool", "ok", None, "c2", "find_order", None), call(3, "get_order", "W333"), call(4, "cancel_order", "W111"), call(5, "get_order", "W999")]
+    frame = spark.createDataFrame([("e", rows)], TYPE)
+    for limit, many in ((1, 1), (2, 2), (9, 3)):
+        out = messages(augment.inject_errors(frame, seed=limit, limit=limit))
+        assert sum(bool(m["context_only"]) for m in out) == many
+        kept, skip = [], 0
+        for k, m in enumerate(out):
+            if m["context_only"]:
+                asked = out[k + 2]["role"] == "assistant" and not out[k + 2]["tool_calls"]
+                assert out[k + 1]["content"] == "Error: Order not found" and asked == ("W333" not in out[k + 2 + 2 * asked]["tool_calls"][0]["arguments"])
+                skip = 2 + 2 * asked
+            if skip:
+                skip -= 1
+            else:
+                kept.append(m)
+        assert kept == messages(frame)
+    made = augment.example_values(frame)
+    examples = {(r["tool"], r["example"]) for r in made.collect()}
+    out = messages(augment.inject_errors(frame, limit=9, examples=made))
+    assert len(examples) >= 2 and not any(x in str(rows) for _, x in examples) and sum(bool(m["context_only"]) for m in out) == 3
 
 
 def test_examples_are_never_real(one):

@@ -46,8 +46,18 @@ GREETINGS = {
 READ_WORDS = tuple(w for group in SYNONYMS[:4] for w in group) + ("view", "calculate", "compute", "quote", "estimate")
 POLICY_LABELS = ("\n\nPolicy:\n", "\n\n业务规则：\n")
 TURN_RULE = "In each turn either send one message to the user or make tool calls."
-ASK_AGAIN = "I couldn't find a {entity} with {wrong}. Could you double-check it for me?"
-CORRECTED = "Sorry, it's {value}."
+ASK_AGAIN = {
+    "en": (
+        "I couldn't find a {entity} with {wrong}. Could you double-check it for me?",
+        "Sorry, {wrong} doesn't match any {entity} on our side. Could you check the number again?",
+        "I'm not finding {wrong} in our system. Could you confirm the {entity} once more?",
+    ),
+    "zh": ("没有查到 {wrong}，麻烦您再核对一下这个编号？", "系统里没有 {wrong} 的记录，请您再确认一下好吗？"),
+}
+CORRECTED = {
+    "en": ("Sorry, it's {value}.", "Oops, my mistake: {value}.", "Let me check... it's {value}."),
+    "zh": ("不好意思，是 {value}。", "抱歉说错了，是 {value}。"),
+}
 STYLES = ("envelope", "raw", "raw", "text")
 
 
@@ -205,14 +215,17 @@ def rename_tools(episodes: DataFrame, seed: int = 0, keep: tuple[str, ...] = ())
     return map_messages(rows, change).drop("__m")
 
 
-def other_digits(value: Column, *keys: Column | str, seed: int = 0) -> Column:
-    """A value of the same shape with all digits moved by one to nine, drawn from the keys: never the value itself."""
-    step = F.pmod(hash_number(seed, "digits", *keys), F.lit(9)) + 1
+def other_digits(value: Column, taken: Column, *keys: Column | str, seed: int = 0) -> Column:
+    """A value of the same shape that ``taken`` (a text) does not hold: null if there is none.
+
+    In one half of the draws all digits as zeros come first; then all moved by one to nine, from a drawn step on.
+    """
     digits = "0123456789"
-    out = F.lit(None).cast("string")
-    for k in range(1, 10):
-        out = F.when(step == k, F.translate(value, digits, digits[k:] + digits[:k])).otherwise(out)
-    return F.when(F.regexp_like(value, F.lit("[0-9]")), out)
+    moved = F.array(*[F.translate(value, digits, digits[k:] + digits[:k]) for k in range(1, 10)])
+    step = F.pmod(hash_number(seed, "digits", *keys), F.lit(9)).cast("int")
+    turned = F.concat(F.slice(moved, step + 1, F.lit(9)), F.slice(moved, F.lit(1), step))
+    zeros = F.when(hash_uniform(seed, "zeros", *keys) < 0.5, F.array(F.regexp_replace(value, "[0-9]", "0"))).otherwise(F.expr("cast(array() as array<string>)"))
+    return F.get(F.filter(F.concat(zeros, turned), lambda x: (x != value) & ~F.contains(taken, x)), 0)
 
 
 def id_values(episodes: DataFrame) -> DataFrame:
@@ -225,9 +238,10 @@ def id_values(episodes: DataFrame) -> DataFrame:
 
 def example_values(episodes: DataFrame, seed: int = 0) -> DataFrame:
     """episode_id, tool, parameter and example: a made-up value for its description that the episode never uses."""
-    rows = id_values(episodes).withColumn("example", other_digits(F.col("value"), "episode_id", "tool", "parameter", seed=seed))
     used = episodes.select("episode_id", F.to_json("messages").alias("t"))
-    return rows.join(used, "episode_id").where(~F.contains("t", "example")).select("episode_id", "tool", "parameter", "example")
+    rows = id_values(episodes).where(F.regexp_like("value", F.lit("[0-9]"))).join(used, "episode_id")
+    made = other_digits(F.col("value"), F.col("t"), "episode_id", "tool", "parameter", seed=seed)
+    return rows.withColumn("example", made).where("example is not null").select("episode_id", "tool", "parameter", "example")
 
 
 def is_lookup(name: Column) -> Column:
@@ -235,46 +249,73 @@ def is_lookup(name: Column) -> Column:
     return F.coalesce(F.arrays_overlap(F.split(F.lower(name), "_"), _strings(READ_WORDS)), F.lit(False))
 
 
-def inject_error(episodes: DataFrame, seed: int = 0) -> DataFrame:
-    """Before one lookup with an identifier that the user gave: the same call with a wrong one, its error, the question and
-    the corrected value. The wrong call and the user's words are context; the question is trained.
+def inject_errors(episodes: DataFrame, seed: int = 0, limit: int = 1, ask_share: float = 1.0, examples: DataFrame | None = None) -> DataFrame:
+    """Before up to ``limit`` lookups with an identifier that the episode has seen: the same call with a wrong one, and its error.
 
-    The lookup, a tool with a reading word in its name, is drawn among those with a single call, no words, and a value said
-    by the user before: a wrong identifier in a write would mean something else.
+    A lookup is a tool with a reading word in its name: a wrong identifier in a write would mean something else. Turns of a
+    single call without words come before others, each kind in a hash order, one call a turn. The wrong identifier is, three
+    times in five, the example of ``examples`` (as ``example_values`` gives them), else the right one with another digit; one
+    that the episode holds is not used, and its turn stays as it is. The wrong call is context. Where the user was the first to
+    say the right one, the agent asks again with the share ``ask_share`` of chances, which is trained, and the user corrects.
     """
-    ids = id_values(episodes).groupBy("episode_id").agg(F.collect_list(F.struct("tool", "parameter", "value")).alias("__v"))
-    rows = episodes.join(ids, "episode_id", "left")
     kind = episodes.schema["messages"].dataType.elementType
     calls = kind["tool_calls"].dataType.elementType
     nothing = {f.name: F.lit(None).cast(f.dataType) for f in kind.fields}
     message = lambda **x: F.struct(*[x.get(f.name, nothing[f.name]).cast(f.dataType).alias(f.name) for f in kind.fields])
-
-    def fits(i: Column) -> Column:
-        m = F.element_at("messages", i)
-        before = F.filter(F.slice("messages", F.lit(1), i - 1), lambda x: x["role"] == "user")
-        hit = F.filter("__v", lambda v: (v["tool"] == F.get(m["tool_calls"], 0)["name"]) & F.contains(F.get(m["tool_calls"], 0)["arguments"], v["value"]) & F.exists(before, lambda x: F.contains(x["content"], v["value"])))
-        lone = is_lookup(F.get(m["tool_calls"], 0)["name"]) & (F.coalesce(F.size(m["tool_calls"]), F.lit(0)) == 1) & (F.trim(F.coalesce(m["content"], F.lit(""))) == "")
-        return F.when(lone & (F.size(hit) > 0), F.struct(i.alias("at"), F.get(hit, 0).alias("v")))
-
-    options = F.array_compact(F.transform(F.sequence(F.lit(1), F.size("messages")), fits))
-    rows = rows.withColumn("__o", F.when(F.col("__v").isNotNull() & (F.size("messages") > 0), options)).withColumn("__c", hash_choice(seed, "inject", F.coalesce("__o", F.expr("cast(array() as array<struct<at:int,v:struct<tool:string,parameter:string,value:string>>>)")), "episode_id"))
-    value, at = F.col("__c.v.value"), F.col("__c.at")
-    wrong = other_digits(value, "episode_id", seed=seed)
-    entity = F.trim(F.replace(F.regexp_replace("__c.v.parameter", S.ID_KEY, ""), F.lit("_"), F.lit(" ")))
-    entity = F.when(entity == "", "record").otherwise(entity)
-    good = F.get(F.element_at("messages", at)["tool_calls"], 0)
-    call_id = F.concat(F.lit("call_inj_"), F.substring(F.sha2(F.col("episode_id").cast("string"), 256), 1, 8))
-    fields = {"id": call_id, "name": good["name"], "arguments": F.replace(good["arguments"], value, wrong)}
-    bad_call = F.array(F.struct(*[fields.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in calls.fields]))
-    said = lambda text, **x: F.replace(F.replace(F.replace(F.lit(text), F.lit("{entity}"), entity), F.lit("{wrong}"), wrong), F.lit("{value}"), value)
-    added = F.array(
-        message(role=F.lit("assistant"), content=F.lit(""), context_only=F.lit(True), tool_calls=bad_call),
-        message(role=F.lit("tool"), tool_call_id=call_id, name=good["name"], content=F.concat(F.lit("Error: "), F.initcap(entity), F.lit(" not found"))),
-        message(role=F.lit("assistant"), content=said(ASK_AGAIN)),
-        message(role=F.lit("user"), content=said(CORRECTED)),
-    )
-    done = F.concat(F.slice("messages", F.lit(1), at - 1), added, F.slice("messages", at, F.size("messages")))
-    return rows.withColumn("messages", F.when(F.col("__c").isNotNull(), done).otherwise(F.col("messages"))).select(*episodes.columns)
+    rows = episodes.withColumn("__taken", F.to_json("messages"))
+    rows = rows.withColumn("__texts", F.transform("messages", lambda m: F.concat_ws("\n", m["role"], m["content"], F.to_json(m["tool_calls"]))))
+    if examples is not None:
+        held = examples.groupBy("episode_id").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("\n", "tool", "parameter"), "example"))).alias("__examples"))
+        rows = rows.join(held, "episode_id", "left")
+    else:
+        rows = rows.withColumn("__examples", F.expr("cast(null as map<string,string>)"))
+
+    def candidate(m: Column, i: Column) -> Column:
+        """The first identifier of the first fitting call of a message, if it has any."""
+        seen = F.array_join(F.slice("__texts", F.lit(1), i), "\n")
+        entries = lambda c: F.map_entries(F.from_json(c["arguments"], "map<string,variant>"))
+        text = lambda e: F.try_variant_get(e["value"], "$", "string")
+        fits = lambda e: (F.schema_of_variant(e["value"]) == "STRING") & F.regexp_like(e["key"], F.lit(S.ID_KEY)) & F.regexp_like(text(e), F.lit("[0-9]")) & (F.length(text(e)) >= 3) & F.contains(seen, text(e))
+        found = F.flatten(F.transform(F.filter(m["tool_calls"], lambda c: is_lookup(c["name"])), lambda c: F.transform(F.slice(F.filter(F.coalesce(entries(c), F.map_entries(F.from_json(F.lit("{}"), "map<string,variant>"))), fits), 1, 1), lambda e: F.struct(c["name"].alias("tool"), c["arguments"].alias("arguments"), e["key"].alias("parameter"), text(e).alias("value")))))
+        mixed = (F.size(m["tool_calls"]) != 1) | (F.trim(F.coalesce(m["content"], F.lit(""))) != "")
+        usable = (m["role"] == "assistant") & ~F.coalesce(m["context_only"], F.lit(False)) & (F.size(found) > 0)
+        return F.when(usable, F.struct(mixed.alias("mixed"), hash_number(seed, "inject", "episode_id", i).alias("draw"), i.alias("at"), F.get(found, 0).alias("c")))
+
+    chosen = F.slice(F.array_sort(F.array_compact(F.transform("messages", candidate))), 1, limit)
+    rows = rows.withColumn("__chosen", chosen).withColumn("__envelope", F.exists("messages", lambda m: F.coalesce((m["role"] == "tool") & m["content"].startswith('{"ok"'), F.lit(False))))
+
+    def wrong(x: Column) -> Column:
+        value, at = x["c"]["value"], x["at"]
+        places = F.filter(F.sequence(F.lit(1), F.length(value)), lambda p: F.regexp_like(F.substring(value, p, F.lit(1)), F.lit("[0-9]")))
+        place = F.get(places, F.pmod(hash_number(seed, "place", "episode_id", at), F.size(places)).cast("int"))
+        digit = (F.substring(value, place, F.lit(1)).cast("int") + 1 + F.pmod(hash_number(seed, "digit", "episode_id", at), F.lit(9))) % 10
+        changed = F.concat(F.substring(value, F.lit(1), place - 1), digit.cast("int").cast("string"), F.substring(value, place + 1, F.length(value)))
+        example = F.when(hash_uniform(seed, "example", "episode_id", at) < 0.6, F.try_element_at("__examples", F.concat_ws("\n", x["c"]["tool"], x["c"]["parameter"])))
+        return F.coalesce(example, changed)
+
+    rows = rows.withColumn("__wrong", F.transform("__chosen", lambda x: F.struct(x["at"].alias("at"), x["c"].alias("c"), wrong(x).alias("wrong"))))
+    rows = rows.withColumn("__wrong", F.filter("__wrong", lambda x: ~F.contains("__taken", x["wrong"])))
+
+    def inserted(x: Column) -> Column:
+        value, bad, at = x["c"]["value"], x["wrong"], x["at"]
+        entity = F.trim(F.replace(F.regexp_replace(x["c"]["parameter"], S.ID_KEY, ""), F.lit("_"), F.lit(" ")))
+        entity = F.when(entity == "", "record").otherwise(entity)
+        error = F.concat(F.upper(F.substring(entity, 1, 1)), F.lower(F.substring(entity, 2, 200)), F.lit(" not found"))
+        call_id = F.concat(F.lit("call_inj_"), F.substring(F.sha2(F.concat_ws(":", F.lit(str(seed)), "episode_id", at), 256), 1, 8))
+        fields = {"id": call_id, "name": x["c"]["tool"], "arguments": F.replace(x["c"]["arguments"], value, bad)}
+        call = F.array(F.struct(*[fields.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in calls.fields]))
+        shown = F.when(F.col("__envelope"), F.concat(F.lit('{"ok": false, "kind": "business", "error": "'), error, F.lit('"}'))).otherwise(F.concat(F.lit("Error: "), error))
+        said = F.filter(F.slice("messages", F.lit(1), at), lambda m: m["role"].isin("user", "tool") & F.contains(F.coalesce(m["content"], F.lit("")), value))
+        language = F.regexp_like(F.get(said, 0)["content"], F.lit("[一-鿿]"))
+        filled = lambda options, draw: F.replace(F.replace(F.replace(hash_choice(seed, draw, _strings(options), "episode_id", at), F.lit("{entity}"), entity), F.lit("{wrong}"), bad), F.lit("{value}"), value)
+        words = lambda options, draw: F.when(language, filled(options["zh"], draw)).otherwise(filled(options["en"], draw))
+        failed = F.array(message(role=F.lit("assistant"), content=F.lit(""), context_only=F.lit(True), tool_calls=call), message(role=F.lit("tool"), tool_call_id=call_id, name=x["c"]["tool"], content=shown))
+        asked = F.array(message(role=F.lit("assistant"), content=words(ASK_AGAIN, "ask")), message(role=F.lit("user"), content=words(CORRECTED, "correct")))
+        asks = (F.get(said, 0)["role"] == "user") & (hash_uniform(seed, "asks", "episode_id", at) < ask_share)
+        return F.when(F.coalesce(asks, F.lit(False)), F.concat(failed, asked)).otherwise(failed)
+
+    spread = F.transform("messages", lambda m, i: F.concat(F.flatten(F.transform(F.filter("__wrong", lambda x: x["at"] == i), inserted)), F.array(m)))
+    return rows.withColumn("messages", F.flatten(spread)).select(*episodes.columns)
 
 
 def in_order(episodes: DataFrame, steps: dict, shares: dict[str, float], seed: int = 0) -> DataFrame:
