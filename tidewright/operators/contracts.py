@@ -164,6 +164,27 @@ def alternative_problems(outcomes: DataFrame, most: int = 3) -> DataFrame:
     return rows.select("task_id", F.col("number").cast("int").alias("number"), F.explode(texts).alias("problem")).unionByName(many)
 
 
+def refusals(tasks: DataFrame, changes: DataFrame) -> DataFrame:
+    """The tasks (task_id, shape) whose shape asks for a write and whose expected state (``changes``: task_id, rows changed) is the initial one."""
+    changed = changes.where("changes > 0").select("task_id").distinct()
+    return tasks.where(F.col("shape").isin("single_write", "complex")).join(changed, "task_id", "left_anti")
+
+
+def cascades(steps: DataFrame) -> DataFrame:
+    """task_id, world, skipped approvals and steps of denials after which the reference drops what it did when all was approved.
+
+    ``steps``: task_id, world (original, or flip:<approval>), step (``confirm <approval>`` or a tool), n. Denials that the original
+    never asked for are left out, and so is the denied confirmation itself.
+    """
+    original = steps.where("world = 'original'").select("task_id", "step", F.col("n").alias("__n"))
+    flips = steps.where("world like 'flip:%'").select("task_id", "world").distinct().withColumn("__denied", F.concat(F.lit("confirm "), F.substring("world", 6, 200)))
+    asked = flips.join(original.select("task_id", F.col("step").alias("__denied")), ["task_id", "__denied"], "left_semi")
+    taken = steps.select("task_id", "world", "step", F.col("n").alias("__m"))
+    lost = asked.join(original, "task_id").where("step <> __denied").join(taken, ["task_id", "world", "step"], "left").where("coalesce(__m, 0) < __n")
+    approvals = F.filter(F.collect_list("step"), lambda s: s.startswith("confirm "))
+    return lost.groupBy("task_id", "world").agg(F.array_sort(F.transform(approvals, lambda s: F.substring(s, 9, 200))).alias("approvals"), F.array_sort(F.collect_list("step")).alias("steps"))
+
+
 def insensitive_goals(probes: DataFrame) -> DataFrame:
     """task_id and parameter of goals whose changed values (task_id, parameter, answer, state) never change the answer or the state."""
     return probes.groupBy("task_id", "parameter").agg(F.count_distinct("answer").alias("a"), F.count_distinct("state").alias("s")).where("a <= 1 and s <= 1").select("task_id", "parameter")

@@ -139,3 +139,59 @@ def deep_scores(rows: DataFrame, schema: dict, *, expected: str = "expected", ac
     held = F.col(known) if known else F.lit(None).cast("array<string>")
     other = F.col(names) if names else F.lit(None).cast("map<string,string>")
     return rows.withColumn("scores", of(F.col(expected), F.col(actual), held, other))
+
+
+def answer_problems(rows: DataFrame, schema: dict, answer: str = "answer") -> DataFrame:
+    """Adds problems: what keeps a JSON answer from the schema's fields, in order; a text that is no JSON is no object."""
+    import json
+
+    text = json.dumps(schema)
+
+    @F.arrow_udf("array<string>")
+    def of(values):
+        import pyarrow as pa
+
+        from tidewright.functions.answers import answer_problems as check
+        from tidewright.functions.answers import read
+
+        fields = json.loads(text)["fields"]
+        return pa.array([check(fields, read(v.as_py())) for v in values], pa.list_(pa.string()))
+
+    return rows.withColumn("problems", of(F.col(answer)))
+
+
+def answer_leaves(rows: DataFrame, schema: dict, answer: str = "answer") -> DataFrame:
+    """One row for each graded leaf of each row's JSON answer: the other columns, path and value (JSON text)."""
+    import json
+
+    text = json.dumps(schema)
+
+    @F.arrow_udf("array<struct<path:string,value:string>>")
+    def of(values):
+        import pyarrow as pa
+
+        from tidewright.functions.answers import graded_leaves, read
+
+        spec = {"type": "object", "properties": json.loads(text)["fields"]}
+        found = lambda v: [{"path": p, "value": json.dumps(x)} for p, x in graded_leaves(spec, v)] if isinstance(v, dict) else []
+        return pa.array([found(read(v.as_py())) for v in values], pa.list_(pa.struct([("path", pa.string()), ("value", pa.string())])))
+
+    return rows.select(*[c for c in rows.columns if c != answer], F.inline(of(F.col(answer))))
+
+
+def silenced(rows: DataFrame, schema: dict, answer: str = "answer") -> DataFrame:
+    """Adds silent: the answer with nothing said (JSON text), a probe that must earn no credit; null where it is no object."""
+    import json
+
+    text = json.dumps(schema)
+
+    @F.arrow_udf("string")
+    def of(values):
+        import pyarrow as pa
+
+        from tidewright.functions.answers import read, silent
+
+        spec = {"type": "object", "properties": json.loads(text)["fields"]}
+        return pa.array([json.dumps(silent(spec, v)) if isinstance(v := read(t.as_py()), dict) else None for t in values], pa.string())
+
+    return rows.withColumn("silent", of(F.col(answer)))
