@@ -58,6 +58,18 @@ def ready_minibatches(results: DataFrame, jobs: DataFrame, size: int, batch: str
     return rows.where((F.col("__n") == size) | (F.col("__all") == F.col("__jobs"))).drop("__n", "__all", "__jobs")
 
 
+def ready_count(results: DataFrame, count: int, size: int, epoch: str = "epoch") -> DataFrame:
+    """Adds minibatch to the first ``count`` results of each epoch by time of arrival, ``size`` in each; the last may be smaller.
+
+    A mini-batch that is not full yet is left out, unless it is the last one and all ``count`` are there.
+    """
+    order = Window.partitionBy(epoch).orderBy("finished_at", "dataset_index")
+    rows = results.withColumn("__p", F.row_number().over(order) - 1).where(F.col("__p") < count)
+    rows = rows.withColumn("minibatch", F.floor(F.col("__p") / size)).withColumn("__n", F.count("*").over(Window.partitionBy(epoch)))
+    full = F.least((F.col("minibatch") + 1) * size, F.lit(count)) <= F.col("__n")
+    return rows.where(full).drop("__p", "__n")
+
+
 def fork_segments(actions: DataFrame, forks: DataFrame) -> DataFrame:
     """trunk, segment, first and last action of each stretch of a trunk between its forks.
 

@@ -137,6 +137,11 @@ def ready_minibatches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contracts.ready_minibatches(r.where("batch % 2 = 0 or dataset_index % 9 > 0"), jobs, 7).select("batch", "dataset_index", "minibatch")
 
 
+def ready_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 40 results of each of twenty epochs in mini-batches of seven."""
+    return contracts.ready_count(_results(spark, sf_dir).withColumnRenamed("batch", "epoch"), 40, 7).select("epoch", "dataset_index", "minibatch")
+
+
 def fork_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stretches of each order's lines between those with a returned flag."""
     lines = T.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("trunk"), F.col("l_linenumber").alias("action"), "l_returnflag")
@@ -278,6 +283,11 @@ UNION ALL SELECT "group", segment_id, 'another group' FROM s WHERE e % 44 = 2 UN
         """WITH j AS (SELECT user_id % 20 AS batch, event_id AS dataset_index, ts FROM events), n AS (SELECT batch, count(*) AS jobs FROM j GROUP BY 1),
 p AS (SELECT *, (row_number() OVER (PARTITION BY batch ORDER BY ts, dataset_index) - 1) // 7 AS minibatch, count(*) OVER (PARTITION BY batch) AS there FROM j WHERE batch % 2 = 0 OR dataset_index % 9 > 0),
 s AS (SELECT *, count(*) OVER (PARTITION BY batch, minibatch) AS n FROM p) SELECT batch, dataset_index, minibatch FROM s JOIN n USING (batch) WHERE s.n = 7 OR there = jobs""",
+    ),
+    "ready_count": (
+        ready_count,
+        """WITH r AS (SELECT user_id % 20 AS epoch, event_id AS dataset_index, row_number() OVER (PARTITION BY user_id % 20 ORDER BY ts, event_id) - 1 AS p, count(*) OVER (PARTITION BY user_id % 20) AS n FROM events)
+SELECT epoch, dataset_index, p // 7 AS minibatch FROM r WHERE p < 40 AND least((p // 7 + 1) * 7, 40) <= n""",
     ),
     "fork_segments": (
         fork_segments,
