@@ -133,7 +133,7 @@ def with_next(documents: DataFrame, text: str = "text", id: str = "doc_id", rows
 def fingerprints(documents: DataFrame, text: str = "text", id: str = "doc_id") -> DataFrame:
     """id, signature, and the signatures of the edited text and of the next document, for every row.
 
-    Null texts count as empty; null ids come first; repeated rows follow each other and each get a row; a lone document
+    Null texts count as empty; ids are whole numbers, and what is none counts as null; null ids come first; repeated rows follow each other and each get a row; a lone document
     is its own next; an empty table gives an empty result; other columns are left out. The edited text replaces the last
     half of the code points by the first as many of the next document.
     """

@@ -117,7 +117,7 @@ def train(documents: DataFrame, labels: DataFrame, sample_rows: int = 8000, text
     """A machine fitted on at most ``sample_rows`` labelled documents that are not held out, chosen by hash of the id.
 
     The bound is the limit of a sampling operator: only these rows' features (at most WORDS + STATS each) reach the driver.
-    Ids with several labels count by their mean; rows with a null label or id are left out.
+    Ids with several labels count by their mean, of rows with one id one counts; rows with a null label or id are left out.
     """
     chosen = (
         labels.where(labels["quality"].isNotNull() & ~held_out(labels[id]))
@@ -136,7 +136,8 @@ def train(documents: DataFrame, labels: DataFrame, sample_rows: int = 8000, text
         return pa.array([b"".join(a.tobytes() for a in features(t.as_py(), n.as_py(), seen)) for t, n in pairs], pa.binary())
 
     texts = documents.select(documents[id].alias("id"), documents[text].cast("string").alias("text"), documents[chars].cast("long").alias("chars"))
-    sample = texts.join(F.broadcast(chosen), "id").select("id", "y", packed(F.col("text"), F.col("chars")).alias("features"))
+    one = F.min_by(F.struct("text", "chars"), F.struct(F.xxhash64("text"), "chars")).alias("d")
+    sample = texts.join(F.broadcast(chosen), "id").groupBy("id", "y").agg(one).select("id", "y", packed(F.col("d.text"), F.col("d.chars")).alias("features"))
     rows = sorted((r["id"], bytes(r["features"]), r["y"]) for r in sample.toLocalIterator())
     half = lambda b: len(b) // 2
     return fit([(np.frombuffer(b[: half(b)], np.int32), np.frombuffer(b[half(b) :], np.float32), y) for _, b, y in rows])
