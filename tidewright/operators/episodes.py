@@ -84,22 +84,26 @@ def call_profile(messages: DataFrame, calls: DataFrame, described: DataFrame | N
     said = F.concat_ws(" ", "content", F.col("calls_text"))
     made = calls.groupBy("episode_id", "msg_idx").agg(F.array_join(F.array_sort(F.collect_list(F.struct("call_idx", F.concat_ws(" ", "name", "arguments").alias("t"))))["t"], " ").alias("calls_text"))
     lines = messages.join(made, ["episode_id", "msg_idx"], "left").select("episode_id", F.struct("msg_idx", (F.col("role") == "assistant").alias("own"), F.coalesce(said, F.lit("")).alias("line")).alias("x"))
-    # An episode's lines are held once; each call looks through them.
+    # An episode is one row: its lines and its calls, each held once.
     held = lines.groupBy("episode_id").agg(F.collect_list("x").alias("lines"))
-    rows = calls.join(held, "episode_id")
+    rows = calls.groupBy("episode_id").agg(F.collect_list(F.struct("msg_idx", "arguments", "result", (~F.col("write") & ~F.col("failed")).alias("lookup"))).alias("calls")).join(held, "episode_id")
     rows = rows.join(described, "episode_id", "left") if described is not None else rows.withColumn("tools", F.lit(""))
-    seen = lambda v: F.exists("lines", lambda x: ~x["own"] & (x["msg_idx"] < F.col("msg_idx")) & F.contains(x["line"], v))
-    later = lambda v: F.exists("lines", lambda x: x["own"] & (x["msg_idx"] > F.col("msg_idx")) & F.contains(x["line"], v))
-    pairs = F.map_entries(F.coalesce(F.from_json("arguments", "map<string,string>"), F.expr("map()").cast("map<string,string>")))
-    guess = lambda e: F.regexp_like(e["key"], F.lit(S.ID_KEY)) & F.regexp_like(e["value"], F.lit("[0-9]")) & ~seen(e["value"]) & ~F.contains(F.coalesce("tools", F.lit("")), e["value"])
-    tokens = F.filter(
-        F.array_distinct(F.regexp_extract_all("result", F.lit(S.TOKEN), 0)), lambda t: ~F.contains(F.col("arguments"), t) & ~F.regexp_like(t, F.lit("^[A-Za-z]+$"))
-    )
-    lookup = ~F.col("write") & ~F.col("failed")
-    unused = lookup & (F.size(tokens) > 0) & ~F.exists(tokens, later)
-    return rows.groupBy("episode_id").agg(
-        F.count(F.when(lookup, 1)).alias("lookups"), F.count(F.when(unused, 1)).alias("unused"), F.sum(F.size(F.filter(pairs, guess))).alias("invented")
-    )
+
+    def seen(c: Column, v: Column) -> Column:
+        return F.exists("lines", lambda x: ~x["own"] & (x["msg_idx"] < c["msg_idx"]) & F.contains(x["line"], v))
+
+    def unused(c: Column) -> Column:
+        tokens = F.filter(F.array_distinct(F.regexp_extract_all(c["result"], F.lit(S.TOKEN), 0)), lambda t: ~F.contains(c["arguments"], t) & ~F.regexp_like(t, F.lit("^[A-Za-z]+$")))
+        later = lambda t: F.exists("lines", lambda x: x["own"] & (x["msg_idx"] > c["msg_idx"]) & F.contains(x["line"], t))
+        return c["lookup"] & (F.size(tokens) > 0) & ~F.exists(tokens, later)
+
+    def invented(c: Column) -> Column:
+        pairs = F.map_entries(F.coalesce(F.from_json(c["arguments"], "map<string,string>"), F.expr("map()").cast("map<string,string>")))
+        guess = lambda e: F.regexp_like(e["key"], F.lit(S.ID_KEY)) & F.regexp_like(e["value"], F.lit("[0-9]")) & ~seen(c, e["value"]) & ~F.contains(F.coalesce("tools", F.lit("")), e["value"])
+        return F.size(F.filter(pairs, guess))
+
+    count = lambda test: F.size(F.filter("calls", test)).cast("long")
+    return rows.select("episode_id", count(lambda c: c["lookup"]).alias("lookups"), count(unused).alias("unused"), F.aggregate(F.transform("calls", invented), F.lit(0).cast("long"), lambda a, n: a + n).alias("invented"))
 
 
 def behaviour_metrics(features: DataFrame) -> DataFrame:

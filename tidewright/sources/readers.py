@@ -82,10 +82,14 @@ def append_journal(records: DataFrame, path: str) -> None:
 
 
 def journal_digest(lines: DataFrame) -> DataFrame:
-    """cells: for each run of 65536 lines (number, value) its count, bytes and SHA-256, to compare a committed prefix."""
-    run = F.floor(F.col("number") / 65536)
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("number", "value"))), lambda x: F.concat(x["value"], F.lit("\n"))), "")
-    return lines.groupBy(run.alias("run")).agg(F.count("*").alias("lines"), body.alias("__b")).select("run", "lines", F.octet_length("__b").alias("bytes"), F.sha2(F.col("__b").cast("binary"), 256).alias("sha256"))
+    """For each run of 65536 lines (number, value) its count, bytes and the SHA-256 of its lines' SHA-256, to compare a committed prefix.
+
+    Lines are hashed where they are, so what meets in a run is a digest a line.
+    """
+    line = F.concat(F.col("value"), F.lit("\n"))
+    hashed = lines.select(F.floor(F.col("number") / 65536).alias("run"), "number", F.octet_length(line).alias("b"), F.sha2(line.cast("binary"), 256).alias("h"))
+    whole = F.array_join(F.array_sort(F.collect_list(F.struct("number", "h")))["h"], "")
+    return hashed.groupBy("run").agg(F.count("*").alias("lines"), F.sum("b").alias("bytes"), F.sha2(whole.cast("binary"), 256).alias("sha256"))
 
 
 def finite_metrics(events: DataFrame) -> DataFrame:
