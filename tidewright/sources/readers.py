@@ -174,6 +174,17 @@ def pythonic_calls(text):
     return of(text)
 
 
+def asking_and_declining(rows: DataFrame, content: str, count: int, id: str, share: float = 0.75, seed: int = 0) -> DataFrame:
+    """Of rows whose last message (``content``) asks back floor(count * share), of those whose does not the rest of ``count``, by hash order: a sampling operator."""
+    from tidewright.functions.ordering import hash_order
+    from tidewright.operators.selection import numbered
+
+    asks = F.coalesce(F.contains(F.col(content), F.lit("?")), F.lit(False))
+    first = lambda part, n, tag: numbered(part, hash_order(seed, tag, id), [id], "__p").where(F.col("__p") < n).drop("__p")
+    many = int(count * share)
+    return first(rows.where(asks), many, "asking").unionByName(first(rows.where(~asks), count - many, "declining"))
+
+
 def sample_shares(rows: DataFrame, kind: str, shares: dict[str, float], count: int, id: str, seed: int = 0) -> DataFrame:
     """``count`` rows, each kind with its share, by hash order: a sampling operator."""
     from tidewright.functions.ordering import hash_order
