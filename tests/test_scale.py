@@ -101,3 +101,17 @@ def test_resamples_average_over_episodes(spark):
     mean = sum(v for _, v in rows) / len(rows)
     assert low < mean < high and abs(sum(values) / 400 - mean) < 0.02
     assert all(a <= b for a, b in pairwise(values))
+
+
+def test_similar_pairs_equal_a_loop(spark):
+    """All pairs of sets of any sizes at several thresholds, ties in size and frequency included."""
+    rng = random.Random(6)
+    base = [rng.sample(range(60), rng.randint(1, 30)) for _ in range(12)]
+    sets = [sorted({*(x for x in b if rng.random() > 0.1), *rng.sample(range(60), rng.randint(0, 2))} or {1}) for b in base for _ in range(6)]
+    frame = spark.createDataFrame([(i, [f"g{x}" for x in s]) for i, s in enumerate(sets)], "id long, g array<string>")
+    from tidewright.operators import text
+
+    for threshold in (0.5, 0.8, 0.9):
+        got = {(r["left"], r["right"]): r["similarity"] for r in text.similar_pairs(frame, "id", "g", threshold).collect()}
+        want = {(i, j): len({*a} & {*b}) / len({*a} | {*b}) for i, a in enumerate(sets) for j, b in enumerate(sets) if i < j}
+        assert got == pytest.approx({k: v for k, v in want.items() if v >= threshold}) and got

@@ -15,7 +15,7 @@ BROADCAST_GRAMS = 100_000
 
 def classes(rows: DataFrame, id: str, grams: str) -> DataFrame:
     """id and class: the least id of the rows with the same set of grams, told by two hashes of the sorted set and its size."""
-    whole = F.array_sort(grams)
+    whole = F.sort_array(grams)
     keyed = rows.select(F.col(id).alias("id"), F.struct(F.xxhash64(whole).alias("x"), F.xxhash64(F.lit(1), whole).alias("y"), F.size(grams).alias("n")).alias("key"))
     least = keyed.groupBy("key").agg(F.min("id").alias("class"))
     return keyed.join(least, "key").select(F.col("id").alias(id), "class")
@@ -35,10 +35,12 @@ def links_by_class(members: DataFrame, id: str, pairs: DataFrame) -> DataFrame:
 def similar_pairs(rows: DataFrame, id: str, grams: str, threshold: float) -> DataFrame:
     """left, right, similarity of all pairs (left < right) of Jaccard similarity at least ``threshold``.
 
-    ``grams`` is an array of distinct grams. Prefix filter: grams are ordered from rare to frequent, and only the first
-    n - ceil(threshold * n) + 1 of each row are joined, so frequent grams meet only where all rarer ones are few; sizes
-    must be within the threshold of each other, and 512-bit sketches may differ in no more bits than the sets may differ in
-    grams. None of these filters loses a pair. Candidates are verified on the whole sets.
+    ``grams`` is an array of distinct grams. Prefix filter: grams are ordered from rare to frequent; of a pair the larger set
+    joins its first n - ceil(threshold * n) + 1, the smaller one of them n - ceil(2 * threshold / (1 + threshold) * n) + 1. Sizes
+    must be within the threshold of each other, the places of the shared gram must leave room for enough more, and 512-bit
+    sketches may differ in no more bits than the sets may differ in grams. None of these filters loses a pair. Candidates are
+    verified on the whole sets. Where few grams are all there are, as of 3-grams of long texts, a high threshold keeps the
+    joined ones rare.
     """
     # Written once: it is read four times, and filters that Spark infers for the arrays would make the grams anew each time.
     sets = written(rows.select(F.col(id).alias("id"), F.col(grams).alias("g"))).withColumn("n", F.size("g"))
@@ -46,21 +48,24 @@ def similar_pairs(rows: DataFrame, id: str, grams: str, threshold: float) -> Dat
     frequency = each.groupBy("gram").agg(F.count("*").alias("df"))
     bit = F.pmod(F.xxhash64("gram"), F.lit(512))
     word = lambda k: F.bit_or(F.when(F.floor(bit / 64) == k, F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 64).cast("int"))).otherwise(F.lit(0).cast("long"))).alias(f"b{k}")
-    ordered = each.join(frequency, "gram").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "gram"))).alias("o"), *[word(k) for k in range(8)])
-    keep = F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9) + 1
+    ordered = each.join(frequency, "gram").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "gram"))).alias("o"), *[word(k) for k in range(8)])
+    first = lambda share: F.col("n") - F.ceil(F.lit(share) * F.col("n") - 1e-9) + 1
     bits = [f"b{k}" for k in range(8)]
-    prefix = ordered.select("id", "n", *bits, F.explode(F.transform(F.slice("o", F.lit(1), keep.cast("int")), lambda x: F.xxhash64(x["gram"]))).alias("gram"))
-    side = lambda p: prefix.select("gram", *[F.col(c).alias(p + c) for c in ("id", "n", *bits)])
+    prefix = ordered.select("id", "n", *bits, first(2 * threshold / (1 + threshold)).alias("few"), F.posexplode(F.transform(F.slice("o", F.lit(1), first(threshold).cast("int")), lambda x: F.xxhash64(x["gram"]))).alias("pos", "gram"))
+    side = lambda p, part: part.select("gram", *[F.col(c).alias(p + c) for c in ("id", "n", "pos", *bits)])
     both_n = F.col("ln") + F.col("rn")
     apart = sum((F.bit_count(F.col(f"l{c}").bitwiseXOR(F.col(f"r{c}"))) for c in bits), F.lit(0))
+    room = F.least("lpos", "rpos") + 1 + F.least(F.col("ln") - F.col("lpos"), F.col("rn") - F.col("rpos")) - 1
     fits = (
-        (F.col("lid") < F.col("rid"))
-        & (F.least("ln", "rn") >= F.lit(threshold) * F.greatest("ln", "rn") - 1e-9)
+        ((F.col("ln") > F.col("rn")) | ((F.col("ln") == F.col("rn")) & (F.col("lid") > F.col("rid"))))
+        & (F.col("rn") >= F.lit(threshold) * F.col("ln") - 1e-9)
+        & (room >= F.lit(threshold / (1 + threshold)) * both_n - 1e-9)
         & (apart <= F.lit((1 - threshold) / (1 + threshold)) * both_n + 1e-9)
     )
     # A join that makes far more rows than it reads: by the size of its input alone it would be left to a few tasks.
     tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    pairs = side("l").repartition(tasks, "lid").join(side("r"), "gram").where(fits).select(F.col("lid").alias("left"), F.col("rid").alias("right")).distinct()
+    met = side("l", prefix).repartition(tasks, "lid").join(side("r", prefix.where("pos < few")), "gram").where(fits)
+    pairs = met.select(F.least("lid", "rid").alias("left"), F.greatest("lid", "rid").alias("right")).distinct()
     whole = sets.select("id", "g")
     both = pairs.join(whole.withColumnsRenamed({"id": "left", "g": "lg"}), "left").join(whole.withColumnsRenamed({"id": "right", "g": "rg"}), "right")
     shared = F.size(F.array_intersect("lg", "rg"))

@@ -12,15 +12,18 @@ from tidewright.sources.shared import written
 
 
 def _near(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """All documents with the class of those with the same grams, and the pairs of classes of similarity 0.8 or more."""
-    docs = T.table(spark, sf_dir, "documents").select("doc_id", S.character_grams(F.lower("text")).alias("g"))
+    """All documents with the class of those with the same grams, and the pairs of classes of similarity 0.9 or more.
+
+    Whole texts of one language share most of their 3-grams: unrelated ones are up to 0.6 alike.
+    """
+    docs = written(T.table(spark, sf_dir, "documents").select("doc_id", S.character_grams(F.lower("text")).alias("g")))
     members = written(X.classes(docs, "doc_id", "g"))
     firsts = docs.join(members.where("doc_id = class").select("doc_id"), "doc_id", "left_semi")
-    return members, X.similar_pairs(firsts, "doc_id", "g", 0.8)
+    return members, X.similar_pairs(firsts, "doc_id", "g", 0.9)
 
 
 def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of all documents, by their whole texts: the class of those with the same character 3-grams, and how many others are 0.8 alike."""
+    """Of all documents, by their whole texts: the class of those with the same character 3-grams, and how many others are 0.9 alike."""
     members, pairs = _near(spark, sf_dir)
     return X.links_by_class(members, "doc_id", pairs)
 
@@ -71,7 +74,7 @@ FROM (SELECT doc_id, t, string_split(t, '') AS c FROM (SELECT doc_id, regexp_rep
 members AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY list_sort(g)) AS class FROM grams),
 each AS (SELECT doc_id, len(g) AS n, unnest(g) AS gram FROM grams WHERE doc_id IN (SELECT class FROM members)),
 pairs AS (SELECT a.doc_id AS "left", b.doc_id AS "right", count(*)::DOUBLE / (any_value(a.n) + any_value(b.n) - count(*)) AS similarity FROM each a JOIN each b ON a.gram = b.gram AND a.doc_id < b.doc_id
-AND least(a.n, b.n) >= 0.8 * greatest(a.n, b.n) - 1e-9 GROUP BY 1, 2 HAVING similarity >= 0.8)"""
+AND least(a.n, b.n) >= 0.9 * greatest(a.n, b.n) - 1e-9 GROUP BY 1, 2 HAVING similarity >= 0.9)"""
 
 QUERIES = {
     "near_duplicates": (
