@@ -318,6 +318,11 @@ def inject_errors(episodes: DataFrame, seed: int = 0, limit: int = 1, ask_share:
     return rows.withColumn("messages", F.flatten(spread)).select(*episodes.columns)
 
 
+def inject_error(episodes: DataFrame, seed: int = 0) -> DataFrame:
+    """``inject_errors`` with one error at most, of which the agent always asks."""
+    return inject_errors(episodes, seed)
+
+
 def in_order(episodes: DataFrame, steps: dict, shares: dict[str, float], seed: int = 0) -> DataFrame:
     """The steps (name to operator) in their order, each on the share of episodes that its hash draws."""
     out = episodes
