@@ -115,3 +115,39 @@ def test_similar_pairs_equal_a_loop(spark):
         got = {(r["left"], r["right"]): r["similarity"] for r in text.similar_pairs(frame, "id", "g", threshold).collect()}
         want = {(i, j): len({*a} & {*b}) / len({*a} | {*b}) for i, a in enumerate(sets) for j, b in enumerate(sets) if i < j}
         assert got == pytest.approx({k: v for k, v in want.items() if v >= threshold}) and got
+
+
+def test_similar_texts_equal_a_loop(spark, monkeypatch):
+    """Pairs and classes by all pairs of sets, over several blocks of several sizes, with empty, short and equal texts and astral letters."""
+    from tidewright.operators import text
+
+    monkeypatch.setattr(text, "BLOCK_ROWS", (40, 50))
+    rng = random.Random(8)
+    letters = "abcdefghij𝔸é"
+    base = ["".join(rng.choice(letters) for _ in range(rng.choice([4, 30, 300, 1500]))) for _ in range(40)]
+    texts = ["", "", "a", "ab", "ab", "ba"]
+    for b in base:
+        texts += [b, b[: int(len(b) * rng.uniform(0.88, 1))], b + "".join(rng.choice(letters) for _ in range(len(b) // 30)), b + b[:2], b]
+    grams = [frozenset(t[i : i + 3] for i in range(len(t) - 2)) if len(t) > 2 else frozenset([t]) for t in texts]
+    members, pairs = text.similar_texts(spark.createDataFrame(list(enumerate(texts)), "id long, text string"), 0.9)
+    first = {}
+    for i, g in enumerate(grams):
+        first.setdefault(g, i)
+    assert {r["id"]: r["class"] for r in members.collect()} == {i: first[g] for i, g in enumerate(grams)}
+    want = {(i, j): len(a & b) / len(a | b) for a, i in first.items() for b, j in first.items() if i < j}
+    got = pairs.collect()
+    assert len(got) > 20 and {(r["left"], r["right"]): r["similarity"] for r in got} == pytest.approx({k: v for k, v in want.items() if v >= 0.9})
+    assert len({(r["left"], r["right"]) for r in got}) == len(got)
+
+
+def test_near_duplicates_keep_less_than_they_read(spark):
+    """The tables that the join of whole texts leaves are far smaller than the texts: no grams are stored."""
+    from pathlib import Path
+
+    folder = Path(spark.conf.get("spark.checkpoint.dir"))
+    kept = lambda: sum(f.stat().st_size for f in folder.rglob("*.parquet"))
+    from tidewright.plans import catalogue
+
+    before = kept()
+    assert catalogue.queries()["near_duplicates"](spark, "/root/testdata/sf0.01").count() == 1000
+    assert kept() - before < Path("/root/testdata/sf0.01/documents.parquet").stat().st_size / 2

@@ -190,6 +190,11 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def without_space(text: Column) -> Column:
+    """A text without its white space; null counts as empty."""
+    return F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)\s+", "")
+
+
 def character_grams(text: Column, n: int = 3) -> Column:
     """Distinct character n-grams without white space; the text itself where it is shorter."""
 
@@ -197,7 +202,7 @@ def character_grams(text: Column, n: int = 3) -> Column:
         many = F.transform(F.sequence(F.lit(0), F.size(c) - n), lambda i: F.concat(*[F.get(c, i + k) for k in range(n)]))
         return F.when(F.size(c) >= n, F.array_distinct(many)).otherwise(F.array(F.array_join(c, "")))
 
-    return let(F.split(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)\s+", ""), ""), grams)
+    return let(F.split(without_space(text), ""), grams)
 
 
 def word_grams(text: Column, n: int = 8, pattern: str = r"(?U)\w+") -> Column:

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from tidewright.functions import scalars as S
 from tidewright.operators import text as X
 from tidewright.sources import tables as T
-from tidewright.sources.shared import written
 
 
 def _near(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -16,10 +15,9 @@ def _near(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
     Whole texts of one language share most of their 3-grams: unrelated ones are up to 0.6 alike.
     """
-    docs = written(T.table(spark, sf_dir, "documents").select("doc_id", S.character_grams(F.lower("text")).alias("g")))
-    members = written(X.classes(docs, "doc_id", "g"))
-    firsts = docs.join(members.where("doc_id = class").select("doc_id"), "doc_id", "left_semi")
-    return members, X.similar_pairs(firsts, "doc_id", "g", 0.9)
+    texts = T.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), S.without_space(F.lower("text")).alias("text"))
+    members, pairs = X.similar_texts(texts, 0.9)
+    return members.withColumnRenamed("id", "doc_id"), pairs
 
 
 def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
