@@ -264,3 +264,31 @@ def test_one_of_each_keeps_what_is_less_alike(spark):
     kept = simhash.one_of_each(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).count()
     print("kept", kept, "of", len(texts))
     assert kept == len(texts)
+
+
+def test_one_of_each_takes_simhash_links(spark, monkeypatch):
+    """The stage's copies are first those of multi-index hashing: its pairs are found by fingerprint, whatever shingles they share."""
+    text = " ".join(f"w{i * 7919 % 1009}" for i in range(400))
+    texts = [text, text + " end", text.replace("w5 ", "v5 "), " ".join(f"x{i}" for i in range(300)), " ".join(f"y{i}" for i in range(300))]
+    called = []
+    pairs = simhash.simhash_pairs
+    monkeypatch.setattr(simhash, "simhash_pairs", lambda nodes: called.append(pairs(nodes).collect()) or pairs(nodes))
+    kept = sorted(r["doc_id"] for r in simhash.one_of_each(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect())
+    assert kept == [0, 3, 4] and len(called) == 1 and called[0]
+    frame = spark.createDataFrame([(1, 5), (2, 5), (3, 4), (4, 7 << 20), (5, 5)], "node long, fp long")
+    assert {(r["a"], r["b"]) for r in pairs(frame).collect()} == {(1, 2), (1, 5), (1, 3)}
+
+
+def test_rest_of_a_family_is_told_apart_by_sketches(spark):
+    """Texts of 600 words that share half, less than a copy: their sketches alone rule out nearly all of the pairs."""
+    import random
+    from itertools import combinations
+
+    rng = random.Random(2)
+    passage = [f"p{i}" for i in range(300)]
+    texts = [" ".join(passage + [f"w{rng.randrange(10**6)}" for _ in range(300)]) for _ in range(12)]
+    frame = spark.createDataFrame([(t,) for t in texts], "text string").select(simhash.shingle_shape(F.col("text"), 5, 0.8, []).alias("s")).select("s.*")
+    rows = frame.collect()
+    assert len({r["fp"] for r in rows}) > 1
+    near = [1 for x, y in combinations(rows, 2) if sum((a ^ b).bit_count() if a >= 0 and b >= 0 else ((a ^ b) & (2**64 - 1)).bit_count() for a, b in zip(x["sketch"], y["sketch"], strict=True)) <= (x["n"] + y["n"]) / 9]
+    assert not near
