@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidewright.functions import scalars as S
 from tidewright.functions.ordering import hash_choice, hash_number, hash_order, hash_uniform
 from tidewright.operators.selection import numbered
-from tidewright.sources.shared import written
+from tidewright.sources.shared import tasks_for, written
 
 # How far calendar cells move, in minutes.
 CALENDAR_SHIFTS = (-4320, -1440, -120, -60, 60, 120, 1440, 4320)
@@ -101,12 +101,16 @@ def value_pool(cells: DataFrame, show: int = 50) -> DataFrame:
 
 def overlay(rows: DataFrame, patches: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows with patches (table, row_id, set) applied to existing rows and columns, and the patches that fit nothing."""
-    joined = patches.join(rows, ["table", "row_id"], "left")
+    tasks = tasks_for(rows, patches)
+    # One key: a table that is a literal would be folded out of the join, which is then dealt anew to fewer tasks.
+    at = F.when(F.col("table").isNotNull() & F.col("row_id").isNotNull(), F.struct("table", "row_id")).alias("__at")
+    rows, patches = rows.select("*", at).repartition(tasks, "__at"), patches.select("*", at).repartition(tasks, "__at")
+    joined = patches.join(rows.select("__at", "cells"), "__at", "left")
     alien = F.array_except(F.map_keys("set"), F.map_keys("cells"))
     bad = joined.where(F.col("cells").isNull() | (F.size(alien) > 0)).select("table", "row_id", F.when(F.col("cells").isNull(), "no such row").otherwise(F.concat(F.lit("no such column: "), F.array_join(F.array_sort(alien), ", "))).alias("problem"))
-    change = patches.select("table", "row_id", F.col("set").alias("__s"))
+    change = patches.select("__at", F.col("set").alias("__s"))
     fixed = F.when(F.col("__s").isNull(), F.col("cells")).otherwise(F.transform_values("cells", lambda k, v: F.coalesce(F.try_element_at("__s", k), v)))
-    return rows.join(change, ["table", "row_id"], "left").withColumn("cells", fixed).drop("__s"), bad
+    return rows.join(change, "__at", "left").withColumn("cells", fixed).drop("__s", "__at"), bad
 
 
 def goal_alternatives(goals: DataFrame, rows: DataFrame, show: int = 3) -> DataFrame:
