@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewright.functions import scalars as S
+from tidewright.sources.shared import tasks_for
 
 
 def state_diff(expected: DataFrame, actual: DataFrame, keys: list[str], row: str, show: int = 5) -> DataFrame:
@@ -14,11 +15,11 @@ def state_diff(expected: DataFrame, actual: DataFrame, keys: list[str], row: str
     Lists hold at most ``show`` distinct rows that one side lacks altogether, so a pure difference of counts has two empty
     lists.
     """
-    a = expected.groupBy(*keys, row).agg(F.count("*").alias("__e"))
-    b = actual.groupBy(*keys, row).agg(F.count("*").alias("__a"))
-    both = a.join(b, [*keys, row], "full_outer").where(F.coalesce("__e", F.lit(0)) != F.coalesce("__a", F.lit(0)))
+    side = lambda rows, mine: rows.select(*keys, row, F.lit(int(mine)).alias("__e"), F.lit(int(not mine)).alias("__a"))
+    held = side(expected, True).unionByName(side(actual, False)).repartition(tasks_for(expected, actual), *keys)
+    both = held.groupBy(*keys, row).agg(F.sum("__e").alias("__e"), F.sum("__a").alias("__a")).where("__e <> __a")
     rank = F.row_number().over(Window.partitionBy(*keys, "__side").orderBy(row))
-    side = F.when(F.col("__a").isNull(), "missing").when(F.col("__e").isNull(), "unexpected").otherwise("count")
+    side = F.when(F.col("__a") == 0, "missing").when(F.col("__e") == 0, "unexpected").otherwise("count")
     first = both.withColumn("__side", side).withColumn("__k", rank).where((F.col("__k") <= show) | (F.col("__side") == "count"))
     lists = lambda name: F.array_sort(F.collect_list(F.when(F.col("__side") == name, F.col(row))))
     return first.where((F.col("__side") != "count") | (F.col("__k") == 1)).groupBy(*keys).agg(lists("missing").alias("missing"), lists("unexpected").alias("unexpected"))
