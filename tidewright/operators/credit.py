@@ -135,5 +135,5 @@ def choose_forks(trunks: DataFrame, count: int) -> DataFrame:
 
 def terminal_reward(actions: DataFrame, episode: str, step: str, final: str) -> DataFrame:
     """Adds ``reward``: the episode's final reward on its last action, 0 elsewhere."""
-    last = actions.groupBy(episode).agg(F.max(step).alias("__last"))
-    return actions.join(last, episode).withColumn("reward", F.when(F.col(step) == F.col("__last"), F.col(final).cast("double")).otherwise(0.0)).drop("__last")
+    last = F.max(step).over(Window.partitionBy(episode))
+    return actions.withColumn("__last", last).withColumn("reward", F.when(F.col(step) == F.col("__last"), F.col(final).cast("double")).otherwise(0.0)).drop("__last")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewright.operators import credit, episodes, grading, metrics, selection, statistics
 from tidewright.sources import tables as T
+from tidewright.sources.shared import tasks_for
 
 
 def _trees(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,14 +37,18 @@ def tree_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def fork_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The four best fork points of each customer: lines by price, one per order first."""
-    a = T.actions(spark, sf_dir).groupBy("episode_id", "line").agg(F.max("price").alias("score"))
-    rows = a.join(T.episodes(spark, sf_dir).select("episode_id", "group_id"), "episode_id").select("group_id", F.col("episode_id").alias("trunk"), F.col("line").alias("step"), "score")
-    return credit.choose_forks(rows, 4).select("group_id", "trunk", "step", "place")
+    actions, held = T.actions(spark, sf_dir), T.episodes(spark, sf_dir).select("episode_id", "group_id")
+    tasks = tasks_for(actions)
+    a = actions.repartition(tasks, "episode_id").groupBy("episode_id", "line").agg(F.max("price").alias("score"))
+    rows = a.join(held.repartition(tasks, "episode_id"), "episode_id").select("group_id", F.col("episode_id").alias("trunk"), F.col("line").alias("step"), "score")
+    return credit.choose_forks(rows.repartition(tasks, "group_id"), 4).select("group_id", "trunk", "step", "place")
 
 
 def terminal_rewards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The order's price on its last line, nothing on the others."""
-    a = T.actions(spark, sf_dir).groupBy("episode_id", "line").agg(F.count("*").alias("n")).join(T.episodes(spark, sf_dir).select("episode_id", "price"), "episode_id")
+    actions, held = T.actions(spark, sf_dir), T.episodes(spark, sf_dir).select("episode_id", "price")
+    tasks = tasks_for(actions)
+    a = actions.repartition(tasks, "episode_id").groupBy("episode_id", "line").agg(F.count("*").alias("n")).join(held.repartition(tasks, "episode_id"), "episode_id")
     return credit.terminal_reward(a, "episode_id", "line", "price").select("episode_id", "line", F.round("reward", 2).alias("reward"))
 
 
