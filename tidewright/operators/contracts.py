@@ -9,6 +9,7 @@ from tidewright.functions.scalars import same_loosely
 from tidewright.functions.speech import stated
 from tidewright.functions.spoken import said_loosely
 from tidewright.operators.statistics import interval, resampled
+from tidewright.sources.shared import written
 
 # How far a model may fall behind its base.
 MARGINS = {"success": -0.05, "repeat_failures": 0.05, "unknown_tools": 0.03, "step_limit": 0.05}
@@ -137,7 +138,8 @@ def leaf_gaps(leaves: DataFrame, examples: int = 3) -> DataFrame:
     rows = rows.withColumn("__said", said)
     none, alike = F.col("actual").isNull(), same_loosely(F.col("expected"), F.col("actual"))
     kind = F.when(F.col("expected").isNull(), "nothing expected").when(none & F.col("__said"), "said but not extracted").when(none, "not said").when(alike, "another form").when(F.col("__said"), "said, another value extracted").otherwise("wrong")
-    rows = rows.withColumn("kind", kind).withColumn("example", F.concat_ws(" -> ", "expected", "actual"))
+    # Written once: both what is counted and what is shown read it, and the forms of a value are many.
+    rows = written(rows.select(kind.alias("kind"), "type", F.concat_ws(" -> ", "expected", "actual").alias("example")))
     place = F.row_number().over(Window.partitionBy("kind", "type").orderBy("example"))
     few = rows.withColumn("__k", place).where(F.col("__k") <= examples).groupBy("kind", "type").agg(F.array_sort(F.collect_list("example")).alias("examples"))
     return rows.groupBy("kind", "type").agg(F.count("*").alias("n")).join(few, ["kind", "type"])
@@ -188,13 +190,16 @@ def cascades(steps: DataFrame) -> DataFrame:
     ``steps``: task_id, world (original, or flip:<approval>), step (``confirm <approval>`` or a tool), n. Denials that the original
     never asked for are left out, and so is the denied confirmation itself.
     """
-    original = steps.where("world = 'original'").select("task_id", "step", F.col("n").alias("__n"))
-    flips = steps.where("world like 'flip:%'").select("task_id", "world").distinct().withColumn("__denied", F.concat(F.lit("confirm "), F.substring("world", 6, 200)))
-    asked = flips.join(original.select("task_id", F.col("step").alias("__denied")), ["task_id", "__denied"], "left_semi")
-    taken = steps.select("task_id", "world", "step", F.col("n").alias("__m"))
-    lost = asked.join(original, "task_id").where("step <> __denied").join(taken, ["task_id", "world", "step"], "left").where("coalesce(__m, 0) < __n")
-    approvals = F.filter(F.collect_list("step"), lambda s: s.startswith("confirm "))
-    return lost.groupBy("task_id", "world").agg(F.array_sort(F.transform(approvals, lambda s: F.substring(s, 9, 200))).alias("approvals"), F.array_sort(F.collect_list("step")).alias("steps"))
+    own = lambda world, row: F.collect_list(F.when(world, F.struct(*row)))
+    held = steps.where("task_id is not null").groupBy("task_id").agg(own(F.col("world") == "original", ["step", "n"]).alias("__o"), own(F.col("world").startswith("flip:"), ["world", "step", "n"]).alias("__f"))
+    asked = F.filter(F.array_distinct(F.transform("__f", lambda f: f["world"])), lambda w: F.exists("__o", lambda o: o["step"] == F.concat(F.lit("confirm "), F.substring(w, 6, 200))))
+    flips = held.select("task_id", "__o", "__f", F.explode(asked).alias("world"))
+    taken = flips.withColumn("__f", F.filter("__f", lambda f: f["world"] == F.col("world"))).withColumn("__denied", F.concat(F.lit("confirm "), F.substring("world", 6, 200)))
+    kept = lambda o: F.coalesce(F.exists("__f", lambda f: (f["step"] == o["step"]) & (f["n"] >= o["n"])), F.lit(False))
+    gone = F.transform(F.filter("__o", lambda o: (o["step"] != F.col("__denied")) & (o["n"] > 0) & ~kept(o)), lambda o: o["step"])
+    lost = taken.select("task_id", "world", F.array_sort(gone).alias("steps")).where("size(steps) > 0")
+    approvals = F.transform(F.filter("steps", lambda s: s.startswith("confirm ")), lambda s: F.substring(s, 9, 200))
+    return lost.select("task_id", "world", F.array_sort(approvals).alias("approvals"), "steps")
 
 
 def insensitive_goals(probes: DataFrame) -> DataFrame:

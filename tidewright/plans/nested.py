@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewright.operators import contracts, grading
 from tidewright.sources import tables as T
+from tidewright.sources.shared import tasks_for
 
 SCHEMA = {
     "fields": {
@@ -79,12 +80,13 @@ def refusals(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cascades(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as tasks: the original takes a confirmation and a tool a line; with line 2 denied, the lines after it with an odd sum go."""
     k, n = F.col("l_orderkey"), F.col("l_linenumber")
-    lines = T.table(spark, sf_dir, "lineitem").select(k, n).distinct()
-    step = F.explode(F.array(F.concat(F.lit("confirm a"), n), F.concat(F.lit("tool"), n % 3))).alias("step")
-    own = lines.select(k.alias("task_id"), F.lit("original").alias("world"), n, step)
-    denied = lines.where((n < 3) | ((k + n) % 2 == 0)).select(k.alias("task_id"), F.lit("flip:a2").alias("world"), n, step)
-    never = lines.select(k.alias("task_id"), F.lit("flip:a9").alias("world"), n, F.lit("tool0").alias("step"))
-    steps = own.unionByName(denied).unionByName(never).groupBy("task_id", "world", "step").agg(F.count("*").alias("n"))
+    read = T.table(spark, sf_dir, "lineitem").select(k, n)
+    lines = read.repartition(tasks_for(read), k).distinct()
+    confirm, tool = F.concat(F.lit("confirm a"), n), F.concat(F.lit("tool"), n % 3)
+    step = lambda world, name: F.struct(F.lit(world).alias("world"), name.alias("step"))
+    denied = F.when((n < 3) | ((k + n) % 2 == 0), F.array(step("flip:a2", confirm), step("flip:a2", tool))).otherwise(F.expr("cast(array() as array<struct<world:string,step:string>>)"))
+    each = F.concat(F.array(step("original", confirm), step("original", tool), step("flip:a9", F.lit("tool0"))), denied)
+    steps = lines.select(k.alias("task_id"), F.inline(each)).groupBy("task_id", "world", "step").agg(F.count("*").alias("n"))
     out = contracts.cascades(steps)
     return out.select("task_id", "world", F.array_join("approvals", ",").alias("approvals"), F.array_join("steps", ",").alias("steps"))
 
