@@ -152,3 +152,38 @@ def test_near_duplicates_keep_less_than_they_read(spark, name):
     before = kept()
     assert catalogue.queries()[name](spark, "/root/testdata/sf0.01").count() > 800
     assert kept() - before < Path("/root/testdata/sf0.01/documents.parquet").stat().st_size / 2
+
+
+def plan_of(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("name", ["cascades", "overlays", "state_diff", "terminal_rewards", "fork_points"])
+def test_tasks_follow_the_number_of_rows(spark, sf_dir, monkeypatch, name):
+    """Rows are dealt to as many tasks as their number needs, so what one task sorts or groups does not grow."""
+    from tidewright.plans import catalogue
+    from tidewright.sources import shared
+
+    monkeypatch.setattr(shared, "TASK_ROWS", 100)
+    plan = plan_of(catalogue.queries()[name](spark, sf_dir))
+    assert "REPARTITION_BY_NUM" in plan and (name == "overlays" or "Join" not in plan or name in ("terminal_rewards", "fork_points"))
+
+
+def test_leaf_gaps_read_speech_once(spark, sf_dir):
+    """Why a leaf was not matched is found once: the counts and the examples read it."""
+    from tidewright.plans import catalogue
+
+    assert "ArrowEvalPython" not in plan_of(catalogue.queries()["leaf_gaps"](spark, sf_dir))
+
+
+def test_equal_values_have_equal_tags(spark):
+    """Shares by the short cut are those of the tags, and texts are read once."""
+    from tidewright.functions import answers
+
+    values = [None, True, False, 1, 0, 1.0, "1", " 1", "$1", "a", "A", "2024-01-05", "2024-01-05T00:00", "", [], ["a"], {}, {"a": 1}]
+    node = answers.Value({})
+    for x in values:
+        for y in values:
+            assert node.share(x, y, answers.Known()) == float(answers.tagged({}, x) == answers.tagged({}, y)), (x, y)
+    answers.text_tag.cache_clear()
+    assert [answers.tagged(None, "some text") for _ in range(3)] == ["s:sometext"] * 3 and answers.text_tag.cache_info().hits == 2
