@@ -202,6 +202,33 @@ def test_op6_rows_outside_the_samples_change_nothing(spark, monkeypatch):
     assert spans(one) == spans(two)
 
 
+def test_op6_ordinary_words_are_counted_in_all_texts(spark):
+    """Trigrams are those of a loop over every text, also of words that stand in few of many texts; copies of one text make no word ordinary."""
+    prose = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").limit(100).collect()
+    rows = [r["text"] or "" for r in prose] + [f"number {i} is plainword{i % 40:03} here, ..dotted..{i % 3}.txt.." for i in range(6000)] + ["alone qzjxkvwpyt"] * 50 + ["password=abcdefghij12", "", None]
+    frame = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(7)
+    counts, texts, twice = {}, {}, set()
+    for t in filter(None, rows):
+        for places in secrets_scan.candidates(t, secrets_scan.base_spans(t)):
+            w = t[places[0][0] : places[0][1]]
+            counts[w] = counts.get(w, 0) + 1
+            if t.count(w) > 1 and sum(t[p[0][0] : p[0][1]] == w for p in secrets_scan.candidates(t, secrets_scan.base_spans(t))) > 1:
+                twice.add(w)
+            texts.setdefault(w, set()).add(t)
+    times = len(rows) / 5000
+    words = {w: n / times for w, n in counts.items() if n >= 2 * times and (w in twice or len(texts[w]) > 1)}
+    assert "plainword007" in words and "qzjxkvwpyt" not in words and len(words) > 500
+    want, got = secrets_scan.WordModel(words), secrets_scan.ordinary_words(frame)
+    assert got.total == pytest.approx(want.total) and got.counts == pytest.approx(want.counts)
+
+
+def test_op6_every_text_counts_towards_ordinary_words(spark):
+    """The counts are those of all 6,000 texts, as a rate for 5,000; a sample has fewer."""
+    rows = [f"text {i} says commonword and plainword{i % 40:03} here" for i in range(6000)]
+    model = lambda rows: secrets_scan.ordinary_words(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"))
+    assert model(rows).total == pytest.approx(5000 * (len("commonword") + len("plainword000") + 2))
+
+
 def test_automaton_likelihood_is_the_product_over_moves():
     words = ["ab12", "ab13", "ac99", "zz"]
     table = Automaton(words).table()

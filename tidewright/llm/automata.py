@@ -133,14 +133,25 @@ class WordModel:
     ALPHABET = 26 + 26 + 10 + 6 + 1
 
     def __init__(self, words: dict[str, int], weight: float = 4.0):
-        self.counts: dict[str, int] = {}
+        self.counts: dict[str, float] = {}
         self.weight, self.total = weight, 0
         for word, n in words.items():
             line = f"\n\n{word}\n"
             for i in range(2, len(line)):
-                self.total += n
-                for gram in (line[i], line[i - 1 : i + 1], line[i - 1] + "\0", line[i - 2 : i + 1], line[i - 2 : i] + "\0"):
-                    self.counts[gram] = self.counts.get(gram, 0) + n
+                self.add(line[i - 2 : i + 1], n)
+
+    @classmethod
+    def of_trigrams(cls, counts: dict[str, float], weight: float = 4.0) -> WordModel:
+        """The model of words by their trigrams, two line ends before a word and one after it; there are at most ``ALPHABET`` cubed."""
+        out = cls({}, weight)
+        for gram, n in sorted(counts.items()):
+            out.add(gram, n)
+        return out
+
+    def add(self, gram: str, n: float) -> None:
+        self.total += n
+        for part in (gram[2], gram[1:], gram[1] + "\0", gram, gram[:2] + "\0"):
+            self.counts[part] = self.counts.get(part, 0) + n
 
     def base(self, c: str) -> float:
         return self.LETTERS / 26 if "a" <= c <= "z" else (1 - self.LETTERS) / (self.ALPHABET - 26)

@@ -5,12 +5,12 @@ limit is the least likelihood of the sample under it. A second pass scores every
 so much more likely than under a model of ordinary words that it outweighs how much rarer
 credentials are, is a span too. Lengths are no gate: near ones are
 a little less likely.
-Both samples are chosen by hash, a place in each of a fixed number of buckets, so rows outside the samples change no other
-row's spans.
+The model of ordinary words counts all texts; its counts are rates per 5,000 texts, so it does not sharpen with the table. The
+values of the automata are chosen by hash, a place in each of a fixed number of buckets.
 
 Candidates are the maximal runs of the characters of credentials outside the base spans, dots at their ends left out, and
-where such a run holds ``=``, its parts on both sides. Values meet by bucket in a shuffle and the samples come to the
-driver; no value is written to a table.
+where such a run holds ``=``, its parts on both sides. One pass finds values and counts words; they meet in a shuffle, and the
+sample of values and the words' trigrams, bounded by the alphabet, come to the driver; no value is written to a table.
 """
 
 from __future__ import annotations
@@ -92,49 +92,84 @@ def candidates(text: str, spans: list[dict], least: int = LEAST) -> list[list[tu
     return [p for p in out if p]
 
 
-def learn(documents: DataFrame, sample: int = 400, slack: float = 0.35, text: str = "text") -> list[Format]:
-    """The formats of the base values of all documents.
+def values_and_words(documents: DataFrame, text: str = "text") -> DataFrame:
+    """kind and value of the base spans, and with kind -1 the candidates (whole runs) outside them; n, twice (whether a text holds it so), and least and greatest hash of the texts.
 
-    Per kind the automaton comes from at most ``sample`` distinct values, the least by hash in each of so many buckets. The limit
-    is the least likelihood of these, lowered by ``slack``.
+    A row for each distinct word of some of a task's texts: equal words are added up before they move.
     """
 
-    @F.arrow_udf("array<struct<kind:int,value:string>>")
-    def values(texts):
+    def of(batches):
+        from collections import Counter
+
         import pyarrow as pa
 
-        kind = pa.list_(pa.struct([("kind", pa.int32()), ("value", pa.string())]))
-        return pa.array([[{"kind": s["kind"], "value": s["value"]} for s in base_spans(t.as_py() or "")] for t in texts], kind)
+        counts, twice, low, high = Counter(), set(), {}, {}
+        run = re.compile(r"[A-Za-z0-9+/_.=-]{%d,}" % LEAST)
+
+        def added():
+            rows = [(*(w if isinstance(w, tuple) else (-1, w.strip("."))), n, w in twice, low[w], high.get(w, low[w])) for w, n in counts.items()]
+            columns = list(zip(*(r for r in rows if r[0] >= 0 or len(r[1]) >= LEAST), strict=True)) or [()] * 6
+            kinds = [pa.int32(), pa.string(), pa.int64(), pa.bool_(), pa.int64(), pa.int64()]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["kind", "value", "n", "twice", "low", "high"])
+
+        for batch in batches:
+            for value, h in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                value = value.as_py()
+                base = base_spans(value)
+                if base:
+                    words = [value[a:b] for places in candidates(value, base) for a, b in places[:1]] + [(s["kind"], s["value"]) for s in base]
+                else:
+                    words = run.findall(value)
+                own = Counter(words)
+                counts.update(own)
+                if len(own) < len(words):
+                    twice.update(w for w, n in own.items() if n > 1)
+                for w in own:
+                    if low.setdefault(w, h) != h:
+                        high[w] = h
+                if len(counts) > 200_000:
+                    yield added()
+                    counts.clear(), twice.clear(), low.clear(), high.clear()
+        yield added()
+
+    texts = documents.select(documents[text].cast("string").alias("text")).where("text is not null").select("text", F.xxhash64("text").alias("h"))
+    found = texts.mapInArrow(of, "kind int, value string, n long, twice boolean, low long, high long")
+    merged = [F.sum("n").alias("n"), F.bool_or("twice").alias("twice"), F.min(F.least("low", "high")).alias("low"), F.max(F.greatest("low", "high")).alias("high")]
+    return found.groupBy("kind", "value").agg(*merged)
+
+
+def models(documents: DataFrame, sample: int = 400, slack: float = 0.35, per: int = 5000, text: str = "text") -> tuple[list[Format], WordModel]:
+    """The formats of the base values, and the model of the ordinary words, of all documents.
 
-    rows = documents.select(F.inline(values(documents[text].cast("string")))).withColumn("h", F.xxhash64("value"))
-    chosen = rows.groupBy("kind", F.pmod("h", F.lit(sample)).alias("bucket")).agg(F.min(F.struct("h", "value"))["value"].alias("value")).collect()
+    Per kind the automaton comes from at most ``sample`` distinct values, the least by hash in each of so many buckets. The limit
+    is the least likelihood of these, lowered by ``slack``. Ordinary are the candidates that stand twice or more in the different texts,
+    and in ``per`` texts on average. The model has the counts of their trigrams in all texts, over so many where there are more.
+    """
+    times = max(1.0, documents.count() / per)
+    h, line = F.xxhash64("value"), F.concat(F.lit("\n\n"), "value", F.lit("\n"))
+    place = lambda at, h, value: F.struct(at.cast("string").alias("at"), h.alias("h"), value.alias("value"))
+    grams = F.transform(F.sequence(F.lit(1), F.length("value") + 1), lambda i: place(F.substr(line, i, F.lit(3)), F.lit(None).cast("long"), F.lit(None).cast("string")))
+    rows = values_and_words(documents, text).where(F.expr("kind >= 0") | ((F.col("n") >= 2 * times) & (F.col("twice") | (F.col("low") < F.col("high")))))
+    parts = F.when(F.col("kind") >= 0, F.array(place(F.pmod(h, F.lit(sample)), h, F.col("value")))).otherwise(grams)
+    found = rows.select("kind", "n", F.inline(parts)).groupBy("kind", "at").agg(F.sum("n").alias("n"), F.min(F.struct("h", "value"))["value"].alias("value")).collect()
     formats = []
     for k in range(len(KINDS)):
-        words = sorted(r["value"] for r in chosen if r["kind"] == k)
+        words = sorted(r["value"] for r in found if r["kind"] == k)
         if words:
-            found = Format(k, 0.0, Automaton(words).merged().table(), Lengths(words))
-            found.limit = min(map(found.likelihood, words)) - slack
-            formats.append(found)
-    return formats
+            one = Format(k, 0.0, Automaton(words).merged().table(), Lengths(words))
+            one.limit = min(map(one.likelihood, words)) - slack
+            formats.append(one)
+    return formats, WordModel.of_trigrams({r["at"]: r["n"] / times for r in found if r["kind"] < 0})
 
 
-def ordinary_words(documents: DataFrame, rows: int = 5000, words: int = 20_000, text: str = "text") -> WordModel:
-    """A model of the words of at most ``rows`` texts, the least by hash in each of so many buckets: the ``words`` most frequent candidates that stand there twice or more."""
-    hashed = documents.select(documents[text].cast("string").alias("text")).where("text is not null").withColumn("h", F.xxhash64("text"))
-    least = hashed.groupBy(F.pmod("h", F.lit(rows)).alias("bucket")).agg(F.min("h").alias("h")).select("h")
-    chosen = hashed.join(F.broadcast(least), "h", "left_semi").dropDuplicates(["h"])  # at most ``rows`` hashes
-
-    @F.arrow_udf("array<string>")
-    def outside(texts):
-        import pyarrow as pa
-
-        def words_of(value: str) -> list[str]:
-            return [value[a:b] for places in candidates(value, base_spans(value)) for a, b in places[:1]]
+def learn(documents: DataFrame, sample: int = 400, slack: float = 0.35, text: str = "text") -> list[Format]:
+    """The formats of ``models``."""
+    return models(documents, sample, slack, text=text)[0]
 
-        return pa.array([words_of(t.as_py() or "") for t in texts], pa.list_(pa.string()))
 
-    counts = chosen.select(F.explode(outside("text")).alias("w")).groupBy("w").count().where("count > 1").orderBy(F.desc("count"), "w").limit(words).collect()
-    return WordModel({r["w"]: r["count"] for r in counts})
+def ordinary_words(documents: DataFrame, per: int = 5000, text: str = "text") -> WordModel:
+    """The model of the ordinary words of ``models``."""
+    return models(documents, per=per, text=text)[1]
 
 
 def best_format(word: str, formats: list[Format], ordinary: WordModel, odds: float) -> int:
@@ -181,6 +216,6 @@ def scan(documents: DataFrame, sample: int = 400, odds: float = ODDS, text: str
     An added span's kind is the format that it is likeliest under. Null and empty texts have no spans, a null id is kept,
     repeated rows each get a row, an empty table gives an empty result, other columns are left out.
     """
-    formats = learn(documents, sample, text=text)
-    found = spans(documents[text], formats, ordinary_words(documents, text=text), odds)
+    formats, ordinary = models(documents, sample, text=text)
+    found = spans(documents[text], formats, ordinary, odds)
     return documents.select(documents[id].alias(id), found.alias("__found")).select(id, "__found.base", "__found.added")
