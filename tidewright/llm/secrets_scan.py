@@ -142,8 +142,8 @@ def models(documents: DataFrame, sample: int = 400, slack: float = 0.35, per: in
     """The formats of the base values, and the model of the ordinary words, of all documents.
 
     Per kind the automaton comes from at most ``sample`` distinct values, the least by hash in each of so many buckets. The limit
-    is the least likelihood of these, lowered by ``slack``. Ordinary are the candidates that stand twice or more in the different texts,
-    and in ``per`` texts on average. The model has the counts of their trigrams in all texts, over so many where there are more.
+    is the least likelihood of these, lowered by ``slack``. Ordinary are the candidates that stand in two different texts or twice in
+    one, and twice or more in ``per`` texts on average. The model has the counts of their trigrams in all texts, over so many where there are more.
     """
     times = max(1.0, documents.count() / per)
     h, line = F.xxhash64("value"), F.concat(F.lit("\n\n"), "value", F.lit("\n"))
