@@ -5,7 +5,9 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import time
 from collections import Counter
+from pathlib import Path
 
 import pytest
 import xxhash
@@ -292,3 +294,37 @@ def test_rest_of_a_family_is_told_apart_by_sketches(spark):
     assert len({r["fp"] for r in rows}) > 1
     near = [1 for x, y in combinations(rows, 2) if sum((a ^ b).bit_count() if a >= 0 and b >= 0 else ((a ^ b) & (2**64 - 1)).bit_count() for a, b in zip(x["sketch"], y["sketch"], strict=True)) <= (x["n"] + y["n"]) / 9]
     assert not near
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    """The shuffle files of one table are gone before the next is made; only the write itself is set so."""
+    from tidewright.sources import shared
+
+    folders = [Path(str(f)) for f in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    held = lambda: {p for f in folders for p in f.rglob("shuffle_*.data")}
+    before, setting = held(), spark.conf.get(shared.CLEANUP)
+    frame = spark.range(10_000).groupBy((F.col("id") % 997).alias("k")).agg(F.sum("id").alias("s"))
+    assert frame.count() == 997 and held() > before
+    before |= held()
+    table = shared.written(frame)
+    for _ in range(50):
+        if not (left := held() - before):
+            break
+        time.sleep(0.1)
+    assert not left and spark.conf.get(shared.CLEANUP) == setting
+    assert table.agg(F.sum("s")).first()[0] == 10_000 * 9_999 // 2 and shared.written(frame).count() == 997
+
+
+def test_one_of_each_shuffles_whole_documents_once(spark):
+    """What keeps and what drops repeated rows deals by one key; rows with null ids and null texts are found by it too."""
+    rows = [(1, "a b c d e f"), (1, "a b c d e f"), (2, "a b c d e f"), (3, "u v w x y z"), (None, "k l m n o p"), (None, "k l m n o p"), (5, "k l m n o p"), (None, None), (6, ""), (7, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = simhash.one_of_each(docs)
+        plan = kept._jdf.queryExecution().executedPlan().toString()
+        assert sorted(map(tuple, kept.collect()), key=str) == [(1, "a b c d e f"), (3, "u v w x y z"), (None, "k l m n o p"), (None, None)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert plan.count("Exchange hashpartitioning") == 2  # documents, and places of those that stay

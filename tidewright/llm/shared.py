@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewright.sources.shared import discard, passing, shared_folder, written
+from tidewright.sources.shared import discard, passing, shared_folder, store, written
 
-__all__ = ["SPACE", "WORD", "discard", "offsets_before", "passing", "shared_folder", "text_of", "word_count", "written"]
+__all__ = ["SPACE", "WORD", "discard", "offsets_before", "passing", "shared_folder", "store", "text_of", "word_count", "written"]
 
 #: A word is a run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
